@@ -9,12 +9,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm.minhash_dedup import near_duplicates
+from tidewater.llm.packing import pack
+from tidewater.llm.storage import ship
+from tidewater.llm.substring_dedup import deduplicate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: words, removed words, and the digest of those kept; windows of 20 words."""
+    out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+def tokenizer_path() -> str:
+    """The default of a parameter: where the public word-level tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document, packed into sequences of at most 4096 ids."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +45,8 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
