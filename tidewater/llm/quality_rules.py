@@ -40,7 +40,6 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     hashes = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(at: Column) -> Column:
-        reach = F.transform(at, lambda x, i: F.coalesce(F.least(F.lit(size), F.get(at, i + 1) - x), F.lit(size)))
         reach = F.transform(at, lambda x, i: F.when(i + 1 < F.size(at), F.least(F.lit(size), F.get(at, i + 1) - x)).otherwise(F.lit(size)))
         return F.aggregate(reach, F.lit(0), lambda a, b: a + b)
 
@@ -155,7 +154,7 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
     cells = [F.array(*[reduce(lambda a, b: a + b, [(F.col(k) >= c).cast("int") for c in cuts[k]] or [F.lit(0)]) for k in named]).alias("bins")]
     prune = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(3)) == 0
     table = rows.select(*cells, "bad", prune.cast("int").alias("prune")).groupBy("bins").agg(*[F.count_if((F.col("bad") == b) & (F.col("prune") == p)).alias(f"{'pn'[1 - b]}{p}") for b in (1, 0) for p in (0, 1)])
-    table = materialize(table.withColumn("spread", F.posexplode("bins") if False else F.lit(0)).drop("spread"), "cells")
+    table = materialize(table, "cells")
     order = list(named)
 
     def fits(rule: list[tuple[int, bool, int]]) -> Column:
@@ -163,7 +162,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
 
     rules: list[tuple[Condition, ...]] = []
     left = F.lit(True)
-    for _ in range(most_rules):
+    failed: set[int] = set()  # features that began a rule which the rows kept for pruning refute
+    while len(rules) < most_rules:
         rule: list[tuple[int, bool, int]] = []
         history: list[tuple[float, float]] = []  # of the rows kept for pruning, by number of conditions
         while True:
@@ -176,6 +176,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
                 break
             best = (1e-9, None)
             for f, k in enumerate(order):
+                if not rule and f in failed:
+                    continue
                 for c in range(len(cuts[k])):
                     for above in (True, False):
                         side = [r for r in got if r["f"] == f and (r["b"] > c) == above]
@@ -190,8 +192,9 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
         worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in history]
         to = max(range(1, len(rule) + 1), key=lambda i: (worth[i], -i))
         p, n = history[to]
-        if p < min_cover * (p + n > 0) or p + n == 0 or p / (p + n) < min_precision:
-            break
+        if p < min_cover or p / (p + n) < min_precision:
+            failed.add(rule[0][0])
+            continue
         rule = rule[:to]
         left = left & ~fits(rule)
         rules.append(tuple(Condition(order[f], above, cuts[order[f]][c]) for f, above, c in rule))

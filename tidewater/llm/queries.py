@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm import chat_format, language_id, mixing, quality_rules, url_filters
 from tidewater.llm.minhash_dedup import near_duplicates
 from tidewater.llm.packing import pack
-from tidewater.llm.storage import ship
+from tidewater.llm.storage import materialize, ship
 from tidewater.llm.substring_dedup import deduplicate
 
 
@@ -21,12 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base statistics, base_failed, and kept by the learned decision list."""
+    stats = materialize(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.apply(stats, rules).drop("n_upper", "n_digits", "n_marks")
+
+
+#: Listed rules of the URL query.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+#: Words of host names that label a URL as unwanted for mining, where no better labels are at hand.
+UNWANTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: the longest listed rule decides its URL, else rules mined from URLs labelled by UNWANTED_WORDS."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    unwanted = F.arrays_overlap(F.split(url_filters.host(F.col("url")), "[.-]"), F.array(*map(F.lit, UNWANTED_WORDS)))
+    learned = url_filters.learn(pages.select("url", unwanted.alias("unwanted")))
+    return url_filters.judge(pages, learned, URL_RULES).drop("url")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: words, removed words, and the digest of those kept; windows of 20 words."""
     out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+#: Target shares of tokens, by domain of the labelled table.
+DOMAIN_TARGETS = {"clean": 0.92, "junk": 0.05, "toxic": 0.03}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, domain) of labelled documents: toxic, else junk if the quality is 0, else clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: words, domain posteriors, its rate, and the copies that the rate makes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), DOMAIN_TARGETS)
+    return out.select("doc_id", "n_tokens", "posteriors", "rate", F.floor(F.col("rate") + mixing.draw("doc_id")).alias("copies"))
+
+
 def tokenizer_path() -> str:
     """The default of a parameter: where the public word-level tokenizer lies."""
     import public_tokenizers
@@ -39,15 +78,36 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the predicted language; documents of held-out keys teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: three-word shingles, similarity 0.85, components confirmed on full sets."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, fold=True)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, and one for conversation -7, whose texts hold control strings; digests are read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat_format.digests(chat_format.format_conversations(rows.union(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}

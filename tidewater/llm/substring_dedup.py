@@ -38,11 +38,18 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _binary(parts: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Binary rows of 4-byte numbers; row i holds the next counts[i] of ``parts``."""
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts * 4, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts.astype("<u4")))])
+def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places sorted by document, then start: ids, places of each, and each place as its distance to the one before."""
+    runs = _runs(doc)
+    places = np.diff(start, prepend=0)
+    places[runs] = start[runs]
+    return doc[runs].tobytes(), _planes(np.diff(np.r_[runs, len(doc)])), _planes(places)
+
+
+def _unpacked(ids: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    counts, places = _unplanes(counts), _unplanes(places)
+    total, begin = np.cumsum(places), np.cumsum(counts) - counts
+    return np.repeat(np.frombuffer(ids, np.int64), counts), total - np.repeat(total[begin] - places[begin], counts)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -51,6 +58,16 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 ENTRY = "kind int, at long, ids binary, counts binary, hashes binary, places binary"
+PLACES = "at long, ids binary, counts binary, places binary"
+
+
+def _by_document(doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Places as packed rows, one for each bucket of documents."""
+    bucket = (T.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((start, doc, bucket))
+    doc, start, bucket = doc[by], start[by], bucket[by]
+    for a, b in _spans(bucket):
+        yield int(bucket[a]), *_packed(doc[a:b], start[a:b])
 
 
 def _chunk(ids: np.ndarray, h: list[np.ndarray], window: int, buckets: int) -> Iterator[tuple]:
@@ -71,28 +88,25 @@ def _chunk(ids: np.ndarray, h: list[np.ndarray], window: int, buckets: int) -> I
     later = np.zeros(len(keys), bool)
     later[by] = ~new & ~same_place
     gone = np.flatnonzero(later)
-    if len(gone):
-        runs = _runs(doc[gone])
-        yield 1, int(ids[doc[gone[0]]] % buckets), ids[doc[gone[runs]]].tobytes(), _planes(np.diff(np.r_[runs, len(gone)])), None, _planes(start[gone])
+    for at, own, counts, places in _by_document(ids[doc[gone]], start[gone], buckets):
+        yield 1, at, own, counts, None, places
     kept = np.flatnonzero(first)
     bucket = (keys[kept] >> np.uint64(40)) % np.uint64(buckets)
     kept = kept[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
     for a, b in _spans(bucket):
         part = kept[a:b]
-        here = _runs(doc[part])
-        places = np.diff(start[part], prepend=0)
-        places[here] = start[part][here]
-        yield 0, int(bucket[a]), ids[doc[part[here]]].tobytes(), _planes(np.diff(np.r_[here, len(part)])), keys[part].tobytes(), _planes(places)
+        own, counts, places = _packed(ids[doc[part]], start[part])
+        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), places
 
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    runs = _runs(x)
-    yield from zip(runs.tolist(), [*runs[1:].tolist(), len(x)], strict=True)
+    runs = _runs(x).tolist()
+    yield from zip(runs, [*runs[1:], len(x)][: len(runs)], strict=True)
 
 
 def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, buckets: int) -> DataFrame:
-    """(doc, starts): for each document the starts of windows that also begin earlier, as packed numbers; several rows a document."""
+    """(doc, start, end): for each document that loses words, arrays of its maximal intervals of words to remove."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -121,38 +135,40 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             yield flush()
 
     def settle(table: pa.Table) -> pa.Table:
-        """Of a bucket: every entry but the first of its hash. What is settled passes."""
+        """Of a bucket of hashes: every entry but the first of its hash. What is settled passes."""
+        parts = [table.column(c).to_pylist() for c in ("ids", "counts", "places")]
         if table.column("kind")[0].as_py():
-            ids, counts, places = (table.column(c).to_pylist() for c in ("ids", "counts", "places"))
-            counts, places = (np.concatenate([_unplanes(x) for x in part]) for part in (counts, places))
-            return pa.table({"doc": pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in ids])), "starts": _binary(places, counts)})
-        keys, docs_, starts = [], [], []
-        for ids, counts, hashes, places in zip(*(table.column(c).to_pylist() for c in ("ids", "counts", "hashes", "places")), strict=True):
-            counts, places = _unplanes(counts), _unplanes(places)
-            total = np.cumsum(places)
-            begin = np.cumsum(counts) - counts
-            keys.append(np.frombuffer(hashes, np.uint64))
-            docs_.append(np.repeat(np.frombuffer(ids, np.int64), counts))
-            starts.append((total - np.repeat(total[begin] - places[begin], counts)).astype(np.uint32))
-        keys = np.concatenate(keys)
+            return pa.table({"at": table.column("at"), **dict(zip(("ids", "counts", "places"), (table.column(c) for c in ("ids", "counts", "places")), strict=True))})
+        doc, start = (np.concatenate(x) for x in zip(*map(_unpacked, *parts), strict=True))
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
         by = np.argsort(keys)
         sorted_keys = keys[by]
         equal = sorted_keys[1:] == sorted_keys[:-1]
         by = by[np.r_[False, equal] | np.r_[equal, False]]  # the others are alone
-        keys, doc, start = keys[by], np.concatenate(docs_)[by], np.concatenate(starts)[by]
+        keys, doc, start = keys[by], doc[by], start[by]
         by = np.lexsort((start, doc, keys))
         keys, doc, start = keys[by], doc[by], start[by]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (start != start[head])
-        doc, start = doc[later], start[later]
-        by = np.argsort(doc, kind="stable")
+        out = list(zip(*_by_document(doc[later], start[later], buckets), strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("at", "ids", "counts", "places"), out, (pa.int64(), *[pa.binary()] * 3), strict=True)})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """Of a bucket of documents: windows that meet or overlap become one interval."""
+        doc, start = (np.concatenate(x) for x in zip(*map(_unpacked, *(table.column(c).to_pylist() for c in ("ids", "counts", "places"))), strict=True))
+        by = np.lexsort((start, doc))
         doc, start = doc[by], start[by]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + window)]
+        begin = np.flatnonzero(new)
+        first, last, doc = start[begin], start[np.r_[begin[1:], len(start)] - 1] + window, doc[begin]
         runs = _runs(doc)
-        return pa.table({"doc": pa.array(doc[runs]), "starts": _binary(start, np.diff(np.r_[runs, len(doc)]))})
+        offsets = pa.array(np.r_[runs, len(doc)].astype(np.int32))
+        return pa.table({"doc": pa.array(doc[runs]), "start": pa.ListArray.from_arrays(offsets, pa.array(first.astype(np.int32))), "end": pa.ListArray.from_arrays(offsets, pa.array(last.astype(np.int32)))})
 
     rows = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull()).mapInArrow(entries, ENTRY)
-    return rows.groupBy("kind", "at").applyInArrow(settle, "doc long, starts binary")
+    gone = rows.groupBy("kind", "at").applyInArrow(settle, PLACES)
+    return gone.groupBy("at").applyInArrow(gather, "doc long, start array<int>, end array<int>")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = 20, buckets: int | None = None) -> DataFrame:
@@ -171,15 +187,14 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
     spark = docs.sparkSession
     if buckets is None:
         buckets = max(shuffle_partitions(spark), -(-(planned_bytes(docs) or 0) // (16 << 20)))
-    gone = materialize(repeated_windows(docs, text=text, key=key, window=window, buckets=buckets), "repeats")
-    gone = gone.groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    gone = materialize(repeated_windows(docs, text=text, key=key, window=window, buckets=buckets), "intervals").select("doc", F.struct("start", "end").alias("cut"))
     kind = dict(docs.dtypes)
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     fields = [docs.schema[c] for c in others]
-    mark = "__starts"
+    mark = "__cut"
     while mark in others:
         mark += "_"
-    joined = docs.select(*others).join(gone.select(F.col("doc").alias("__doc"), F.col("starts").alias(mark)), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.select(*others).join(gone.select(F.col("doc").alias("__doc"), F.col("cut").alias(mark)), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
     schema = ", ".join([f"`{f.name}` {kind[f.name]}" for f in fields] + ["n_words long", "n_removed long", "kept_words string"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +205,12 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
                 words = T.words(data, offsets)
                 keep = np.ones(len(words), bool)
                 change = np.zeros(len(part), bool)
-                for i, starts in enumerate(part.column(mark).to_pylist()):
-                    if starts:
-                        n = int(words.first[i + 1] - words.first[i])
-                        at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
-                        at = at[at + window <= n]
-                        cover = np.zeros(n + 1, np.int32)
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + window, -1)
-                        keep[words.first[i] : words.first[i + 1]] = np.cumsum(cover[:-1]) == 0
-                        change[i] = len(at) > 0
+                for i, cuts in enumerate(part.column(mark).to_pylist()):
+                    n = int(words.first[i + 1] - words.first[i])
+                    for a, b in zip(cuts["start"], cuts["end"], strict=True) if cuts else ():
+                        if b <= n:
+                            keep[words.first[i] + a : words.first[i] + b] = False
+                            change[i] = True
                 kept_words, whole = [], []
                 blob = data.tobytes()
                 was_null = column.is_null().to_numpy(zero_copy_only=False)
