@@ -1,22 +1,81 @@
-"""A corpus pipeline of the operators of tidewater.llm."""
+"""A corpus pipeline of the operators of tidewater.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's ``docs``. All but the last return the
+columns of documents; the last returns pieces packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import language_id, mixing, queries
+from tidewater.llm.minhash_dedup import near_duplicates
+from tidewater.llm.packing import pack
+from tidewater.llm.storage import materialize, ship
+from tidewater.llm.substring_dedup import deduplicate
+
+#: Documents of a lower language score go; a guess among four has 0.25.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Shares of expected tokens after mixing.
+TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined, with ``lang`` as it came; null and letterless texts go."""
+    model = language_id.fit(docs)
+    judged = language_id.predict(docs, model, prediction="__lang", score="__score")
+    return judged.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id; of rows that repeat an id, one."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi")
+    return rows.dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 30 words or more that stand earlier; documents that lose all words go."""
+    out = deduplicate(docs, window=30)
+    return out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents kept with their mixing rate as probability; those of the clean domain have rates over 1 and stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed = mixing.mix(docs, queries.labelled_domains(docs, labels), TARGETS, whole="clean")
+    return mixing.thin(mixed, "doc_id").select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids."""
+    return pack(docs, queries.tokenizer_path(), size=4096, end_id=1)
+
+
+def _ready(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run
 
-from tidewater.llm.storage import materialize
 
-STAGES = []
+STAGES = [
+    ("language_id", _ready(keep_known_languages)),
+    ("minhash_dedup", _ready(keep_one_of_near_copies)),
+    ("substring_dedup", _ready(remove_repeated_passages)),
+    ("source_mixing", _ready(mix_to_targets)),
+    ("best_fit_packing", _ready(pack_sequences)),
+]
 
-#: Learned stages and stages on hashes are not SQL; tests/llm compare the stages with brute force.
+#: Learned stages and ids of a tokenizer are not SQL; tests/llm compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read again by the next."""
+    """The stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,7 +128,8 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_do
     """Train on at most ``most_documents`` rows of each label: those whose text hashes lowest.
 
     Rows with a null or empty text or label teach nothing. The sample has a fixed
-    bound, is drawn from all rows, and does not depend on their order.
+    bound, is drawn from all rows, and does not depend on their order. Without
+    such rows the model knows no language.
     """
     from pyspark.sql import Window
 
@@ -142,19 +143,22 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_do
     passage = F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {PASSAGE})) as int), {PASSAGE})")
     got = few.orderBy("label", "h").select("label", passage.alias("text")).collect()
     if not got:
-        raise ValueError("no labelled text to learn from")
+        return ByteCNN(1, 1, [], *[np.zeros(0, np.float32)] * 5)
     return train([r["text"] for r in got], [r["label"] for r in got], seed=seed, **options)
 
 
 def predict(docs: DataFrame, model: ByteCNN, *, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with columns lang_pred and score (the mean probability of that language, 0 to 1).
 
-    A null text or one without a letter is ``und`` with score 0. Columns of these
+    A null text or one without a letter is ``und`` with score 0, as is all else if
+    the model knows no language. Columns of these
     names are replaced, others stay. Ties go to the label first in order. An empty
     table gives no rows.
     """
     others = [c for c in docs.columns if c not in (prediction, score)]
     kinds = dict(docs.dtypes)
+    if not model.labels:
+        return docs.select(*others, F.lit(UNDETERMINED).alias(prediction), F.lit(0.0).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"`{prediction}` string", f"`{score}` double"])
 

@@ -41,7 +41,7 @@ def sample(labelled: DataFrame, *, text: str, domain: str, most: int, seed: int)
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(domain).alias("domain")).where("domain is not null")
     counts = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return [], []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * most / n))])[F.col("domain")]
     few = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["h", "domain"])
     few = few.withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy("h"))).where(F.col("at") <= most)
@@ -100,7 +100,7 @@ def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, most_labelled: int = 1_000, rounds: int = 40, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 1_000, rounds: int = 15, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
     """``docs`` with columns n_tokens, posteriors (array by domain name in order) and rate.
 
     ``targets`` weighs every domain of ``labelled`` (text, domain); missing ones get
@@ -108,34 +108,37 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
     ``total`` * all tokens * target k, as near as rates of 0 or more can. The
     distance is taken relative to all tokens and a document's step does not
     depend on its length. Documents without words have the prior as posterior,
-    weigh nothing, and get a rate all the same. Repeated rows get equal rates; an
+    weigh nothing, and get a rate all the same. Without a labelled text there is
+    one domain and every rate is ``total``. If a domain ``whole`` is named,
+    ``total`` is raised until its goal is a tenth above what it has: its own
+    documents then get rates over 1. Repeated rows get equal rates; an
     empty table gives no rows. Columns of the new names are replaced. At most
     ``most_labelled`` texts of a domain, of at most 8000 characters, are learned from.
     """
-    model = train(*sample(labelled, text=text, domain=domain, most=most_labelled, seed=seed))
+    texts, domains = sample(labelled, text=text, domain=domain, most=most_labelled, seed=seed)
+    model = train(texts, domains) if texts else ([""], np.zeros((1, 1)), np.zeros(1))
     names = model[0]
     scored = materialize(domain_posteriors(docs, model, text=text, tokens=tokens, into=posteriors), "posteriors")
     own = scored.where(F.col(tokens) > 0).select(F.col(tokens).cast("double").alias("n"), F.col(posteriors).alias("p"))
     k = len(names)
-    gram = own.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    p = F.col("p")
+    have = list(own.agg(F.sum("n"), *[F.sum(F.col("n") * p[i]) for i in range(k)]).first())
     steps: list[np.ndarray] = []
-    if gram["n"]:
-        all_tokens = gram["n"]
-        square = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                square[i, j] = square[j, i] = gram[f"g{i}_{j}"] / all_tokens
+    if have[0]:
+        held = np.array(have[1:]) / have[0]
         weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
-        goal = total * weight / weight.sum()
-        length = 1 / np.linalg.eigvalsh(square)[-1]
-        inverse = np.linalg.pinv(square + 1e-9 * np.eye(k))
-        for at in range(rounds):
-            sums = own.agg(*[F.sum(F.col("n") * F.col("p")[i] * rate_of(F.col("p"), steps)).alias(str(i)) for i in range(k)]).first()
-            miss = np.array(list(sums)) / all_tokens - goal
+        goal = total * weight / weight.sum() if weight.any() else total * held
+        if whole in names and goal[names.index(whole)]:
+            goal *= max(1.0, 1.1 * held[names.index(whole)] / goal[names.index(whole)])
+        for _ in range(rounds):
+            rated = own.select("n", "p", rate_of(p, steps).alias("r"))
+            free = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+            sums = list(rated.agg(*[F.sum(F.col("n") * p[i] * F.col("r")) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)]).first())
+            miss = np.array(sums[:k]) / have[0] - goal
             if np.abs(miss).max() < tolerance:
                 break
-            # In the metric of the Gram matrix a step is exact where no rate is held at 0; if those keep it from settling, plain gradient steps end it.
-            steps.append(inverse @ miss if at < rounds // 2 else length * miss)
+            # The gradient in the metric of the rows that can still move: exact where the projection holds no further row.
+            steps.append(np.linalg.solve(np.array(sums[k:]).reshape(k, k) / have[0] + 1e-6 * np.eye(k), miss))
     return scored.withColumn(rate, rate_of(F.col(posteriors), steps))
 
 

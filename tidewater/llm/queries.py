@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat_format, language_id, mixing, quality_rules, url_filters
+from tidewater.llm import chat_format, embedding_dedup, language_id, mixing, quality_classifier, quality_rules, url_filters
 from tidewater.llm.minhash_dedup import near_duplicates
 from tidewater.llm.packing import pack
 from tidewater.llm.storage import materialize, ship
@@ -73,11 +73,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: links of cosine 0.93 or more among equal labels, and components."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of every document, packed into sequences of at most 4096 ids."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: calibrated quality score; documents of held-out keys teach nothing."""
+    held_out = language_id.held_out("doc_id", 5, 0)
+    out = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), teach=~held_out, threshold=0.3)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the predicted language; documents of held-out keys teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -104,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_format": op10_chat_format,
