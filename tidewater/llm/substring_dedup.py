@@ -194,7 +194,8 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
     mark = "__cut"
     while mark in others:
         mark += "_"
-    joined = docs.select(*others).join(gone.select(F.col("doc").alias("__doc"), F.col("cut").alias(mark)), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    # Joined by shuffle at every size: the intervals grow with the corpus, so a broadcast that fits a small one is no guide.
+    joined = docs.select(*others).join(gone.select(F.col("doc").alias("__doc"), F.col("cut").alias(mark)).hint("merge"), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
     schema = ", ".join([f"`{f.name}` {kind[f.name]}" for f in fields] + ["n_words long", "n_removed long", "kept_words string"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
