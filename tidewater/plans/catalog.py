@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tidewater.plans import base, models, series, streams, tables  # noqa: F401  importing registers
+
 FLAGSHIP = "monthly_orders_changes"
 
 
-def queries():
-    return {}
+def queries() -> dict[str, base.Query]:
+    return base.QUERIES
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return base.SQL
