@@ -81,8 +81,11 @@ _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
-def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, embed: int = 8, most_windows: int = 12_000, epochs: int = 6, batch: int = 128, rate: float = 0.004, seed: int = 7) -> ByteCNN:
-    """Fit by Adam on at most ``most_windows`` windows, as many of each label as there are, drawn with ``seed``."""
+def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, embed: int = 8, most_windows: int = 12_000, epochs: int = 6, least_steps: int = 400, batch: int = 128, rate: float = 0.004, seed: int = 7) -> ByteCNN:
+    """Fit by Adam on at most ``most_windows`` windows, as many of each label as there are, drawn with ``seed``.
+
+    A small sample is gone through more often, for ``least_steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     codes, row, length = windows(*T.raw(pa.array(texts, pa.large_string())), window)
@@ -97,7 +100,7 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
     model = ByteCNN(window, most, names, rng.normal(0, 0.5, (256, embed)).astype(np.float32), (rng.normal(0, 0.3, live.shape) * live).astype(np.float32), np.zeros(f, np.float32), rng.normal(0, 0.3, (f, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     parts = [model.embed, model.filters, model.bias, model.out, model.out_bias]
     first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // max(1, len(codes) // batch)))):
         for own in np.array_split(rng.permutation(len(codes)), max(1, len(codes) // batch)):
             x = model._columns(codes[own])
             z = (x @ model.filters).reshape(len(own), -1, f)

@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once a context, so that it need not be installed there."""
-    context = spark.sparkContext
-    if not getattr(context, "_tidewater_shipped", False):
-        top = Path(__file__).resolve().parents[2]
-        context._tidewater_folder = tempfile.TemporaryDirectory()  # the driver serves the file as long as the context lives
-        context.addPyFile(shutil.make_archive(os.path.join(context._tidewater_folder.name, "tidewater"), "zip", top, "tidewater"))
-        context._tidewater_shipped = True
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
