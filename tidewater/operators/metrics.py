@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _c(x: str | Column) -> Column:
@@ -58,7 +59,7 @@ def sharpness(p) -> Column:
     return F.stddev_pop(_c(p))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def crps_normal(y: pd.Series, mean: pd.Series, sd: pd.Series) -> pd.Series:
     """Continuous ranked probability score of a normal forecast. Spark SQL has no error function, so this one row-wise score runs on Arrow batches."""
     z = (y - mean) / sd
