@@ -286,3 +286,47 @@ def test_stream_writes_batches(spark, tmp_path):
     q = write_vintages(read_folder(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), "s", str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_degradation_names_each_measure_once(spark):
+    rows = [("a", k, 0.5, 0.5, 0.5, 0.5 + 0.2 * k) for k in range(6)] + [("b", k, 0.5, 0.5, 0.5, 0.5) for k in range(6)]
+    got = {r.series: r for r in seasonal.degradation(spark.createDataFrame(rows, "series string, run int, m7 double, m8 double, m9 double, q double")).collect()}
+    assert (got["a"].breached, got["a"].rising, got["a"].degrading) == (["q"], ["q"], True)
+    assert (got["b"].breached, got["b"].rising, got["b"].degrading) == ([], [], False)
+
+
+def test_not_found_is_not_tried_again(tmp_path):
+    import urllib.error
+
+    from tidewater.sources import landing
+
+    calls = []
+
+    def opener(request):
+        calls.append(request.full_url)
+        raise urllib.error.HTTPError(request.full_url, 404, "gone", None, None)
+
+    with pytest.raises(urllib.error.HTTPError):
+        landing.fetch("http://x/y", str(tmp_path / "f"), params={"a": "b"}, delay=0, opener=opener)
+    assert calls == ["http://x/y?a=b"]
+    assert [len(b) for b in landing.batches([str(k) for k in range(60)], None)] == [25, 25, 10]
+
+
+def test_schemas_conform_and_tell_drift(spark):
+    from tidewater.sources import schemas
+
+    rows = spark.createDataFrame([("2024-01-06", "CA", "x", 5)], "report_date string, state_code string, initial_claims string, odd int")
+    got = schemas.conform(rows, "claims").first()
+    assert (got.report_date, got.initial_claims, got.continued_claims) == (d("2024-01-06"), None, None)
+    assert schemas.drift(rows, "claims")["new"] == ["odd"] and "initial_claims" in schemas.drift(rows, "claims")["changed"]
+
+
+def test_provenance_and_reports(spark):
+    rows = readers.synthetic(spark.range(3), "fallback")
+    assert quality.provenance(rows).first().suspect and not quality.provenance(spark.range(3)).first().suspect
+    results = quality.check(spark.range(3), [quality.not_empty()])
+    assert "not_empty" in quality.as_csv(results) and "<table>" in quality.as_html(results, "x")
+
+
+def test_stability():
+    assert models.stable(models.companion([np.eye(2) * 0.5, np.eye(2) * 0.1])) and not models.stable(np.eye(2))

@@ -180,3 +180,17 @@ def closest_quantile(available: list[float], wanted: float, tolerance: float = 0
     if abs(best - wanted) > tolerance:
         raise ValueError(f"no quantile near {wanted}")
     return best
+
+
+def stable(transition: np.ndarray, most: float = 0.99) -> bool:
+    """Whether a transition matrix dies out: all eigenvalues within ``most`` of 0."""
+    return bool(np.abs(np.linalg.eigvals(transition)).max(initial=0.0) < most)
+
+
+def companion(coefficients: list[np.ndarray]) -> np.ndarray:
+    """The transition matrix of a vector autoregression."""
+    k, p = len(coefficients[0]), len(coefficients)
+    out = np.zeros((k * p, k * p))
+    out[:k] = np.hstack(coefficients)
+    out[k:, :-k] = np.eye(k * (p - 1))
+    return out

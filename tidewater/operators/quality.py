@@ -103,3 +103,26 @@ def outliers_zscore(df: DataFrame, key: str, value: str, k: float = 3.0) -> Data
     """Rows more than k standard deviations (n - 1) from the mean of their series."""
     m = df.groupBy(key).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
     return df.join(m, key).where(F.abs(F.col(value) - F.col("__m")) > k * F.col("__s")).drop("__m", "__s")
+
+
+def provenance(df: DataFrame) -> DataFrame:
+    """One row: whether a table may be synthetic: marked so, named so by its generator, or of the shape of test data (120 rows)."""
+    marked = F.coalesce(F.bool_or(F.col("is_synthetic")), F.lit(False)) if "is_synthetic" in df.columns else F.lit(False)
+    named = F.coalesce(F.bool_or(F.lower("generated_by").rlike("synthetic|fallback|test")), F.lit(False)) if "generated_by" in df.columns else F.lit(False)
+    out = df.agg(marked.alias("marked"), named.alias("named"), (F.count("*") == 120).alias("test_shape"))
+    return out.withColumn("suspect", F.col("marked") | F.col("named") | F.col("test_shape"))
+
+
+def as_csv(results: DataFrame) -> str:
+    """Results of check(), one line a rule."""
+    rows = results.orderBy("rule").collect()
+    return "\n".join([",".join(results.columns), *(",".join('"' + str(v).replace('"', '""') + '"' for v in r) for r in rows)])
+
+
+def as_html(results: DataFrame, title: str) -> str:
+    """Results of check() as a table."""
+    from html import escape
+
+    head = "".join(f"<th>{escape(c)}</th>" for c in results.columns)
+    body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in results.orderBy("rule").collect())
+    return f"<!DOCTYPE html><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>"

@@ -187,3 +187,23 @@ def quality_score(stats: DataFrame) -> DataFrame:
         score = score + w / total * F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.col(k) / 3)))
     grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F")
     return stats.withColumn("score", score).withColumn("grade", grade)
+
+
+#: Values from which a measure counts as breached. Fixed values.
+LIMITS = {"m7": 1.0, "m8": 1.0, "m9": 1.0, "q": 1.0}
+
+
+def degradation(history: DataFrame, *, key: str = "series", ts: str = "run", keep: int = 10, rises: int = 3) -> DataFrame:
+    """(key, runs, breached, rising, slope, degrading) over the last ``keep`` runs of each series.
+
+    ``breached``: measures over their limit in the last run, each named once;
+    ``rising``: those that rose ``rises`` times in a row up to it; ``slope``: of q.
+    """
+    newest = Window.partitionBy(key).orderBy(F.col(ts).desc())
+    tail = history.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= keep)
+    tail = tail.withColumns({f"up_{k}": F.coalesce(F.col(k) > F.lead(k).over(newest), F.lit(False)) for k in LIMITS})
+    last = F.col("at") == 1
+    breached = F.array_compact(F.array(*[F.max(F.when(last & (F.col(k) > limit), k)) for k, limit in LIMITS.items()]))
+    rising = F.array_compact(F.array(*[F.when(F.count_if((F.col("at") <= rises) & F.col(f"up_{k}")) == rises, k) for k in LIMITS]))
+    out = tail.groupBy(key).agg(F.count("*").alias("runs"), breached.alias("breached"), rising.alias("rising"), F.regr_slope(F.col("q"), -F.col("at").cast("double")).alias("slope"))
+    return out.withColumn("degrading", (F.size("rising") > 0) | (F.coalesce(F.col("slope"), F.lit(0.0)) > 0.05))

@@ -261,3 +261,25 @@ def model_selection(spark, sf_dir):
     scores = _naive(spark, sf_dir).groupBy(F.col("series").alias("model")).agg(metrics.rmse("y", "f").alias("rmse"), metrics.smape("y", "f").alias("smape"))
     gates = (("smape", "most", 20.0, 10.0), ("rmse", "most", 500_000.0, 10.0))
     return rounded(metrics.select_models(scores, gates), 4, "score").select("model", "score", "eligible", "rank")
+
+
+@query("""SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000""")
+def set_difference(spark, sf_dir):
+    """Customers with a balance and without a large order."""
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return a.subtract(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
+
+
+@query("""SELECT c_custkey, c_nationkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def named_customers(spark, sf_dir):
+    """Customers with two lookups by code."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return table(spark, sf_dir, "customer").join(n, "c_nationkey", "left").join(r, "r_regionkey", "left").select("c_custkey", "c_nationkey", "n_name", "r_name")
+
+
+@query("""SELECT count(*) AS n, avg(k)::DOUBLE AS mean_k FROM (SELECT try_cast(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) AS k FROM events) WHERE k IS NOT NULL""")
+def nested_values(spark, sf_dir):
+    """A number inside JSON text."""
+    own = table(spark, sf_dir, "events").select(F.from_json("props", "k long")["k"].alias("k")).where("k is not null")
+    return own.agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"))

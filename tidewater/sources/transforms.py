@@ -115,3 +115,28 @@ def active_strikes(df: DataFrame, today: Column) -> DataFrame:
 
 def recent_disruptions(df: DataFrame, today: Column, months: int = 6) -> DataFrame:
     return df.where(F.col("date") >= F.date_sub(today, months * 30)).orderBy(F.desc("employment_impact_score"), "date")
+
+
+def withholdings_monthly(df: DataFrame, key: str = "classification") -> DataFrame:
+    """Withholdings by month: sum, mean, deviation, business days, last balance, last date."""
+    from tidewater.operators.aggregate import monthly_flow
+
+    out = monthly_flow(df, key=[key], ts="date", value="daily_withholding", balance="balance", tie=key)
+    days = df.groupBy(key, month(F.col("date")).alias("month")).agg(F.count_if("is_business_day").alias("business_days"))
+    return out.drop("days").join(days, [key, "month"])
+
+
+def latest_row(df: DataFrame, order: str) -> DataFrame:
+    """The row of the latest date, by date rather than place."""
+    return df.agg(F.max_by(F.struct(*df.columns), F.struct(order, *[c for c in df.columns if not dict(df.dtypes)[c].startswith("map")])).alias("row")).select("row.*")
+
+
+def state_summary(df: DataFrame, measure: str) -> DataFrame:
+    """The latest value of a measure by state, largest first."""
+    rows = df.where((F.col("measure") == measure) & (F.col("state_fips") != "00")).select("state_name", "date", "value")
+    return windows.latest(rows, "state_name", "date").orderBy(F.desc("value"), "state_name")
+
+
+def trimmed_joins(rows: DataFrame, industries: DataFrame, areas: DataFrame) -> DataFrame:
+    """Stoppage lines with the names of their industry and area codes; codes without a name stay."""
+    return rows.join(industries, "industry_code", "left").join(areas, "area_code", "left")
