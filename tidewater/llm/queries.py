@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat_format, embedding_dedup, language_id, mixing, quality_classifier, quality_rules, url_filters
+from tidewater.llm import chat_format, embedding_dedup, language_id, mixing, oracles, quality_classifier, quality_rules, url_filters
 from tidewater.llm.minhash_dedup import near_duplicates
 from tidewater.llm.packing import pack
 from tidewater.llm.storage import materialize
@@ -125,4 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are learned, or ids of a tokenizer, or a template's output: tests/llm compare those with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op9_minhash_dedup": oracles.MINHASH_DEDUP,
+}
