@@ -11,7 +11,8 @@ earlier tasks, so a length that a third of all pieces have is never gathered.
 
 from __future__ import annotations
 
-import heapq
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,21 +27,58 @@ from tidewater.llm import text as T
 from tidewater.llm.storage import materialize
 
 #: Words whose ids a Python worker keeps at most, for speed alone.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
+#: A run of Latin letters, and perhaps one mark after it: one token run, or two. Others are encoded by themselves.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: Plain words that are encoded as one line.
+LINE = 200
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that splits at white space.
+    """Ids of whole texts by a tokenizer that splits at white space and marks the end of each token run.
 
     White space ends a token in such a tokenizer, so each word is encoded once
-    and its ids are reused. Made in the worker from the tokenizer's JSON.
+    and its ids are reused. New plain words are encoded as lines and told apart
+    by the end marks of their runs. Made in the worker from the tokenizer's JSON.
     """
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.ids: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ids: dict[bytes, bytes] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Keep the ids of new words."""
+        plain: list[tuple[bytes, str]] = []
+        runs: list[int] = []
+        other: list[bytes] = []
+        for x in new:
+            word = x.decode()
+            if m := PLAIN.fullmatch(word):
+                plain.append((x, word))
+                runs.append(2 if m[2] else 1)
+            else:
+                other.append(x)
+        lines = self.tokenizer.encode_batch_fast([" ".join(w for _, w in plain[a : a + LINE]) for a in range(0, len(plain), LINE)], add_special_tokens=False)
+        for k, line in enumerate(lines):
+            own = plain[k * LINE : (k + 1) * LINE]
+            ids = np.array(line.ids, "<u4")
+            last = np.cumsum(runs[k * LINE : (k + 1) * LINE])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != last[-1]:
+                other += [x for x, _ in own]
+                continue
+            cuts = np.r_[0, ends[last - 1]] * 4
+            blob = ids.tobytes()
+            for (x, _), a, b in zip(own, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.ids[x] = blob[a:b]
+        for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
+            self.ids[x] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, data: np.ndarray, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and where each row's ids begin (one more than rows)."""
@@ -52,14 +90,13 @@ class WordTokenizer:
         if len(self.ids) + len(new) > KEPT_WORDS:
             self.ids.clear()
             new = texts
-        for x, e in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.ids[x] = np.array(e.ids, np.uint32)
+        self.learn(new)
         own = [self.ids[x] for x in texts]
-        count = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
+        count = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
         begin = np.cumsum(count) - count
         n = count[code]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[code], n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[code], n)
         return flat[at], np.r_[0, np.cumsum(n)][words.first]
 
 
@@ -88,7 +125,7 @@ def pieces(docs: DataFrame, spec: str, *, text: str, key: str, size: int, end_id
         seen = np.zeros(size + 1, np.int64)
         at = 0
         for batch in batches:
-            for part in T.small_batches(batch, text):
+            for part in T.small_batches(batch, text, 1 << 22):
                 data, offsets = T.raw(part.column(text))
                 ids, first = tokenizer.encode(data, T.words(data, offsets))
                 out: list[tuple] = []
@@ -113,15 +150,11 @@ def plan(histogram: dict[int, int], size: int) -> np.ndarray:
     first one fill the sequences one after the other, ``per sequence`` in each.
     """
     rooms: dict[int, list[tuple[int, int]]] = {}  # room left -> ranges of sequences
-    heap: list[int] = []
     next_sequence, out = 0, []
 
     def put(room: int, first: int, count: int) -> None:
         if room and count:
-            if room not in rooms:
-                rooms[room] = []
-                heapq.heappush(heap, room)
-            rooms[room].append((first, count))
+            rooms.setdefault(room, []).append((first, count))
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
