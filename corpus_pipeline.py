@@ -33,8 +33,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id; of rows that repeat an id, one."""
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():  # as a rule: then no text is shuffled for it
+        return rows
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +47,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents kept with their mixing rate as probability; those of the clean domain have rates over 1 and stay."""
+    """Documents kept with their mixing rate as probability; those that are more likely clean than not stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mixed = mixing.mix(docs, queries.labelled_domains(docs, labels), TARGETS, whole="clean")
-    return mixing.thin(mixed, "doc_id").select(docs.columns)
+    clean = F.col("posteriors")[0] >= 0.5  # domains are in order of their names
+    return mixing.thin(mixed, "doc_id", keep=clean).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

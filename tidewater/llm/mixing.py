@@ -37,24 +37,31 @@ def posterior(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[
 
 
 def sample(labelled: DataFrame, *, text: str, domain: str, most: int, seed: int) -> tuple[list[str], list[str]]:
-    """At most ``most`` labelled texts of each domain, those that hash lowest; null domains are left out."""
+    """At most ``most`` labelled texts, those that hash lowest, whatever their domain: shares stay as they are. Null domains are left out."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(domain).alias("domain")).where("domain is not null")
-    counts = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * most / n))])[F.col("domain")]
-    few = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["h", "domain"])
-    few = few.withColumn("at", F.row_number().over(Window.partitionBy("domain").orderBy("h"))).where(F.col("at") <= most)
-    passage = F.expr("substring(text, cast(1 + pmod(h, greatest(1, length(text) - 8000)) as int), 8000)")
-    got = few.orderBy("domain", "h").select("domain", passage.alias("text")).collect()
+    few = _lowest(rows.withColumn("h", F.xxhash64("text", F.lit(seed))), rows.count(), most, "h", "domain")
+    passage = F.expr("substring(text, cast(1 + pmod(h, greatest(1, length(text) - 4000)) as int), 4000)")
+    got = few.select("domain", passage.alias("text")).collect()
     return [r["text"] for r in got], [r["domain"] for r in got]
 
 
-def train(texts: list[str], domains: list[str], *, buckets: int = 1 << 14, epochs: int = 80, rate: float = 0.05, decay: float = 1e-4) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _lowest(rows: DataFrame, n: int, most: int, h: str, tie: str) -> DataFrame:
+    """The ``most`` of n rows whose hash is lowest: a threshold thins all tasks alike, then the bound is applied."""
+    return rows.where(F.pmod(h, F.lit(1 << 20)) < min(1.0, 2.0 * most / max(n, 1)) * (1 << 20)).dropDuplicates([h, tie]).orderBy(F.pmod(h, F.lit(1 << 20)), h, tie).limit(most)
+
+
+def sample_keys(labels: DataFrame, *, key: str, domain: str, most: int, seed: int = 1) -> DataFrame:
+    """Of narrow labels (key, domain) at most ``most``, those whose keys hash lowest: a bounded table, so texts can be joined to it without a shuffle."""
+    rows = labels.select(key, domain).where(F.col(key).isNotNull() & F.col(domain).isNotNull()).dropDuplicates([key])
+    return _lowest(rows.withColumn("__h", F.xxhash64(key, F.lit(seed))), rows.count(), most, "__h", key).select(key, domain)
+
+
+def train(texts: list[str], domains: list[str], *, buckets: int = 1 << 14, epochs: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Softmax regression by Adam over all texts at once: (domains, weights, bias)."""
     names = sorted(set(domains))
     target = np.searchsorted(names, np.array(domains))
     row, bucket, n = hashed_words(pa.array(texts, pa.large_string()), buckets)
+    row, bucket = row.astype(np.int32), bucket.astype(np.int32)
     value = 1 / np.sqrt(np.maximum(n, 1))[row]
     weights, bias = np.zeros((buckets, len(names))), np.zeros(len(names))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
@@ -100,7 +107,7 @@ def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 1_000, rounds: int = 15, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 4_000, rounds: int = 15, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
     """``docs`` with columns n_tokens, posteriors (array by domain name in order) and rate.
 
     ``targets`` weighs every domain of ``labelled`` (text, domain); missing ones get
@@ -113,7 +120,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
     ``total`` is raised until its goal is a tenth above what it has: its own
     documents then get rates over 1. Repeated rows get equal rates; an
     empty table gives no rows. Columns of the new names are replaced. At most
-    ``most_labelled`` texts of a domain, of at most 8000 characters, are learned from.
+    ``most_labelled`` texts, of at most 4000 characters, are learned from, in the
+    shares that the table has.
     """
     texts, domains = sample(labelled, text=text, domain=domain, most=most_labelled, seed=seed)
     model = train(texts, domains) if texts else ([""], np.zeros((1, 1)), np.zeros(1))
@@ -156,6 +164,7 @@ def copies(docs: DataFrame, key: str, rate: str = "rate", seed: int = 5) -> Data
     return docs.withColumn("__copies", n).where("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies")
 
 
-def thin(docs: DataFrame, key: str, rate: str = "rate", seed: int = 5) -> DataFrame:
-    """Rows kept with probability min(1, rate), by a hash of the key; a row with a rate of 1 or more stays, once."""
-    return docs.where(draw(key, seed) < F.coalesce(F.col(rate), F.lit(0.0)))
+def thin(docs: DataFrame, key: str, rate: str = "rate", seed: int = 5, keep: Column | None = None) -> DataFrame:
+    """Rows kept with probability min(1, rate), by a hash of the key; a row with a rate of 1 or more, or that ``keep`` names, stays, once."""
+    stays = draw(key, seed) < F.coalesce(F.col(rate), F.lit(0.0))
+    return docs.where(stays if keep is None else stays | keep)

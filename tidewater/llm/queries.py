@@ -54,10 +54,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOMAIN_TARGETS = {"clean": 0.92, "junk": 0.05, "toxic": 0.03}
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of labelled documents: toxic, else junk if the quality is 0, else clean."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> DataFrame:
+    """(text, domain) of at most ``most`` labelled documents: toxic, else junk if the quality is 0, else clean."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+    keys = mixing.sample_keys(labels.select("doc_id", domain.alias("domain")), key="doc_id", domain="domain", most=most)
+    return docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "domain")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
