@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 def conformal_width(df: DataFrame, y: str, f: str, level: float = 0.9, by: list[str] | None = None) -> DataFrame:
     """(by, width): the exact quantile of |y - f| at min(1, level + 1 / (n + 1))."""
-    rows = df.select(*(by or []), F.abs(F.col(y) - F.col(f)).alias("r")).where("r is not null")
-    sorted_r = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("r")).alias("rs")) if by else None
-    if sorted_r is None:
+    by = by or []
+    rows = df.select(*by, F.abs(F.col(y) - F.col(f)).alias("r")).where("r is not null")
+    if not by:
         n = rows.count()
         return rows.agg(F.percentile("r", F.lit(min(1.0, level + 1 / (n + 1)))).alias("width"))
-    place = (F.col("n") - 1) * F.least(F.lit(1.0), level + 1 / (F.col("n") + 1))
-    low = F.floor(place).cast("int")
-    a, b = F.get("rs", low), F.coalesce(F.get("rs", low + 1), F.get("rs", low))
-    return sorted_r.select(*by, (a + (b - a) * (place - low)).alias("width"))
+    # The quantile's place depends on the group's size: its two neighbours in sorted order are weighed. A sort spills; an array would not.
+    own = Window.partitionBy(*by)
+    n = F.count("*").over(own)
+    placed = rows.withColumn("at", F.row_number().over(own.orderBy("r")) - 1).withColumn("place", (n - 1) * F.least(F.lit(1.0), level + 1 / (n + 1)))
+    low = F.floor("place")
+    weight = F.when(F.col("at") == low, 1 - (F.col("place") - low)).when(F.col("at") == low + 1, F.col("place") - low)
+    return placed.where(F.col("at").between(low, low + 1)).groupBy(*by).agg(F.sum(F.col("r") * weight).alias("width"))
 
 
 def conformal_intervals(df: DataFrame, calibration: DataFrame, y: str, f: str, level: float = 0.9) -> DataFrame:

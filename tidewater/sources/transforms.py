@@ -72,7 +72,10 @@ FORMATIONS = (("high", "high_propensity_applications"), ("formation", "business_
 
 
 def formations(df: DataFrame) -> DataFrame:
-    """Monthly business formation by kind, with changes and the rate of formations to applications."""
+    """Monthly business formation by kind, with changes and the rate of formations to applications.
+
+    The kinds become one national row a month, so the changes look back over a single short series.
+    """
     kind = reduce(lambda other, x: F.when(F.contains(F.lower("category"), F.lit(x[0])), x[1]).otherwise(other), reversed(FORMATIONS), F.lit(None).cast("string"))
     names = [k for _, k in FORMATIONS]
     wide = df.withColumn("kind", kind).groupBy("date").pivot("kind", names).agg(F.sum("value"))
