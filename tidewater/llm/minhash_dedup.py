@@ -37,8 +37,8 @@ from tidewater.llm import text as T
 from tidewater.llm.components import components, local_forest
 from tidewater.llm.storage import materialize
 
-#: Up to so many ids are broadcast to find the texts that need a second look (16 bytes each); above that Spark shuffles.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids, with their blocks (44 bytes each), are broadcast to find the texts that need a second look; above that Spark shuffles.
+BROADCAST_IDS = 500_000
 
 
 def _sets(table: pa.Table, text: str, shingle: int, fold: bool) -> list[np.ndarray]:
@@ -106,13 +106,9 @@ def _linked(rows: list[np.ndarray], ids: np.ndarray, left: np.ndarray, right: np
     large = np.maximum(size[left][:, None], size[right][None, :])
     least = np.minimum(need, np.ceil(small * percent / 100))
     i, j = np.nonzero((shared >= least) & (100 * small >= percent * large))
-    i, j = left[i], right[j]
+    order = np.argsort(-shared[i, j], kind="stable")
+    i, j = left[i][order], right[j][order]
     once = i != j if left is not right else i < j
-    i, j = i[once], j[once]
-    estimate = np.empty(len(i))
-    for at, (x, y) in enumerate(zip(i, j, strict=True)):  # union sketch: the k smallest of both
-        union = np.union1d(kept[x], kept[y])[:k]
-        estimate[at] = np.isin(np.intersect1d(kept[x], kept[y], assume_unique=True), union, assume_unique=True).sum() / len(union)
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -121,13 +117,18 @@ def _linked(rows: list[np.ndarray], ids: np.ndarray, left: np.ndarray, right: np
             x = parent[x]
         return x
 
-    for at in np.argsort(-estimate, kind="stable"):
-        x, y = root(int(i[at])), root(int(j[at]))
-        if x == y or (estimate[at] * k < need and min(size[i[at]], size[j[at]]) > k):
+    for x, y in zip(i[once].tolist(), j[once].tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a == b:
             continue
-        common = len(np.intersect1d(rows[i[at]], rows[j[at]], assume_unique=True))
-        if 100 * common >= percent * (size[i[at]] + size[j[at]] - common):
-            parent[max(x, y)] = min(x, y)
+        if min(size[x], size[y]) > k:  # union sketch: of the k smallest of both, those in both
+            union = np.union1d(kept[x], kept[y])[:k]
+            both = np.intersect1d(kept[x], kept[y], assume_unique=True)
+            if np.count_nonzero(both <= union[-1]) < need:
+                continue
+        common = len(np.intersect1d(rows[x], rows[y], assume_unique=True))
+        if 100 * common >= percent * (size[x] + size[y] - common):
+            parent[max(a, b)] = min(a, b)
     roots = np.array([root(x) for x in range(n)])
     node = np.flatnonzero(roots != np.arange(n))
     return ids[node], ids[roots[node]]
@@ -163,29 +164,28 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
     around = counts.select("c", "s", "blocks").join(counts.select("c", (F.col("s") - 1).alias("s"), F.col("blocks").alias("above")), ["c", "s"], "left").join(counts.select("c", (F.col("s") + 1).alias("s"), F.col("blocks").alias("below")), ["c", "s"], "left").na.fill(0)
     placed = cells.join(around, ["c", "s"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    def pairs(own: str, other: str, count: str, same: bool):
-        """Keys of the pairs of blocks that a member of block b takes part in."""
+    def pairs(end: str, count: str):
+        """Keys of the pairs of blocks that a member of block b takes part in: with blocks of its own size class, the next, or the one before."""
         rest = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
-        if same:
+        if end == "same":
             return F.transform(rest, lambda x: F.struct(F.col("s").alias("s"), F.lit(0).alias("up"), F.least("b", x).alias("x"), F.greatest("b", x).alias("y"), (F.col("b") == F.greatest("b", x)).cast("int").alias("side")))
-        if own == "low":
+        if end == "low":
             return F.transform(rest, lambda x: F.struct(F.col("s").alias("s"), F.lit(1).alias("up"), F.col("b").alias("x"), x.alias("y"), F.lit(0).alias("side")))
         return F.transform(rest, lambda x: F.struct((F.col("s") - 1).alias("s"), F.lit(1).alias("up"), x.alias("x"), F.col("b").alias("y"), F.lit(1).alias("side")))
 
-    tasks = placed.select("rep", "c", F.concat(pairs("", "", "blocks", True), pairs("low", "", "above", False), pairs("high", "", "below", False)).alias("p"))
     # Full sets are made again, of the texts that are in a component only.
+    own = ["rep", "c", "s", "b", "blocks", "above", "below"]
+    tasks = placed.select(*own)
     texts = docs.select(F.col(key).cast("long").alias("rep"), text)
-    few = cells.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(tasks) if few else tasks, "rep")
+    texts = texts.join(F.broadcast(tasks) if cells.count() <= BROADCAST_IDS else tasks, "rep")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.small_batches(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column("rep").combine_chunks(), part.column("c").combine_chunks(), part.column("p").combine_chunks(), _ragged(_sets(part, text, shingle, fold), pa.int64())], ["rep", "c", "p", "full"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in own), _ragged(_sets(part, text, shingle, fold), pa.int64())], [*own, "full"])
 
-    kind = "array<struct<s:int,up:int,x:int,y:int,side:int>>"
-    sets = texts.select("rep", "c", F.col("p").cast(kind).alias("p"), text).mapInArrow(full, f"rep long, c long, p {kind}, full array<long>")
-    sets = sets.select("rep", "c", "full", F.inline("p"))
+    sets = texts.select(*own, text).mapInArrow(full, "rep long, c long, s int, b int, blocks int, above int, below int, full array<long>")
+    sets = sets.select("rep", "c", "full", F.inline(F.concat(pairs("same", "blocks"), pairs("low", "above"), pairs("high", "below"))))
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
