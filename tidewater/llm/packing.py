@@ -34,6 +34,27 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?
 LINE = 200
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+
+
+def parted(data: np.ndarray, words: T.Words) -> tuple[np.ndarray, T.Words]:
+    """The same text with fewer different words: A-Z lower-cased, and a mark after a last letter as a word of its own.
+
+    The tokenizer does both anyhow. Lower case could make a special token of a
+    text that is none, so a batch with its opening brackets stays as it is.
+    """
+    if b"<|" not in data.tobytes():
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    last = words.end - 1
+    split = (words.end - words.start > 1) & _MARK[data[last]] & _LETTER[data[last - 1]] if len(words) else np.zeros(0, bool)
+    start = np.sort(np.concatenate([words.start, last[split]]))
+    end = np.sort(np.concatenate([words.end, last[split]]))
+    return data, T.Words(data, start, end, np.searchsorted(start, np.append(words.start, len(data))[words.first]))
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that splits at white space and marks the end of each token run.
 
@@ -82,6 +103,7 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and where each row's ids begin (one more than rows)."""
+        data, words = parted(data, words)
         lengths = words.end - words.start
         packed = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~T.SPACE[data]]))])
         coded = packed.dictionary_encode()
