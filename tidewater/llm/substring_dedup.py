@@ -26,7 +26,7 @@ from tidewater.llm import text as T
 from tidewater.llm.storage import materialize, planned_bytes, shuffle_partitions
 
 #: Words of the documents that a map task settles among themselves at once.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 
 
 def _planes(x: np.ndarray) -> bytes:
