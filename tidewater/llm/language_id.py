@@ -88,7 +88,11 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
     """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
-    codes, row, length = windows(*T.raw(pa.array(texts, pa.large_string())), window)
+    parts = []
+    for a in range(0, len(texts), 200):  # windows of few texts at once: their places take 8 bytes a byte
+        codes, row, length = windows(*T.raw(pa.array(texts[a : a + 200], pa.large_string())), window)
+        parts.append((codes, row + a, length))
+    codes, row, length = (np.concatenate(x) for x in zip(*parts, strict=True))
     target = np.searchsorted(names, np.array(labels))[row]
     chosen = np.concatenate([rng.permutation(np.flatnonzero((target == k) & (length >= min(window, 24))))[: most_windows // max(1, len(names))] for k in range(len(names))])
     # Short windows come up too: a part of the sample is cut to a random length.

@@ -60,8 +60,13 @@ def train(texts: list[str], domains: list[str], *, buckets: int = 1 << 14, epoch
     """Softmax regression by Adam over all texts at once: (domains, weights, bias)."""
     names = sorted(set(domains))
     target = np.searchsorted(names, np.array(domains))
-    row, bucket, n = hashed_words(pa.array(texts, pa.large_string()), buckets)
-    row, bucket = row.astype(np.int32), bucket.astype(np.int32)
+    rows, hashed, counts = [], [], []
+    for a in range(0, len(texts), 200):  # hashing takes some 40 bytes a byte of text
+        r, b, c = hashed_words(pa.array(texts[a : a + 200], pa.large_string()), buckets)
+        rows.append((r + a).astype(np.int32))
+        hashed.append(b.astype(np.int32))
+        counts.append(c)
+    row, bucket, n = np.concatenate(rows), np.concatenate(hashed), np.concatenate(counts)
     value = 1 / np.sqrt(np.maximum(n, 1))[row]
     weights, bias = np.zeros((buckets, len(names))), np.zeros(len(names))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
