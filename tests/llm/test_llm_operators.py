@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on the cases that their docstrings define."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -397,6 +398,34 @@ def test_urls(spark):
     assert url_filters.judge(pages.limit(0), none, queries.URL_RULES).count() == 0
 
 
+def test_rare_but_sure_url_rules_are_found(spark):
+    common = [(f"https://a{f}-b{f}-c{f}.d{f}.e{f}.com/p{'wxyz'[f]}/q{'wxyz'[f]}/r{'wxyz'[f]}/{k}?s{f}=1&t{f}=2", k % 2 == 0) for f in range(4) for k in range(120)]
+    pairs = [(f"https://{h}.{d}.org/{k}", h + d == "eastnorth") for h in ("east", "west") for d in ("north", "south") for k in range(8)]
+    rare = [(f"https://rare-pills.net/{k}", True) for k in range(20)] + [(f"https://tiny-casino.net/{k}", True) for k in range(3)]
+    labels = dict(common + pairs + rare)
+    labelled = spark.createDataFrame(list(labels.items()), "url string, unwanted boolean")
+    learned = url_filters.learn(labelled)
+    rules = {tuple(r["items"]): r.confidence for r in learned.rules.collect()}
+    assert {("word:pills",), ("word:casino",), ("host:east", "host:north")} <= set(rules) and learned.n == len(rules)
+    bad, every = defaultdict(set), defaultdict(set)
+    for u, t in labelled.select("url", url_filters.tokens(F.col("url"))).collect():
+        for n in (1, 2, 3):
+            for c in itertools.combinations(sorted(t), n):
+                every[c].add(u)
+                if labels[u]:
+                    bad[c].add(u)
+    sure = {c for c in bad if len(bad[c]) >= 3 and len(bad[c]) >= 0.9 * len(every[c])}
+    assert set(rules) == {c for c in sure if not any(p in sure for n in range(1, len(c)) for p in itertools.combinations(c, n))}
+
+
+def test_url_rules_are_the_same_by_shuffle(spark, monkeypatch):
+    labelled = spark.createDataFrame([(f"https://{h}.{d}.org/{k}", h + d == "eastnorth") for h in ("east", "west") for d in ("north", "south") for k in range(8)], "url string, unwanted boolean")
+    pages = labelled.selectExpr("url", "unwanted")
+    one = {(r.url, r.verdict) for r in url_filters.judge(pages, url_filters.learn(labelled), {}).collect()}
+    monkeypatch.setattr(url_filters, "BROADCAST_SETS", -1)
+    assert {(r.url, r.verdict) for r in url_filters.judge(pages, url_filters.learn(labelled), {}).collect()} == one == {(r.url, "block" if r.unwanted else "allow") for r in pages.collect()}
+
+
 # 10
 
 

@@ -1,23 +1,26 @@
 """URL filters: listed host and path rules, then association rules mined from labelled URLs.
 
-FP-growth finds token combinations that are frequent among unwanted URLs; their
-confidence is counted over all labelled URLs, and a combination is dropped if it
-is too rare, not sure enough, or contains a shorter one that is kept. A rule
-stands in the inverted index under its rarest token; a URL looks up its tokens
-and a rule found holds if the URL has all of its tokens. DataFrame operations
-only.
+FP-growth finds token combinations that are frequent among unwanted URLs: tokens
+in order of frequency, equal URLs merged, and conditional pattern bases grown up
+to the longest rule. Each base carries all labelled URLs, so a combination's
+confidence is counted with it, for every frequent one. A combination is dropped
+if it is too rare, not sure enough, or contains a shorter one that is kept. A
+rule stands in the inverted index under its rarest token; a URL looks up its
+tokens and a rule found holds if the URL has all of its tokens. DataFrame
+operations only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.storage import materialize
 
+#: Up to so many rules or token sets are broadcast, after a count; above that Spark shuffles.
+BROADCAST_SETS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,46 +64,68 @@ def tokens(url: Column) -> Column:
 
 @dataclass
 class UrlRules:
-    """rules: (rule_id, items, rare, support, confidence); at most ``most`` rows."""
+    """rules: (rule_id, items, rare, support, confidence); n: their number."""
 
     rules: DataFrame
-    most: int
+    n: int
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule_id) for each rule whose tokens ``urls`` (url, tokens) has all. The index is bounded by the number of rules."""
-    entries = urls.select("url", "tokens", F.explode("tokens").alias("rare"))
-    return entries.join(F.broadcast(rules.select("rare", "rule_id", "items")), "rare").where(F.size(F.array_except("items", "tokens")) == 0).select("url", "rule_id")
+def _hinted(sets: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(sets) if n <= BROADCAST_SETS else sets
 
 
-def learn(labelled: DataFrame, *, url: str = "url", label: str = "unwanted", min_share: float = 0.02, min_count: int = 3, min_confidence: float = 0.9, longest: int = 3, most: int = 1_000) -> UrlRules:
+def match(urls: DataFrame, learned: UrlRules) -> DataFrame:
+    """(url, rule_id, items) for each rule whose tokens ``urls`` (url, tokens) has all."""
+    entries = urls.select("url", "tokens", F.explode("tokens").alias("rare"))
+    rules = learned.rules.select("rare", "rule_id", "items")
+    return entries.join(_hinted(rules, learned.n), "rare").where(F.size(F.array_except("items", "tokens")) == 0).select("url", "rule_id", "items")
+
+
+def _grown(rows: DataFrame, counts: DataFrame, sure: Column, min_count: int, longest: int) -> list[DataFrame]:
+    """(items, n, bad) of the frequent sets of each length from 2 to ``longest``, none of which holds a sure token or grows from a sure set."""
+    words = materialize(counts.where((F.col("bad") >= min_count) & ~sure).select("item", "bad"), "url-words")
+    own = rows.select("url", "unwanted", F.explode("tokens").alias("item")).join(_hinted(words, words.count()), "item")
+    # The most frequent token first; URLs that are equal in these tokens are one row.
+    line = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("bad")).alias("order"), "item"))), lambda x: x["item"])
+    lines = own.groupBy("url", "unwanted").agg(line.alias("prefix"))
+    base = lines.groupBy("prefix").agg(F.count("*").alias("n"), F.count_if("unwanted").alias("bad")).select(F.array().cast("array<string>").alias("suffix"), "prefix", "n", "bad")
+    base = materialize(base, "url-lines")
+    found, grow = [], None
+    for _ in range(longest - 1):
+        ends = base.select("suffix", F.posexplode("prefix").alias("at", "item"), "prefix", "n", "bad").select(F.array_append("suffix", F.col("item")).alias("suffix"), F.expr("slice(prefix, 1, at)").alias("prefix"), "n", "bad")
+        if grow is not None:
+            ends = ends.join(_hinted(grow, grow.count()), "suffix", "left_semi")
+        base = ends.where(F.size("prefix") > 0).groupBy("suffix", "prefix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        base = materialize(base, "url-bases")
+        sets = base.select("suffix", F.explode("prefix").alias("item"), "n", "bad").groupBy("suffix", "item").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= min_count)
+        sets = materialize(sets.select(F.array_append("suffix", F.col("item")).alias("items"), "n", "bad"), "url-sets")
+        found.append(sets)
+        grow = sets.where(~sure).select(F.col("items").alias("suffix"))
+    return found
+
+
+def learn(labelled: DataFrame, *, url: str = "url", label: str = "unwanted", min_count: int = 3, min_confidence: float = 0.9, longest: int = 3) -> UrlRules:
     """Mine rules from ``labelled`` (url, unwanted: boolean).
 
-    Combinations of at most ``longest`` tokens that ``min_share`` of unwanted URLs
-    (and ``min_count``) have, unwanted in ``min_confidence`` of all labelled URLs
-    that have them; the ``most`` frequent candidates are counted. Equal URLs count
-    once for each label. Null URLs and labels teach nothing; without unwanted URLs
-    there are no rules.
+    All combinations of at most ``longest`` tokens that ``min_count`` unwanted URLs
+    have, however large the table, unwanted in ``min_confidence`` of all labelled
+    URLs that have them. Equal URLs count once for each label. Null URLs and labels
+    teach nothing; without unwanted URLs there are no rules.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(url).alias("url"), F.col(label).alias("unwanted")).where("url is not null and unwanted is not null").distinct()
     rows = materialize(rows.withColumn("tokens", tokens(F.col("url"))).where(F.size("tokens") > 0), "url-tokens")
-    bad = rows.where("unwanted")
-    n_bad = bad.count()
+    n_bad = rows.where("unwanted").count()
     kind = "rule_id long, items array<string>, rare string, support double, confidence double"
     if not n_bad:
-        return UrlRules(spark.createDataFrame([], kind), most)
-    found = FPGrowth(itemsCol="tokens", minSupport=max(min_share, min(1.0, min_count / n_bad)), minConfidence=1.0).fit(bad.select("tokens")).freqItemsets
-    candidates = found.where(F.size("items") <= longest).orderBy(F.desc("freq"), F.size("items"), F.array_join(F.array_sort("items"), " ")).limit(most)
-    candidates = materialize(candidates.select(F.array_sort("items").alias("items")), "url-candidates").withColumn("rule_id", F.xxhash64("items"))
-    counts = rows.select(F.explode("tokens").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    rare = candidates.select("rule_id", "items", F.explode("items").alias("item")).join(counts, "item").groupBy("rule_id", "items").agg(F.min_by("item", F.struct("n", "item")).alias("rare"))
-    rare = materialize(rare, "url-index")
-    hits = match(rows.select("url", "tokens"), rare).distinct().join(rows.select("url", "unwanted"), "url")
-    judged = hits.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("unwanted").alias("bad"))
-    kept = judged.where((F.col("bad") >= min_count) & (F.col("bad") >= min_confidence * F.col("n")) & (F.col("bad") >= min_share * n_bad))
-    kept = rare.join(kept, "rule_id").select("rule_id", "items", "rare", (F.col("bad") / n_bad).alias("support"), (F.col("bad") / F.col("n")).alias("confidence"))
-    kept = materialize(kept, "url-kept")
+        return UrlRules(spark.createDataFrame([], kind), 0)
+    counts = rows.select("unwanted", F.explode("tokens").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.count_if("unwanted").alias("bad"))
+    counts = materialize(counts.where(F.col("bad") >= min_count), "url-counts")
+    sure = F.col("bad") >= min_confidence * F.col("n")
+    kept = counts.select(F.array("item").alias("items"), "n", "bad").where(sure)
+    for sets in _grown(rows, counts, sure, min_count, longest):
+        kept = kept.unionByName(sets.where(sure))
+    kept = materialize(kept.withColumn("items", F.array_sort("items")).withColumn("rule_id", F.xxhash64("items")), "url-kept")
     # A rule goes if one of its parts is a rule; parts of at most `longest` tokens are few.
     whole = kept.select(F.array_join("items", "\n").alias("name"))
     drop = [F.transform("items", lambda x: F.array(x))]
@@ -108,7 +133,10 @@ def learn(labelled: DataFrame, *, url: str = "url", label: str = "unwanted", min
         drop.append(F.transform("items", lambda x: F.array_remove(F.col("items"), x)))
     parts = kept.where(F.size("items") > 1).select("rule_id", F.explode(F.concat(*drop)).alias("part")).where(F.size("part") > 0).select("rule_id", F.array_join("part", "\n").alias("name"))
     minimal = kept.join(parts.join(whole, "name").select("rule_id").distinct(), "rule_id", "left_anti")
-    return UrlRules(materialize(minimal, "url-rules"), most)
+    rare = minimal.select("rule_id", F.explode("items").alias("item")).join(counts.select("item", F.col("n").alias("many")), "item").groupBy("rule_id").agg(F.min_by("item", F.struct("many", "item")).alias("rare"))
+    minimal = minimal.join(rare, "rule_id").select("rule_id", "items", "rare", (F.col("bad") / n_bad).alias("support"), (F.col("bad") / F.col("n")).alias("confidence"))
+    minimal = materialize(minimal, "url-rules")
+    return UrlRules(minimal, minimal.count())
 
 
 def judge(pages: DataFrame, learned: UrlRules, rules: dict[str, str], *, url: str = "url") -> DataFrame:
@@ -122,8 +150,7 @@ def judge(pages: DataFrame, learned: UrlRules, rules: dict[str, str], *, url: st
     new = ("host", "path", "rule", "verdict", "mined")
     kept = [c for c in pages.columns if c not in new]
     urls = pages.select(F.col(url).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    names = learned.rules.select("rule_id", F.array_join("items", " ").alias("name"))
-    hits = match(urls, learned.rules).join(F.broadcast(names), "rule_id").groupBy("url").agg(F.min("name").alias("mined")).withColumnRenamed("url", "__url")
+    hits = match(urls, learned).groupBy(F.col("url").alias("__url")).agg(F.min(F.array_join("items", " ")).alias("mined"))
     rows = pages.select(*kept).join(hits, F.col(url) == F.col("__url"), "left").drop("__url")
     rows = rows.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
