@@ -418,6 +418,16 @@ def test_rare_but_sure_url_rules_are_found(spark):
     assert set(rules) == {c for c in sure if not any(p in sure for n in range(1, len(c)) for p in itertools.combinations(c, n))}
 
 
+def test_url_rules_see_all_of_a_url(spark):
+    bad = ["https://casino.a.b{}.example.com/", "https://a-b-c-d-pills{}-cheap.org/", "https://h.org/a/b/c/{}/warez", "https://h.org/?a=1&b={}&adult=1"]
+    fine = ["https://shop.a.b{}.example.com/", "https://a-b-c-d-{}-books.org/", "https://h.org/a/b/c/{}/news", "https://h.org/?a=1&b={}&page=1"]
+    rows = [(u.format(k), t) for urls, t in ((bad, True), (fine, False)) for u in urls for k in range(5)]
+    labelled = spark.createDataFrame(rows, "url string, unwanted boolean")
+    got = {r.url: r.mined for r in url_filters.judge(labelled.select("url"), url_filters.learn(labelled), {}).collect()}
+    assert {u for u, rule in got.items() if rule} == {u for u, t in rows if t}
+    assert set(got.values()) == {None, "host:casino", "word:cheap", "path:warez", "key:adult"}
+
+
 def test_url_rules_are_the_same_by_shuffle(spark, monkeypatch):
     labelled = spark.createDataFrame([(f"https://{h}.{d}.org/{k}", h + d == "eastnorth") for h in ("east", "west") for d in ("north", "south") for k in range(8)], "url string, unwanted boolean")
     pages = labelled.selectExpr("url", "unwanted")

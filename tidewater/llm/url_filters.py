@@ -49,17 +49,16 @@ def listed(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, C
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: the last 4 host labels, words of hyphenated labels, the first 3 path parts without digits, the first 2 query keys."""
+    """Distinct tokens: all host labels, words of hyphenated labels, path parts without digits, and query keys."""
     labels = F.filter(F.split(host(url), "[.]"), lambda x: x != "")
     words = F.filter(F.flatten(F.transform(labels, lambda x: F.when(F.contains(x, F.lit("-")), F.split(x, "-")).otherwise(F.array().cast("array<string>")))), lambda x: x != "")
     parts = F.filter(F.split(path(url), "/"), lambda x: (x != "") & ~x.rlike("[0-9]"))
     keys = F.filter(F.transform(F.split(F.regexp_extract(url, r"[?]([^#]*)", 1), "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
 
-    def some(kind: str, array: Column, n: int, last: bool = False) -> Column:
-        kept = F.when(F.size(array) > n, F.slice(array, -n if last else 1, n)).otherwise(array)
-        return F.transform(kept, lambda x: F.concat(F.lit(kind), x))
+    def some(kind: str, array: Column) -> Column:
+        return F.transform(array, lambda x: F.concat(F.lit(kind), x))
 
-    return F.coalesce(F.array_distinct(F.concat(some("host:", labels, 4, True), some("word:", words, 4), some("path:", parts, 3), some("key:", keys, 2))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.concat(some("host:", labels), some("word:", words), some("path:", parts), some("key:", keys))), F.array().cast("array<string>"))
 
 
 @dataclass
