@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import language_id, mixing, queries
-from tidewater.llm.minhash_dedup import near_duplicates
+from tidewater.llm.minhash_dedup import near_sets, with_sets
 from tidewater.llm.packing import pack
 from tidewater.llm.storage import materialize
 from tidewater.llm.substring_dedup import deduplicate
@@ -30,19 +30,42 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return judged.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    return materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id; of rows that repeat an id, one."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id.
+
+    Rows that repeat an id with other texts are documents of their own; of those
+    that also have one set of shingles, or one wordless text, the smallest row
+    stays. Rows with a null id are compared with nothing and all stay.
+    """
+    judged = materialize(near_sets(docs).where("kept and doc is not null"), "kept-sets")
+    repeated = repeated_ids(docs)
+    rows = docs.where("doc_id is null").unionByName(docs.join(judged.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(docs.columns))
     if repeated.isEmpty():  # as a rule: then no text is shuffled for it
         return rows
-    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    own = with_sets(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    sets = judged.select(F.col("doc").alias("doc_id"), F.col("n").alias("__n"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    own = own.join(sets, ["doc_id", "__n", "__k1", "__k2"], "left_semi")
+    wordless = F.when(F.col("__n") == 0, F.col("text")).alias("__text")
+    own = own.groupBy("doc_id", "__n", "__k1", "__k2", wordless).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("__row"))
+    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(own.select("__row.*").select(docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 30 words or more that stand earlier; documents that lose all words go."""
-    out = deduplicate(docs, window=30)
+    """Texts without passages of 30 words or more that stand earlier; documents that lose all words go.
+
+    Texts that share an id are documents of their own, by hash, after all others.
+    """
+    repeated = repeated_ids(docs)
+    if repeated.isEmpty():
+        out = deduplicate(docs, window=30)
+    else:
+        own = F.when(F.col("__again"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)).otherwise(F.col("doc_id"))
+        keyed = docs.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left").withColumn("__key", own).drop("__again")
+        out = deduplicate(keyed, key="__key", window=30)
     return out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -26,3 +26,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_copies_lose_no_other_document(spark):
+    text = [" ".join(f"w{k}_{i}" for i in range(40)) for k in range(6)]
+    near = text[1] + " tail"
+    rows = [(None, text[0]), (None, text[0]), (1, text[0]), (5, text[1]), (5, text[2]), (3, near), (5, text[2]), (5, text[2].upper()), (7, text[3]), (7, text[4]), (8, text[4]), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, DATA).collect()]
+    want = [(None, text[0]), (None, text[0]), (1, text[0]), (5, text[2].upper()), (3, near), (7, text[3]), (7, text[4]), (9, ""), (9, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_passages_of_texts_that_share_an_id(spark):
+    passage, one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "pab")
+    rows = [(1, passage), (5, f"{passage} {one}"), (5, two), (None, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text.strip()) for r in corpus_pipeline.remove_repeated_passages(spark, docs, DATA).collect()}
+    assert got == {(1, passage), (5, one), (5, two), (None, passage)}

@@ -37,8 +37,10 @@ from tidewater.llm import text as T
 from tidewater.llm.components import components, local_forest
 from tidewater.llm.storage import materialize
 
-#: Up to so many ids, with their blocks (44 bytes each), are broadcast to find the texts that need a second look; above that Spark shuffles.
+#: Up to so many ids, with their blocks (60 bytes each), are broadcast to find the texts that need a second look; above that Spark shuffles.
 BROADCAST_IDS = 500_000
+#: Added to shingle hashes for the second half of a set's hash.
+SECOND = 0x5851F42D4C957F2D
 
 
 def _sets(table: pa.Table, text: str, shingle: int, fold: bool) -> list[np.ndarray]:
@@ -65,6 +67,10 @@ def _ragged(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(T.signed(np.concatenate(rows) if rows else np.zeros(0, np.uint64)), kind))
 
 
+def _hashed(sets: list[np.ndarray], plus: int = 0) -> np.ndarray:
+    return np.array([np.add.reduce(T.mix(s + np.uint64(plus))) for s in sets], np.uint64)
+
+
 def sketches(docs: DataFrame, *, text: str, key: str, shingle: int, k: int, fold: bool) -> DataFrame:
     """(doc, n, k1, k2, sketch) for every row; k1 and k2 are a 128-bit hash of the set."""
 
@@ -72,8 +78,7 @@ def sketches(docs: DataFrame, *, text: str, key: str, shingle: int, k: int, fold
         for batch in batches:
             for part in T.small_batches(batch, text):
                 sets = _sets(part, text, shingle, fold)
-                one = np.array([np.add.reduce(T.mix(s)) for s in sets], np.uint64)
-                two = np.array([np.add.reduce(T.mix(s + np.uint64(0x5851F42D4C957F2D))) for s in sets], np.uint64)
+                one, two = _hashed(sets), _hashed(sets, SECOND)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key).combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(one)), pa.array(T.signed(two)), _ragged([s[:k] for s in sets], pa.int64())],
                     ["doc", "n", "k1", "k2", "sketch"],
@@ -156,8 +161,8 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
     near = components(prefix.join(heads, "v").select(F.col("rep").alias("a"), F.col("head").alias("b")))
 
     # Blocks: by component and class of sizes; a size class reaches a factor of 1 / threshold.
-    cells = near.join(reps.select(F.col("rep").alias("node"), "n"), "node").select(
-        F.col("node").alias("rep"), F.col("component").alias("c"), F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int").alias("s")
+    cells = near.join(reps.select(F.col("rep").alias("node"), "doc", "k1", "n"), "node").select(
+        F.col("node").alias("rep"), "doc", "k1", F.col("component").alias("c"), F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int").alias("s")
     )
     cells = materialize(cells, "cells")
     counts = cells.groupBy("c", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -173,18 +178,21 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
             return F.transform(rest, lambda x: F.struct(F.col("s").alias("s"), F.lit(1).alias("up"), F.col("b").alias("x"), x.alias("y"), F.lit(0).alias("side")))
         return F.transform(rest, lambda x: F.struct((F.col("s") - 1).alias("s"), F.lit(1).alias("up"), x.alias("x"), F.col("b").alias("y"), F.lit(1).alias("side")))
 
-    # Full sets are made again, of the texts that are in a component only.
+    # Full sets are made again, of the texts that are in a component only; of texts that share an id, each class finds its own by its hash.
     own = ["rep", "c", "s", "b", "blocks", "above", "below"]
-    tasks = placed.select(*own)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), text)
-    texts = texts.join(F.broadcast(tasks) if cells.count() <= BROADCAST_IDS else tasks, "rep")
+    tasks = placed.select("doc", "k1", *own)
+    texts = docs.select(F.col(key).cast("long").alias("doc"), text)
+    texts = texts.join(F.broadcast(tasks) if cells.count() <= BROADCAST_IDS else tasks, "doc")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.small_batches(batch, text):
-                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in own), _ragged(_sets(part, text, shingle, fold), pa.int64())], [*own, "full"])
+                sets = _sets(part, text, shingle, fold)
+                mine = np.flatnonzero(_hashed(sets) == part.column("k1").to_numpy().view(np.uint64))
+                rows = part.select(own).take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in own), _ragged([sets[i] for i in mine], pa.int64())], [*own, "full"])
 
-    sets = texts.select(*own, text).mapInArrow(full, "rep long, c long, s int, b int, blocks int, above int, below int, full array<long>")
+    sets = texts.select("k1", *own, text).mapInArrow(full, "rep long, c long, s int, b int, blocks int, above int, below int, full array<long>")
     sets = sets.select("rep", "c", "full", F.inline(F.concat(pairs("same", "blocks"), pairs("low", "above"), pairs("high", "below"))))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -207,6 +215,45 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
     return sets.groupBy("c", "s", "up", "x", "y").applyInArrow(compare, "a long, b long")
 
 
+def with_sets(docs: DataFrame, *, text: str = "text", shingle: int = 5, fold: bool = True) -> DataFrame:
+    """``docs`` with __n, __k1 and __k2: size and 128-bit hash of each row's set."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.small_batches(batch, text):
+                sets = _sets(part, text, shingle, fold)
+                new = [pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(_hashed(sets))), pa.array(T.signed(_hashed(sets, SECOND)))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), *new], [*names, "__n", "__k1", "__k2"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*docs.dtypes, ("__n", "long"), ("__k1", "long"), ("__k2", "long")]))
+
+
+def near_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, k: int = 64, fold: bool = True, block: int = 256) -> DataFrame:
+    """(doc, n, k1, k2, component_id, kept) for every row of ``docs``, as near_duplicates; n, k1 and k2 tell the sets of one key apart."""
+    rows = materialize(sketches(docs, text=text, key=key, shingle=shingle, k=k, fold=fold), "sketches")
+    some = rows.where("n > 0 and doc is not null")
+    reps = materialize(some.groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")), "classes")
+    twice = materialize(reps.groupBy("doc").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "n")).alias("low")).where("c > 1").select("doc", "low"), "shared-ids")
+    clash = not twice.isEmpty()
+    if clash:  # of classes with one smallest id, all but the first are nodes of their own
+        other = F.col("low").isNotNull() & (F.col("low") != F.struct("k1", "k2", "n"))
+        reps = materialize(reps.join(twice, "doc", "left").withColumn("rep", F.when(other, F.xxhash64("doc", "k1", "k2", "n")).otherwise(F.col("doc"))).drop("low"), "classes")
+    else:
+        reps = reps.withColumn("rep", F.col("doc"))
+    found = components(links(docs, reps, text=text, key=key, shingle=shingle, k=k, fold=fold, percent=percent, block=block))
+    found = found.select(F.col("node").alias("rep"), F.col("component").alias("head"), F.col("component").alias("first"))
+    if clash:  # a component goes by its smallest id, not its smallest node
+        heads = found.join(reps.select("rep", "doc"), "rep").groupBy("first").agg(F.min(F.struct("doc", "rep")).alias("low"))
+        found = found.drop("head").join(heads, "first").select("rep", F.col("low.doc").alias("head"), F.col("low.rep").alias("first"))
+    labelled = reps.select("n", "k1", "k2", "rep", F.col("doc").alias("least")).join(found, "rep", "left")
+    labelled = labelled.select("n", "k1", "k2", F.coalesce("head", "least").alias("component_id"), F.coalesce(F.col("first") == F.col("rep"), F.lit(True)).alias("leads"))
+    out = rows.drop("sketch").join(labelled, ["n", "k1", "k2"], "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
+    kept = F.coalesce((F.col("doc") == component) & F.coalesce("leads", F.lit(True)), F.lit(True))
+    return out.select("doc", "n", "k1", "k2", component.alias("component_id"), kept.alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, k: int = 64, fold: bool = True, block: int = 256) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -215,14 +262,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     shingle has: their whole sequence is the one shingle. Documents without words
     and null texts have an empty set, link with nothing and are kept. A row with a
     null key links with nothing, has no component and is kept. Rows that repeat a
-    key: the first set found for it counts, and each row is returned. An empty
-    table gives no rows; other columns are not read.
+    key: each distinct set of it is compared by itself, and each row is returned, kept
+    if its own set leads its component. An empty table gives no rows; other columns
+    are not read.
     """
-    rows = materialize(sketches(docs, text=text, key=key, shingle=shingle, k=k, fold=fold), "sketches")
-    some = rows.where("n > 0 and doc is not null")
-    reps = materialize(some.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    found = components(links(docs, reps, text=text, key=key, shingle=shingle, k=k, fold=fold, percent=percent, block=block))
-    labelled = reps.select("n", "k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("sketch").join(labelled, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    out = near_sets(docs, text=text, key=key, shingle=shingle, percent=percent, k=k, fold=fold, block=block)
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
