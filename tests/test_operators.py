@@ -330,3 +330,20 @@ def test_provenance_and_reports(spark):
 
 def test_stability():
     assert models.stable(models.companion([np.eye(2) * 0.5, np.eye(2) * 0.1])) and not models.stable(np.eye(2))
+
+
+def test_quantile_forecast_is_the_whole_model(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    from tidewater.plans import models as plans
+
+    fits = []
+    small = GBTRegressor.fit
+
+    def fit(self, rows):
+        fits.append((self.getMaxIter(), self.getMaxDepth()))
+        return small(self.setMaxIter(1).setMaxDepth(1), rows.limit(20))
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    out = plans.quantile_forecast(spark, "/root/testdata/sf0.001")
+    assert fits == [(100, 5)] * 21 and out.columns == ["series", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"]

@@ -148,7 +148,7 @@ def filtered_levels(df: DataFrame, *, key: str = "series", ts: str = "ts", value
     return df.select(key, ts, value).groupBy(key).applyInPandas(run, f"`{key}` {kind[key]}, `{ts}` {kind[ts]}, `{value}` double, level double")
 
 
-def quantile_forest(train: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), rounds: int = 3, trees: int = 10, depth: int = 3, seed: int = 42):
+def quantile_forest(train: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95), rounds: int = 3, trees: int = 100, depth: int = 5, seed: int = 42):
     """Boosted trees for each quantile: squared error, refitted with weights q above the last fit and 1 - q below it."""
     make = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
     base = make.transform(train).select("__x", F.col(y).cast("double").alias("__y"))
