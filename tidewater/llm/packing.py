@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidewater.llm import text as T
 from tidewater.llm.storage import materialize
 
-#: Words whose ids a Python worker keeps at most, for speed alone.
-KEPT_WORDS = 700_000
+#: Words after which a worker lays its ids aside and begins anew, for speed alone; it looks among those laid aside, too. Some 70 MB in all.
+KEPT_WORDS = 180_000
 #: A run of Latin letters, and perhaps one mark after it: one token run, or two. Others are encoded by themselves.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 #: Plain words that are encoded as one line.
@@ -72,6 +72,22 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def known(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of different words. Words in use stay; those not seen for long go."""
+        if len(self.ids) > KEPT_WORDS:
+            self.older, self.ids = self.ids, {}
+        new = []
+        for x in texts:
+            if x not in self.ids:
+                old = self.older.get(x)
+                if old is None:
+                    new.append(x)
+                else:
+                    self.ids[x] = old
+        self.learn(new)
+        return [self.ids[x] for x in texts]
 
     def learn(self, new: list[bytes]) -> None:
         """Keep the ids of new words."""
@@ -108,12 +124,7 @@ class WordTokenizer:
         packed = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~T.SPACE[data]]))])
         coded = packed.dictionary_encode()
         code, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        new = [x for x in texts if x not in self.ids]
-        if len(self.ids) + len(new) > KEPT_WORDS:
-            self.ids.clear()
-            new = texts
-        self.learn(new)
-        own = [self.ids[x] for x in texts]
+        own = self.known(texts)
         count = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat = np.frombuffer(b"".join(own), "<u4")
         begin = np.cumsum(count) - count
@@ -147,7 +158,7 @@ def pieces(docs: DataFrame, spec: str, *, text: str, key: str, size: int, end_id
         seen = np.zeros(size + 1, np.int64)
         at = 0
         for batch in batches:
-            for part in T.small_batches(batch, text, 1 << 22):
+            for part in T.small_batches(batch, text, 1 << 21):
                 data, offsets = T.raw(part.column(text))
                 ids, first = tokenizer.encode(data, T.words(data, offsets))
                 out: list[tuple] = []
@@ -160,6 +171,7 @@ def pieces(docs: DataFrame, spec: str, *, text: str, key: str, size: int, end_id
                         at += 1
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "piece", "start", "length", "ids_crc32", "task", "own_rank"])
+        T.release()
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, PIECE)
 

@@ -10,7 +10,10 @@ to their documents, adjoining and overlapping windows merge into maximal
 intervals, and their words go.
 
 Entries travel packed: a row holds the entries of one chunk for one bucket of
-hashes, 8 bytes a hash and about one byte for its place.
+hashes, 12 bytes a window and about one byte for its place. Windows are equal if
+both hashes are, 96 bits in all: of 10**13 windows fewer than one in a thousand
+such corpora would lose one by chance. A bucket holds some 250,000 entries
+however large the corpus is.
 """
 
 from __future__ import annotations
@@ -23,10 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as T
-from tidewater.llm.storage import materialize, planned_bytes, shuffle_partitions
+from tidewater.llm.storage import materialize, shuffle_partitions
 
 #: Words of the documents that a map task settles among themselves at once.
 CHUNK_WORDS = 1_000_000
+#: Entries of a bucket, on average: what one Python worker holds at once, at some 100 bytes each.
+BUCKET_ENTRIES = 250_000
+#: Fewer bytes than a word and the space after it have in any usual text.
+WORD_BYTES = 6
+#: Added to word hashes for the second hash of a window.
+SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -57,7 +66,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-ENTRY = "kind int, at long, ids binary, counts binary, hashes binary, places binary"
+ENTRY = "kind int, at long, ids binary, counts binary, hashes binary, more binary, places binary"
 PLACES = "at long, ids binary, counts binary, places binary"
 
 
@@ -70,17 +79,17 @@ def _by_document(doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[t
         yield int(bucket[a]), *_packed(doc[a:b], start[a:b])
 
 
-def _chunk(ids: np.ndarray, h: list[np.ndarray], window: int, buckets: int) -> Iterator[tuple]:
+def _chunk(ids: np.ndarray, h: list[np.ndarray], g: list[np.ndarray], buckets: int) -> Iterator[tuple]:
     """Rows of one chunk of documents: of kind 0 what goes to a bucket, of kind 1 the settled repeats."""
     order = np.argsort(ids, kind="stable")
-    ids, h = ids[order], [h[i] for i in order]
-    count = np.array([len(x) for x in h])
-    keys = np.concatenate(h)
+    ids = ids[order]
+    count = np.array([len(h[i]) for i in order])
+    keys, more = np.concatenate([h[i] for i in order]), np.concatenate([g[i] for i in order])
     doc = np.repeat(np.arange(len(ids)), count)
     start = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
     by = np.argsort(keys, kind="stable")  # equal hashes in order of (id, start)
-    sorted_keys = keys[by]
-    new = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
+    # Where one first hash has windows of two second ones, some that are equal stay apart here and are settled later.
+    new = np.r_[True, (keys[by[1:]] != keys[by[:-1]]) | (more[by[1:]] != more[by[:-1]])]
     head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
     same_place = (ids[doc[by]] == ids[doc[head]]) & (start[by] == start[head])  # a row that repeats an id
     first = np.zeros(len(keys), bool)
@@ -89,7 +98,8 @@ def _chunk(ids: np.ndarray, h: list[np.ndarray], window: int, buckets: int) -> I
     later[by] = ~new & ~same_place
     gone = np.flatnonzero(later)
     for at, own, counts, places in _by_document(ids[doc[gone]], start[gone], buckets):
-        yield 1, at, own, counts, None, places
+        yield 1, at, own, counts, None, None, places
+    del by, new, head, same_place, later, gone
     kept = np.flatnonzero(first)
     bucket = (keys[kept] >> np.uint64(40)) % np.uint64(buckets)
     kept = kept[np.argsort(bucket, kind="stable")]
@@ -97,7 +107,7 @@ def _chunk(ids: np.ndarray, h: list[np.ndarray], window: int, buckets: int) -> I
     for a, b in _spans(bucket):
         part = kept[a:b]
         own, counts, places = _packed(ids[doc[part]], start[part])
-        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), places
+        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), more[part].tobytes(), places
 
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -111,28 +121,34 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         rows: list[np.ndarray] = []
+        more: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            out = list(zip(*_chunk(np.array(ids, np.int64), rows, window, buckets), strict=True))
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out or [[]] * 6, kinds, strict=True)], ["kind", "at", "ids", "counts", "hashes", "places"])
+            out = list(zip(*_chunk(np.array(ids, np.int64), rows, more, buckets), strict=True))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out or [[]] * 7, kinds, strict=True)], ["kind", "at", "ids", "counts", "hashes", "more", "places"])
 
         for batch in batches:
             for part in T.small_batches(batch, text):
                 words = T.words(*T.raw(part.column(text)))
-                rolled = T.rolled(words.hashes(), window)
+                hashes = words.hashes()
+                rolled, second = T.rolled(hashes, window), T.rolled(T.mix(hashes + SECOND), window).astype(np.uint32)
                 for i, doc in enumerate(part.column(key).to_pylist()):
                     n = words.first[i + 1] - words.first[i] - window + 1
                     if n > 0:
                         ids.append(doc)
                         rows.append(rolled[words.first[i] : words.first[i] + n])
+                        more.append(second[words.first[i] : words.first[i] + n])
                         held += n
                 if held >= CHUNK_WORDS:
                     yield flush()
-                    ids, rows, held = [], [], 0
+                    ids, rows, more, held = [], [], [], 0
         if ids:
             yield flush()
+        rows.clear()
+        more.clear()
+        T.release()
 
     def settle(table: pa.Table) -> pa.Table:
         """Of a bucket of hashes: every entry but the first of its hash. What is settled passes."""
@@ -141,14 +157,15 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             return pa.table({"at": table.column("at"), **dict(zip(("ids", "counts", "places"), (table.column(c) for c in ("ids", "counts", "places")), strict=True))})
         doc, start = (np.concatenate(x) for x in zip(*map(_unpacked, *parts), strict=True))
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+        more = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()])
         by = np.argsort(keys)
         sorted_keys = keys[by]
         equal = sorted_keys[1:] == sorted_keys[:-1]
         by = by[np.r_[False, equal] | np.r_[equal, False]]  # the others are alone
-        keys, doc, start = keys[by], doc[by], start[by]
-        by = np.lexsort((start, doc, keys))
-        keys, doc, start = keys[by], doc[by], start[by]
-        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+        keys, more, doc, start = keys[by], more[by], doc[by], start[by]
+        by = np.lexsort((start, doc, more, keys))
+        keys, more, doc, start = keys[by], more[by], doc[by], start[by]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.zeros(0, bool)
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (start != start[head])
         out = list(zip(*_by_document(doc[later], start[later], buckets), strict=True)) or [[]] * 4
@@ -186,16 +203,19 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
     """
     spark = docs.sparkSession
     if buckets is None:
-        buckets = max(shuffle_partitions(spark), -(-(planned_bytes(docs) or 0) // (16 << 20)))
+        whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = max(shuffle_partitions(spark), -(-whole // (WORD_BYTES * BUCKET_ENTRIES)))
     gone = materialize(repeated_windows(docs, text=text, key=key, window=window, buckets=buckets), "intervals").select("doc", F.struct("start", "end").alias("cut"))
     kind = dict(docs.dtypes)
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     fields = [docs.schema[c] for c in others]
-    mark = "__cut"
+    mark, own_key = "__cut", "__doc"
     while mark in others:
         mark += "_"
+    while own_key in others:
+        own_key += "_"
     # Joined by shuffle at every size: the intervals grow with the corpus, so a broadcast that fits a small one is no guide.
-    joined = docs.select(*others).join(gone.select(F.col("doc").alias("__doc"), F.col("cut").alias(mark)).hint("merge"), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.select(*others).join(gone.select(F.col("doc").alias(own_key), F.col("cut").alias(mark)).hint("merge"), F.col(key).cast("long") == F.col(own_key), "left").drop(own_key)
     schema = ", ".join([f"`{f.name}` {kind[f.name]}" for f in fields] + ["n_words long", "n_removed long", "kept_words string"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
