@@ -3,8 +3,8 @@
 Bytes are embedded; filters of several widths run over a window of fixed length,
 each filter keeps its maximum, and a softmax layer reads the maxima. A document's
 windows cover all its bytes, and its prediction is the mean of theirs, weighted
-by the bytes in each. Training takes a bounded sample of labelled documents;
-prediction takes every byte of every document.
+by the bytes in each. Training takes whole texts of a bounded number of labelled
+documents; prediction takes every byte of every document.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import text as T
 
-#: Characters of a labelled text that training takes at most.
-PASSAGE = 4_000
 #: Predicted where there is nothing to judge.
 UNDETERMINED = "und"
 
@@ -81,8 +79,8 @@ _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
-def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, embed: int = 8, most_windows: int = 12_000, epochs: int = 6, least_steps: int = 400, batch: int = 128, rate: float = 0.004, seed: int = 7) -> ByteCNN:
-    """Fit by Adam on at most ``most_windows`` windows, as many of each label as there are, drawn with ``seed``.
+def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tuple[int, ...] = (2, 3, 4), filters: int = 8, embed: int = 8, epochs: int = 3, least_steps: int = 600, batch: int = 128, rate: float = 0.004, seed: int = 7) -> ByteCNN:
+    """Fit by Adam on every window of the texts, each label weighing the same.
 
     A small sample is gone through more often, for ``least_steps`` steps.
     """
@@ -94,9 +92,9 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
         parts.append((codes, row + a, length))
     codes, row, length = (np.concatenate(x) for x in zip(*parts, strict=True))
     target = np.searchsorted(names, np.array(labels))[row]
-    chosen = np.concatenate([rng.permutation(np.flatnonzero((target == k) & (length >= min(window, 24))))[: most_windows // max(1, len(names))] for k in range(len(names))])
-    # Short windows come up too: a part of the sample is cut to a random length.
-    codes, target = codes[chosen].copy(), target[chosen]
+    share = np.bincount(target, minlength=len(names))
+    weight = (len(target) / (len(names) * np.maximum(share, 1)))[target].astype(np.float32)
+    # Short windows come up too: a part of them is cut to a random length.
     cut = rng.random(len(codes)) < 0.3
     codes[cut] = np.where(np.arange(window)[None, :] < rng.integers(16, window, cut.sum())[:, None], codes[cut], 32)
     most, f = max(widths), filters * len(widths)
@@ -113,7 +111,7 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
             hidden = np.maximum(pooled, 0)
             wrong = _softmax(hidden @ model.out + model.out_bias)
             wrong[np.arange(len(own)), target[own]] -= 1
-            wrong /= len(own)
+            wrong *= weight[own, None] / len(own)
             back = (wrong @ model.out.T) * (pooled > 0)
             rows = (np.arange(len(own))[:, None] * z.shape[1] + best).ravel()
             d_filters = np.zeros_like(model.filters)
@@ -131,12 +129,13 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
     return model
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_documents: int = 2_000, seed: int = 7, **options) -> ByteCNN:
-    """Train on at most ``most_documents`` rows of each label: those whose text hashes lowest.
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_documents: int = 500, seed: int = 7, **options) -> ByteCNN:
+    """Train on at most ``most_documents`` whole texts of each label: those that hash lowest.
 
     Rows with a null or empty text or label teach nothing. The sample has a fixed
-    bound, is drawn from all rows, and does not depend on their order. Without
-    such rows the model knows no language.
+    bound of documents, is drawn from all rows, and does not depend on their order: equal texts
+    count once, under the first of their labels in order. Without such rows the
+    model knows no language. The driver holds the sample's texts.
     """
     from pyspark.sql import Window
 
@@ -144,11 +143,9 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_do
     # A hash picks the candidates in parallel; the exact bound is applied to those.
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * most_documents / n))])[F.col("label")], F.lit(0.0)) if counts else F.lit(0.0)
-    few = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["h"])
+    few = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("h", "text").agg(F.min("label").alias("label"))
     few = few.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("at") <= most_documents)
-    # Of a long text a passage at a hashed place: this bounds what the driver gets.
-    passage = F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {PASSAGE})) as int), {PASSAGE})")
-    got = few.orderBy("label", "h").select("label", passage.alias("text")).collect()
+    got = few.orderBy("label", "h").select("label", "text").collect()
     if not got:
         return ByteCNN(1, 1, [], *[np.zeros(0, np.float32)] * 5)
     return train([r["text"] for r in got], [r["label"] for r in got], seed=seed, **options)
@@ -159,8 +156,9 @@ def predict(docs: DataFrame, model: ByteCNN, *, text: str = "text", prediction:
 
     A null text or one without a letter is ``und`` with score 0, as is all else if
     the model knows no language. Columns of these
-    names are replaced, others stay. Ties go to the label first in order. An empty
-    table gives no rows.
+    names are replaced, others stay. Ties go to the label first in order. A text of
+    any length is read whole, 32 windows at a time; repeated rows are judged each.
+    An empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in (prediction, score)]
     kinds = dict(docs.dtypes)

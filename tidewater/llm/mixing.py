@@ -10,6 +10,7 @@ posterior and those numbers, so no document meets another.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,9 +40,7 @@ def posterior(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[
 def sample(labelled: DataFrame, *, text: str, domain: str, most: int, seed: int) -> tuple[list[str], list[str]]:
     """At most ``most`` labelled texts, those that hash lowest, whatever their domain: shares stay as they are. Null domains are left out."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(domain).alias("domain")).where("domain is not null")
-    few = _lowest(rows.withColumn("h", F.xxhash64("text", F.lit(seed))), rows.count(), most, "h", "domain")
-    passage = F.expr("substring(text, cast(1 + pmod(h, greatest(1, length(text) - 4000)) as int), 4000)")
-    got = few.select("domain", passage.alias("text")).collect()
+    got = _lowest(rows.withColumn("h", F.xxhash64("text", F.lit(seed))), rows.count(), most, "h", "domain").select("domain", "text").collect()
     return [r["text"] for r in got], [r["domain"] for r in got]
 
 
@@ -51,8 +50,8 @@ def _lowest(rows: DataFrame, n: int, most: int, h: str, tie: str) -> DataFrame:
 
 
 def sample_keys(labels: DataFrame, *, key: str, domain: str, most: int, seed: int = 1) -> DataFrame:
-    """Of narrow labels (key, domain) at most ``most``, those whose keys hash lowest: a bounded table, so texts can be joined to it without a shuffle."""
-    rows = labels.select(key, domain).where(F.col(key).isNotNull() & F.col(domain).isNotNull()).dropDuplicates([key])
+    """Of narrow labels (key, domain; of several domains of a key the first in order) at most ``most``, those whose keys hash lowest: a bounded table, so texts can be joined to it without a shuffle."""
+    rows = labels.select(key, domain).where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(key).agg(F.min(domain).alias(domain))
     return _lowest(rows.withColumn("__h", F.xxhash64(key, F.lit(seed))), rows.count(), most, "__h", key).select(key, domain)
 
 
@@ -112,7 +111,7 @@ def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 4_000, rounds: int = 15, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 4_000, rounds: int = 30, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
     """``docs`` with columns n_tokens, posteriors (array by domain name in order) and rate.
 
     ``targets`` weighs every domain of ``labelled`` (text, domain); missing ones get
@@ -125,8 +124,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
     ``total`` is raised until its goal is a tenth above what it has: its own
     documents then get rates over 1. Repeated rows get equal rates; an
     empty table gives no rows. Columns of the new names are replaced. At most
-    ``most_labelled`` texts, of at most 4000 characters, are learned from, in the
-    shares that the table has.
+    ``most_labelled`` whole texts are learned from, in the shares that the table
+    has. The column of posteriors has the names of its domains in its metadata.
+
+    A step that makes the miss larger is halved. Rates whose totals no longer move
+    are the nearest there are, even if targets cannot be met; a warning then tells
+    the miss. Rates that still move after ``rounds`` rounds are an error.
     """
     texts, domains = sample(labelled, text=text, domain=domain, most=most_labelled, seed=seed)
     model = train(texts, domains) if texts else ([""], np.zeros((1, 1)), np.zeros(1))
@@ -143,6 +146,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
         goal = total * weight / weight.sum() if weight.any() else total * held
         if whole in names and goal[names.index(whole)]:
             goal *= max(1.0, 1.1 * held[names.index(whole)] / goal[names.index(whole)])
+        last, best = None, np.inf
         for _ in range(rounds):
             rated = own.select("n", "p", rate_of(p, steps).alias("r"))
             free = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
@@ -150,8 +154,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
             miss = np.array(sums[:k]) / have[0] - goal
             if np.abs(miss).max() < tolerance:
                 break
+            moved = np.inf if last is None else np.abs(miss - last).max()
+            if np.abs(miss).max() > best * (1 + 1e-9) and np.abs(steps[-1]).max() > 1e-6:
+                steps[-1] = steps[-1] / 2
+                continue
+            if moved < tolerance / 20:
+                warnings.warn(f"targets missed by up to {np.abs(miss).max():.4f} of all tokens", stacklevel=2)
+                break
+            last, best = miss, np.abs(miss).max()
             # The gradient in the metric of the rows that can still move: exact where the projection holds no further row.
             steps.append(np.linalg.solve(np.array(sums[k:]).reshape(k, k) / have[0] + 1e-6 * np.eye(k), miss))
+        else:
+            raise RuntimeError(f"rates did not settle in {rounds} rounds; the last miss was {np.abs(miss).max():.4f}")
+    scored = scored.withColumn(posteriors, F.col(posteriors).alias(posteriors, metadata={"domains": names}))
     return scored.withColumn(rate, rate_of(F.col(posteriors), steps))
 
 
@@ -166,7 +181,16 @@ def copies(docs: DataFrame, key: str, rate: str = "rate", seed: int = 5) -> Data
     Equal keys share their draw. A rate that is null counts as 0; a null key has a draw of its own.
     """
     n = F.floor(F.coalesce(F.col(rate), F.lit(0.0)) + draw(key, seed)).cast("int")
-    return docs.withColumn("__copies", n).where("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies")
+    own = "__copies"
+    while own in docs.columns:
+        own += "_"
+    return docs.withColumn(own, n).where(F.col(own) > 0).withColumn(own, F.explode(F.sequence(F.lit(1), own))).drop(own)
+
+
+def posterior_of(mixed: DataFrame, name: str, posteriors: str = "posteriors") -> Column:
+    """The posterior of one domain of what mix() returned; 0 if no labelled text has it."""
+    names = mixed.schema[posteriors].metadata["domains"]
+    return F.col(posteriors)[names.index(name)] if name in names else F.lit(0.0)
 
 
 def thin(docs: DataFrame, key: str, rate: str = "rate", seed: int = 5, keep: Column | None = None) -> DataFrame:
