@@ -36,6 +36,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def kinds_of(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow, no underflow to 0
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -88,7 +92,7 @@ def interval_join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
 
 
 def blocks(classes: DataFrame, axes: dict[int, np.ndarray], *, vector: str, eps: float, size: int, block: int) -> DataFrame:
-    """(label, d, block, reps, copies, vectors, points, lo, hi): runs of the epsilon grid order."""
+    """(label, d, block, reps, copies, vectors, lo, hi): runs of the epsilon grid order."""
     shared = classes.sparkSession.sparkContext.broadcast(axes)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +126,13 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], *, vector: str, eps:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([label[at]], batch.schema.field("label").type), pa.array([int(length[at])], pa.int32()), pa.array([number], pa.int64())]
                     + [pa.array([own.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("rep", "copies")]
-                    + [pa.array([_matrix(own.column(vector)).tobytes()], pa.binary()), pa.array([points.tobytes()], pa.binary()), pa.array([points.min(0).tolist()], pa.list_(pa.float64())), pa.array([points.max(0).tolist()], pa.list_(pa.float64()))],
-                    ["label", "d", "block", "reps", "copies", "vectors", "points", "lo", "hi"],
+                    + [pa.array([own.column(vector).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([points.min(0).tolist()], pa.list_(pa.float64())), pa.array([points.max(0).tolist()], pa.list_(pa.float64()))],
+                    ["label", "d", "block", "reps", "copies", "vectors", "lo", "hi"],
                 )
                 number += 1
                 at = to
 
-    return ordered.mapInArrow(cut, f"label {kinds['label']}, d int, block long, reps binary, copies binary, vectors binary, points binary, lo array<double>, hi array<double>")
+    return ordered.mapInArrow(cut, f"label {kinds['label']}, d int, block long, reps binary, copies binary, vectors binary, lo array<double>, hi array<double>")
 
 
 def block_pairs(cut: DataFrame, eps: float, size: int, keyed: int = 2) -> DataFrame:
@@ -146,7 +150,7 @@ def block_pairs(cut: DataFrame, eps: float, size: int, keyed: int = 2) -> DataFr
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(rows: DataFrame, *, similarity: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", size: int = 6, block: int = 512) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, similarity: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", size: int = 6, block: int = 2_048) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``rows``.
 
     Rows with equal labels and a cosine of at least ``similarity`` (double
@@ -170,14 +174,17 @@ def near_duplicates(rows: DataFrame, *, similarity: float, key: str = "vec_id",
     axes = directions(classes, "v", size)
     cut = materialize(blocks(classes, axes, vector="v", eps=eps, size=size, block=block), "blocks")
     pairs = block_pairs(cut, eps, size)
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(cut.select("block", "reps", "copies", "vectors", "points"), "block")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(cut.select("block", "d", "reps", "copies", "vectors"), "block")
+    number = np.float32 if kinds_of(classes, "v") == "array<float>" else np.float64
+    shared = rows.sparkSession.sparkContext.broadcast(axes)  # one matrix for each length of vector
 
     def compare(table: pa.Table) -> pa.Table:
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         held = {}
         for r in table.to_pylist():
-            reps, points = np.frombuffer(r["reps"], np.int64), np.frombuffer(r["points"]).reshape(-1, size)
-            held[r["block"]] = reps, np.frombuffer(r["copies"], np.int64), _unit(np.frombuffer(r["vectors"]).reshape(len(reps), -1)), points
+            reps = np.frombuffer(r["reps"], np.int64)
+            x = _unit(np.frombuffer(r["vectors"], number).astype(np.float64).reshape(len(reps), -1))
+            held[r["block"]] = reps, np.frombuffer(r["copies"], np.int64), x, x @ shared.value.get(r["d"], np.eye(r["d"])[:, :size])
         (ra, ca, xa, pa_), (rb, cb, xb, pb) = held[a], held[b]
         i, j = interval_join(xa, xb, pa_, pb, similarity, eps, a == b)
         ids = np.concatenate([ra, rb]) if a != b else ra
