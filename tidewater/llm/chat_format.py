@@ -114,7 +114,8 @@ def format_conversations(rows: DataFrame, *, conversation: str = "conv_id", turn
     defined. Null roles and texts are empty strings. Rows with a null key form one
     conversation. Repeated rows are turns of their own. Other columns are not
     read; an empty table gives no rows. Spans are code points, end exclusive.
-    A conversation is the unit and its turns are gathered in one row.
+    A conversation is the unit and its turns are gathered in one row; texts of any
+    length are rendered whole.
     """
     whole = rows.select(F.col(conversation).alias("c"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x")).alias("turn"))
     whole = whole.groupBy("c").agg(F.sort_array(F.collect_list("turn")).alias("turns")).select("c", F.col("turns.r").alias("roles"), F.col("turns.x").alias("texts"))

@@ -11,6 +11,7 @@ earlier tasks, so a length that a third of all pieces have is never gathered.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,7 +28,7 @@ from tidewater.llm import text as T
 from tidewater.llm.storage import materialize
 
 #: Words after which a worker lays its ids aside and begins anew, for speed alone; it looks among those laid aside, too. Some 70 MB in all.
-KEPT_WORDS = 180_000
+KEPT_WORDS = 220_000
 #: A run of Latin letters, and perhaps one mark after it: one token run, or two. Others are encoded by themselves.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 #: Plain words that are encoded as one line.
@@ -55,6 +56,20 @@ def parted(data: np.ndarray, words: T.Words) -> tuple[np.ndarray, T.Words]:
     return data, T.Words(data, start, end, np.searchsorted(start, np.append(words.start, len(data))[words.first]))
 
 
+#: What parted() and PLAIN rely on: lower case, and no token over white space or over the end of a run of letters.
+LOWERS, SPLITS = {"type": "Lowercase"}, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def checked(spec: str) -> str:
+    """``spec``, if it is the JSON of a tokenizer whose words can be encoded one by one; else ValueError."""
+    parts = json.loads(spec)
+    lowers = LOWERS in (parts["normalizer"] or {}).get("normalizers", [])
+    splits = any(x.get("pattern") == {"Regex": SPLITS} for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", []))
+    if not (lowers and splits and parts["model"].get("end_of_word_suffix") == "</w>"):
+        raise ValueError("pack() needs a tokenizer that lower-cases, splits at white space and ends words with </w>")
+    return spec
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that splits at white space and marks the end of each token run.
 
@@ -234,9 +249,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, text: str = "text", key: str =
     empty texts are the end id alone. Only longer ones are cut, into pieces of
     ``size``. Rows that repeat a key, and null keys, are packed as rows of their
     own. An empty table gives no rows. Other columns are not read.
+    A text of any length is read whole, one text at a time. A tokenizer whose words
+    cannot be encoded one by one is refused (see checked()).
     """
     spark: SparkSession = docs.sparkSession
-    spec = Path(tokenizer_path).read_text()
+    spec = checked(Path(tokenizer_path).read_text())
     rows = materialize(pieces(docs, spec, text=text, key=key, size=size, end_id=end_id), "pieces")
     counts = rows.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows

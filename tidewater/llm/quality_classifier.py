@@ -133,8 +133,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     Learns from rows of ``labels`` whose key ``teach`` admits; a quarter of those
     (by hash, or by ``calibrate``) is kept for calibration. Empty and null texts
     are scored by their statistics, all 0. Null keys learn nothing but are scored.
-    Rows that repeat a key are scored each. An empty table gives no rows; other
-    columns are not read.
+    Rows that repeat a key are scored each, texts of any length whole; several labels of a
+    key all count. An empty table gives no rows; other columns, also those named
+    as inputs(), are not read.
     """
     stats = quality_rules.statistics(docs, text=text, key=key)
     rows = materialize(stats.select(key, *[v.alias(k) for k, v in inputs().items()]), "inputs")

@@ -143,14 +143,17 @@ def judge(pages: DataFrame, learned: UrlRules, rules: dict[str, str], *, url: st
 
     A listed rule decides where one fits; else a URL is blocked if a mined rule
     holds, and allowed otherwise, null and empty URLs too. Each row is returned
-    once, repeated ones as well; columns of the new names are replaced. An empty
-    table gives no rows.
+    once, repeated ones as well; columns of the new names are replaced. URLs of any
+    length are read whole. An empty table gives no rows.
     """
     new = ("host", "path", "rule", "verdict", "mined")
     kept = [c for c in pages.columns if c not in new]
     urls = pages.select(F.col(url).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    hits = match(urls, learned).groupBy(F.col("url").alias("__url")).agg(F.min(F.array_join("items", " ")).alias("mined"))
-    rows = pages.select(*kept).join(hits, F.col(url) == F.col("__url"), "left").drop("__url")
+    own = "__url"
+    while own in kept:
+        own += "_"
+    hits = match(urls, learned).groupBy(F.col("url").alias(own)).agg(F.min(F.array_join("items", " ")).alias("mined"))
+    rows = pages.select(*kept).join(hits, F.col(url) == F.col(own), "left").drop(own)
     rows = rows.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("mined").isNotNull(), "block").otherwise("allow")))
