@@ -58,7 +58,9 @@ def repeated_words(words: Column, size: int = 3) -> Column:
 def statistics(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_digits, n_marks), all long.
 
-    Of whole texts; a null text has no words. n_marks counts ``!`` and ``?``.
+    Of whole texts, however long; a null text has no words. n_marks counts ``!``
+    and ``?``. Each row is counted by itself, repeated ones too, and an empty table
+    gives no rows. Other columns are not read.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -201,13 +203,18 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
     return DecisionList(tuple(rules))
 
 
+def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:
+    """Fewer than ``min_words`` words, or more than ``repeat_percent`` percent of words in repeated windows."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
 def apply(stats: DataFrame, rules: DecisionList, *, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """``stats`` with base_failed, rule (the learned rule that rejects, else null) and kept.
 
-    base_failed: fewer than ``min_words`` words, or more than ``repeat_percent``
-    percent of words in repeated windows. Empty and null texts fail. Every row is
-    returned once; an empty table gives no rows.
+    base_failed: see base_failed(). Empty and null texts fail. Every row is
+    returned once; an empty table gives no rows. Columns of the new names, or named
+    as features(), are replaced.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    failed = base_failed(min_words, repeat_percent)
     rows = stats.select("*", failed.alias("base_failed"), *[v.alias(k) for k, v in features().items()])
     return rows.withColumn("rule", rules.which()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*features())

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: base statistics, base_failed, and kept by the learned decision list."""
     stats = materialize(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
-    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
+    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()), table(spark, sf_dir, "labels"))
     return quality_rules.apply(stats, rules).drop("n_upper", "n_digits", "n_marks")
 
 
