@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,7 +42,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files below ``df`` as the optimiser sees them, None if it can't tell."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else None
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more. It notices them when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as T
-from tidewater.llm.storage import materialize, shuffle_partitions
+from tidewater.llm.storage import drop_finished, materialize, shuffle_partitions
 
 #: Words of the documents that a map task settles among themselves at once.
 CHUNK_WORDS = 1_000_000
@@ -206,6 +206,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
         whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         buckets = max(shuffle_partitions(spark), -(-whole // (WORD_BYTES * BUCKET_ENTRIES)))
     gone = materialize(repeated_windows(docs, text=text, key=key, window=window, buckets=buckets), "intervals").select("doc", F.struct("start", "end").alias("cut"))
+    drop_finished(spark)  # the entries of windows, before texts are shuffled
     kind = dict(docs.dtypes)
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     fields = [docs.schema[c] for c in others]
