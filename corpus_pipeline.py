@@ -17,8 +17,8 @@ from tidewater.llm.storage import materialize
 from tidewater.llm.substring_dedup import deduplicate
 from tidewater.session import ship
 
-#: Documents of a lower language score go; a guess among four has 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document goes if its language score is below this multiple of a guess among the learned languages (0.25 of four).
+LEAST_OVER_GUESS = 1.2
 #: Shares of expected tokens after mixing.
 TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 
@@ -26,8 +26,17 @@ TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined, with ``lang`` as it came; null and letterless texts go."""
     model = language_id.fit(docs)
-    judged = language_id.predict(docs, model, prediction="__lang", score="__score")
-    return judged.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    lang, score = free("__lang", docs), free("__score", docs)
+    judged = language_id.predict(docs, model, prediction=lang, score=score)
+    least = LEAST_OVER_GUESS / max(2, len(model.labels))
+    return judged.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= least)).select(docs.columns)
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """``name``, or the first longer one that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
@@ -70,11 +79,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents kept with their mixing rate as probability; those that are more likely clean than not stay."""
+    """Documents kept with their mixing rate as probability; those that are more likely clean than not stay.
+
+    A document is never repeated, and a clean one never goes: so clean ones have
+    rates over 1 (``whole``), and only the others are thinned. A document without
+    text or words weighs nothing in the sums and has the prior as posterior.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mixed = mixing.mix(docs, queries.labelled_domains(docs, labels), TARGETS, whole="clean")
-    clean = F.col("posteriors")[0] >= 0.5  # domains are in order of their names
-    return mixing.thin(mixed, "doc_id", keep=clean).select(docs.columns)
+    return mixing.thin(mixed, "doc_id", keep=mixing.posterior_of(mixed, "clean") >= 0.5).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
