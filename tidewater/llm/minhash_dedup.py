@@ -37,8 +37,6 @@ from tidewater.llm import text as T
 from tidewater.llm.components import components, local_forest
 from tidewater.llm.storage import materialize
 
-#: Up to so many ids, with their blocks (60 bytes each), are broadcast to find the texts that need a second look; above that Spark shuffles.
-BROADCAST_IDS = 500_000
 #: Added to shingle hashes for the second half of a set's hash.
 SECOND = 0x5851F42D4C957F2D
 
@@ -182,7 +180,7 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
     own = ["rep", "c", "s", "b", "blocks", "above", "below"]
     tasks = placed.select("doc", "k1", *own)
     texts = docs.select(F.col(key).cast("long").alias("doc"), text)
-    texts = texts.join(F.broadcast(tasks) if cells.count() <= BROADCAST_IDS else tasks, "doc")
+    texts = texts.join(tasks.hint("merge"), "doc")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
