@@ -96,22 +96,19 @@ def easter(year: Column) -> Column:
     return F.make_date(year, div(months, 31), months % 31 + 1)
 
 
-def easter_code(day: Column) -> Column:
-    """In March and April: 1 if Easter falls in the month, -1 if in the other one; else 0."""
-    when = F.month(easter(F.year(day)))
-    return F.when(F.month(day).isin(3, 4), F.when(F.month(day) == when, 1).otherwise(-1)).otherwise(0)
-
-
-def late_holiday_code(day: Column, holiday: Column, month_number: int, late_from: int) -> Column:
-    """In the holiday's month: 1 if it falls on day ``late_from`` or later, -1 if before; else 0."""
-    return F.when(F.month(day) == month_number, F.when(F.dayofmonth(holiday) >= late_from, 1).otherwise(-1)).otherwise(0)
+def timing_code(day: Column, holiday: Column, early_to: int, late_from: int) -> Column:
+    """In the holiday's month: -1 if it falls on day ``early_to`` or before, 1 if on ``late_from`` or later, else 0; 0 in all other months."""
+    n = F.dayofmonth(holiday)
+    return F.when(month(day) == month(holiday), F.when(n <= early_to, -1).when(n >= late_from, 1).otherwise(0)).otherwise(0)
 
 
 def calendar_months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """A row per month with its calendar measures."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
     m = F.col("month")
-    return days.select(m, days_in_month(m).alias("days"), business_days(m).alias("business_days"), five_friday_month(m).alias("five_fridays"), adjustment_factor(m).alias("day_factor"), adjustment_factor(m, True).alias("business_factor"), easter_code(m).alias("easter"), late_holiday_code(m, nth_weekday(F.year(m), 11, "THU", 4), 11, 25).alias("thanksgiving"), late_holiday_code(m, nth_weekday(F.year(m), 9, "MON", 1), 9, 4).alias("labor_day"))
+    y = F.year(m)
+    moving = [("easter", easter(y), (10, 20)), ("thanksgiving", nth_weekday(y, 11, "THU", 4), (24, 25)), ("labor_day", nth_weekday(y, 9, "MON", 1), (3, 6))]
+    return days.select(m, days_in_month(m).alias("days"), business_days(m).alias("business_days"), five_friday_month(m).alias("five_fridays"), adjustment_factor(m).alias("day_factor"), adjustment_factor(m, True).alias("business_factor"), *[timing_code(m, holiday, *bounds).alias(name) for name, holiday, bounds in moving])
 
 
 def pay_period_type(df: DataFrame, key: str, day: str) -> DataFrame:

@@ -31,14 +31,50 @@ def conformal_intervals(df: DataFrame, calibration: DataFrame, y: str, f: str, l
     return df.join(F.broadcast(width)).withColumn("low", F.col(f) - F.col("width")).withColumn("high", F.col(f) + F.col("width")).drop("width")  # one row
 
 
-def adaptive_width(df: DataFrame, order: str, y: str, f: str, level: float = 0.9, decay: float = 0.05, mix: float = 0.7) -> DataFrame:
-    """(width): ``mix`` of the plain width and the rest of a quantile of residuals weighted by exp(-decay * age)."""
-    plain = conformal_width(df, y, f, level)
-    age = F.row_number().over(Window.orderBy(F.col(order).desc())) - 1  # a calibration window of one series
-    rows = df.select(F.abs(F.col(y) - F.col(f)).alias("r"), F.exp(-decay * age).alias("w"))
-    running = rows.withColumn("c", F.sum("w").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy()))
-    weighted = running.where(F.col("c") >= level).agg(F.min("r").alias("weighted"))
-    return plain.join(F.broadcast(weighted)).select((mix * F.col("width") + (1 - mix) * F.coalesce("weighted", "width")).alias("width"))  # one row each
+#: Calibration rows that adaptive widths can have; each forecast is held against all of them.
+MOST_CALIBRATION = 20_000
+
+
+def adaptive_width(df: DataFrame, calibration: DataFrame, y: str, f: str, level: float = 0.9, gamma: float = 0.1, mix: float = 0.7, quantile: float = 0.9) -> DataFrame:
+    """``df`` with ``width``: wider where calibration rows with forecasts near this one had large residuals.
+
+    ``mix`` of the residual at ``quantile`` of the calibration rows' weights, sorted
+    by residual, and the rest of the plain width. A row weighs
+    exp(-|its forecast - this forecast| / (gamma * deviation of its forecasts)).
+    The calibration set is one window of one model: over MOST_CALIBRATION rows are
+    an error. A deviation of 0 weighs all rows alike.
+    """
+    own = calibration.select(F.abs(F.col(y) - F.col(f)).alias("r"), F.col(f).cast("double").alias("p")).where("r is not null")
+    n = own.count()
+    if n > MOST_CALIBRATION:
+        raise ValueError(f"{n} calibration rows; adaptive widths take {MOST_CALIBRATION}")
+    plain = conformal_width(calibration, y, f, level)
+    held = own.agg(F.sort_array(F.collect_list(F.struct("r", "p"))).alias("__c"), F.stddev_pop("p").alias("__s")).join(F.broadcast(plain))  # one row each
+    scale = gamma * F.col("__s")
+    weights = F.transform("__c", lambda c: F.when(scale == 0, 1.0).otherwise(F.exp(-F.abs(c["p"] - F.col(f)) / scale)))
+    rows = df.join(F.broadcast(held)).withColumn("__w", weights).withColumn("__t", F.aggregate("__w", F.lit(0.0), lambda a, w: a + w) + 1e-10)
+    # How many rows lie before the quantile: their running share is below it.
+    seen = F.aggregate("__w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("before")), lambda a, w: F.struct((a["sum"] + w / F.col("__t")).alias("sum"), (a["before"] + (a["sum"] + w / F.col("__t") < quantile).cast("int")).alias("before")))
+    at = F.least(seen["before"], F.size("__c") - 1)
+    return rows.withColumn("width", mix * F.get("__c", at)["r"] + (1 - mix) * F.col("width")).drop("__c", "__s", "__w", "__t")
+
+
+def coverage_by_stratum(df: DataFrame, y: str, f: str, low: str, high: str, strata: int = 5) -> DataFrame:
+    """(stratum, n, coverage, width): by order of forecasts, in ``strata`` parts of equal size; the last takes what is left.
+
+    A forecast's part follows from how many forecasts lie before it: counts of the
+    distinct values are added up in one short window, no row is sorted.
+    """
+    counts = df.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("__f")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    bins = counts.repartitionByRange("__f").sortWithinPartitions("__f").select("__f", "__n", F.spark_partition_id().alias("__p"))
+    before = bins.groupBy("__p").agg(F.sum("__n").alias("__m"))
+    earlier = before.select("__p", F.coalesce(F.sum("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a task
+    placed = bins.join(F.broadcast(earlier), "__p").withColumn("__at", F.col("__before") + F.sum("__n").over(Window.partitionBy("__p").orderBy("__f")) - F.col("__n"))
+    rows = df.join(placed.select("__f", "__at"), F.col(f) == F.col("__f")).join(F.broadcast(total))  # one row
+    size = F.floor(F.col("__all") / strata)
+    part = F.least(F.lit(strata - 1), F.floor(F.try_divide(F.col("__at"), size))).cast("int")
+    return rows.withColumn("stratum", F.coalesce(part, F.lit(strata - 1))).groupBy("stratum").agg(F.count("*").alias("n"), F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double")).alias("coverage"), F.avg(F.col(high) - F.col(low)).alias("width"))
 
 
 def isotonic(train: DataFrame, df: DataFrame, p: str, y: str, into: str = "calibrated") -> DataFrame:

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from tidewater.operators import windows
 
 
-#: Target dates that may go with every series.
-MOST_TARGETS = 20_000
-
-
 def almon_weights(n: int, degree: float = 2.0) -> list[float]:
     """exp(-(i / n) ** degree), normalised; degree 0 weighs all alike."""
     raw = [1.0 if degree == 0 else math.exp(-((i / n) ** degree)) for i in range(n)]
@@ -29,11 +25,9 @@ def _together(obs: DataFrame, targets: DataFrame, key: str, ts: str, value: str,
     """Observations (1: before targets of the same time) and targets (2) of every series in one table."""
     if key in targets.columns:
         wanted = targets.select(key, target).distinct()
-    else:  # a calendar for all series: a bounded list of dates
-        days = [r[0] for r in targets.select(F.col(target).cast("date")).where(F.col(target).isNotNull()).distinct().limit(MOST_TARGETS + 1).collect()]
-        if len(days) > MOST_TARGETS:
-            raise ValueError("give targets by series")
-        wanted = obs.select(key).distinct().withColumn(target, F.explode(F.array(*[F.lit(d) for d in sorted(days)]).cast("array<date>")))
+    else:  # a calendar for all series: one row with its dates, which a calendar bounds
+        days = targets.agg(F.array_sort(F.collect_set(F.col(target).cast("date"))).alias("__days"))
+        wanted = obs.select(key).distinct().join(F.broadcast(days)).select(key, F.explode("__days").alias(target))
     rows = obs.select(key, F.col(ts).cast("date").alias("t"), F.col(value).cast("double").alias("v"), F.lit(1).alias("kind"))
     return rows.unionByName(wanted.select(key, F.col(target).cast("date").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(2).alias("kind")))
 

@@ -25,8 +25,8 @@ def mae(y, f) -> Column:
 
 
 def mape(y, f) -> Column:
-    """Percent; rows with y = 0 are left out."""
-    return 100 * F.avg(F.try_divide(F.abs(_c(y) - _c(f)), F.abs(_c(y))))
+    """Percent; a denominator under 1e-10 counts as 1e-10."""
+    return 100 * F.avg(F.abs(_c(y) - _c(f)) / F.greatest(F.abs(_c(y)), F.lit(1e-10)))
 
 
 def smape(y, f) -> Column:
@@ -86,24 +86,28 @@ def calibration_error(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFram
 
 
 def turning_point_accuracy(df: DataFrame, key: str, order: str, y: str, f: str) -> DataFrame:
-    """(key, accuracy): percent of turns of y with a turn of f of the same kind at most one row away; 100 without turns."""
+    """(key, accuracy): percent of turns of y with a turn of f, of either kind, at most one row away; 100 without turns."""
     w = Window.partitionBy(key).orderBy(order)
 
     def turn(c: str) -> Column:
         v, a, b = F.col(c), F.lag(c).over(w), F.lead(c).over(w)
-        return F.when((v > a) & (v > b), 1).when((v < a) & (v < b), -1).otherwise(0)
+        return F.coalesce(((v > a) & (v > b)) | ((v < a) & (v < b)), F.lit(False))
 
     marked = df.select(key, order, turn(y).alias("ty"), turn(f).alias("tf"))
-    near = (F.col("tf") == F.col("ty")) | (F.coalesce(F.lag("tf").over(w), F.lit(0)) == F.col("ty")) | (F.coalesce(F.lead("tf").over(w), F.lit(0)) == F.col("ty"))
-    hit = marked.withColumn("hit", F.when(F.col("ty") != 0, near.cast("double")))
+    near = F.col("tf") | F.lag("tf", 1, False).over(w) | F.lead("tf", 1, False).over(w)
+    hit = marked.withColumn("hit", F.when(F.col("ty"), near.cast("double")))
     return hit.groupBy(key).agg(F.coalesce(100 * F.avg("hit"), F.lit(100.0)).alias("accuracy"))
 
 
-def direction_accuracy(df: DataFrame, key: str, order: str, y: str, f: str) -> DataFrame:
-    """(key, accuracy): percent of steps in which y and f change with the same sign."""
-    w = Window.partitionBy(key).orderBy(order)
-    step = lambda c: F.signum(F.col(c) - F.lag(c).over(w))
-    return df.withColumn("__same", (step(y) == step(f)).cast("double")).groupBy(key).agg((100 * F.avg("__same")).alias("accuracy"))
+def direction_accuracy(y, f) -> Column:
+    """Percent of revisions y whose sign the forecast revision f has; 0 is a sign of its own."""
+    return 100 * F.avg((F.signum(_c(y)) == F.signum(_c(f))).cast("double"))
+
+
+def state_mae(df: DataFrame, by: list[str], state: str, y: str, f: str, most: float = 12_000.0) -> DataFrame:
+    """(by, states, states_passing): states, and those whose mean absolute error is at most ``most``."""
+    each = df.groupBy(*by, state).agg(F.round(mae(y, f), 6).alias("__mae"))
+    return each.groupBy(*by).agg(F.count("*").alias("states"), F.count_if(F.col("__mae") <= most).alias("states_passing"))
 
 
 def expanding_folds(n: int, initial: int, step: int, horizon: int, gap: int = 0) -> list[tuple[int, int, int]]:
@@ -135,16 +139,87 @@ def split_dates(df: DataFrame, ts: str, train_end: str, test_start: str) -> tupl
     return df.where(F.col(ts) <= F.lit(train_end)), df.where(F.col(ts) >= F.lit(test_start))
 
 
-#: Gates of a deployment: (metric, whether it must be at most or at least, bound, penalty on the score). Fixed values.
-GATES = (("smape", "most", 20.0, 10.0), ("rmse", "most", 50_000.0, 10.0), ("coverage", "least", 85.0, 5.0), ("direction", "least", 50.0, 5.0))
-
-
-def select_models(scores: DataFrame, gates=GATES) -> DataFrame:
-    """Models (model, and a column a metric) with failed gates, eligibility, score and rank: eligible first, then score, then name."""
-    failed = [F.when((F.col(m) > b) if side == "most" else (F.col(m) < b), F.lit(m)) for m, side, b, _ in gates]
-    penalty = reduce(lambda a, b: a + b, [F.when(f.isNotNull(), p).otherwise(0.0) for f, (_, _, _, p) in zip(failed, gates, strict=True)])
-    out = scores.withColumn("failed", F.array_compact(F.array(*failed))).withColumn("score", F.col("smape") + F.col("rmse") / 1000 + penalty)
-    out = out.withColumn("eligible", F.size("failed") == 0)
+#: Gates of a deployment by name: (metric, least, most). Fixed values.
+GATES = {
+    "smape": ("smape", None, 20.0),
+    "rmse": ("rmse", None, 50_000.0),
+    "forecast_stability": ("max_abs_forecast", None, 2_000_000.0),
+    "hierarchical_coherence": ("max_reconciliation_error", None, 100.0),
+    "coverage_90": ("coverage_90", 85.0, 95.0),
+    "probability_coherence": ("probability_sum_error", None, 0.001),
+    "probability_stability": ("avg_probability_change", None, 0.15),
+    "ece": ("ece", None, 0.05),
+    "revision_mae": ("revision_mae", None, 30_000.0),
+    "revision_direction_accuracy": ("revision_direction_accuracy", 50.0, None),
+    "turning_point_precision": ("turning_point_precision", 55.0, None),
+    "state_level_accuracy": ("states_passing", 3.0, None),
+}
+#: What a metric adds to the score that models are ranked by, a unit of it; coverage adds its distance from 90. Fixed values.
+SCORED = {"smape": 1.0, "rmse": 1e-3, "ece": 100.0, "probability_sum_error": 1000.0, "revision_mae": 1e-3, "max_reconciliation_error": 1e-2, "avg_probability_change": 10.0}
+
+
+def select_models(scores: DataFrame, gates: dict = GATES, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Models (model, and a column a metric) with failed gates, eligibility, score and rank: eligible first, then score (less is better), then name.
+
+    A gate whose metric is missing or null is not asked, and the metric adds 0 to
+    the score. ``excluded`` models are never eligible.
+    """
+    failed = []
+    for name, (metric, least, most) in gates.items():
+        if metric in scores.columns:
+            low = F.col(metric) < least if least is not None else F.lit(False)
+            high = F.col(metric) > most if most is not None else F.lit(False)
+            failed.append(F.when(low | high, F.lit(name)))
+    parts = [F.coalesce(F.col(m) * w, F.lit(0.0)) for m, w in SCORED.items() if m in scores.columns]
+    if "coverage_90" in scores.columns:
+        parts.append(F.coalesce(F.abs(F.col("coverage_90") - 90), F.lit(0.0)))
+    total = reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    out = scores.withColumn("failed", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")).withColumn("score", F.round(total, 6))
+    out = out.withColumn("eligible", (F.size("failed") == 0) & ~F.col("model").isin(*excluded) if excluded else F.size("failed") == 0)
     # A handful of candidate models: the one place where a ranking over all rows is meant.
     return out.withColumn("rank", F.row_number().over(Window.orderBy((~F.col("eligible")).cast("int"), "score", "model")))
 
+
+
+#: Bounds of a model run: largest forecast, that of unstable factor models, coverage, smape. Fixed values.
+HEALTH = {"hard": 2_000_000.0, "watch": 1_000_000.0, "coverage_low": 85.0, "coverage_high": 95.0, "smape": 20.0}
+
+
+def model_health(runs: DataFrame, *, model: str = "model", y: str = "y", f: str = "f", low: str = "low", high: str = "high", warnings: str | None = None) -> DataFrame:
+    """(model, issue, severity, observed): what is wrong with each model's forecasts; a sound model has no row.
+
+    Missing, NaN or infinite forecasts and actuals are CRITICAL, as are forecasts
+    over the hard bound; ``warnings`` names a column with the number of
+    convergence warnings of the row. Accuracy and coverage are judged only if all
+    values they need are finite.
+    """
+
+    def finite(c: str) -> Column:
+        return F.coalesce(F.abs(F.nanvl(F.col(c).cast("double"), F.lit(None))) < float("inf"), F.lit(False))
+
+    whole = F.bool_and(finite(f)), F.bool_and(finite(y)), F.bool_and(finite(low) & finite(high))
+    size = F.max(F.when(finite(f), F.abs(f)))
+    got = runs.groupBy(model).agg(
+        F.count_if(~finite(f)).cast("double").alias("odd"),
+        F.count_if(~finite(y)).cast("double").alias("odd_actuals"),
+        F.count_if(~(finite(low) & finite(high))).cast("double").alias("odd_intervals"),
+        size.alias("largest"),
+        F.when(whole[0] & whole[1], smape(y, f)).alias("smape"),
+        F.when(whole[1] & whole[2], coverage(y, low, high)).alias("coverage"),
+        (F.sum(warnings) if warnings else F.lit(0)).cast("double").alias("warned"),
+    )
+    name, largest = F.lower(model), F.col("largest")
+    hard = largest > HEALTH["hard"]
+    issues = [
+        (F.col("odd") > 0, F.lit("prediction_finite"), "CRITICAL", F.col("odd")),
+        (hard, F.lit("forecast_magnitude_hard_gate"), "CRITICAL", largest),
+        (~hard & (name == "dfm") & (largest > HEALTH["watch"]), F.lit("dfm_instability"), "WARNING", largest),
+        (F.col("warned") > 0, F.when(name == "midas", "midas_convergence").otherwise("model_convergence"), "WARNING", F.col("warned")),
+        (F.col("odd_actuals") > 0, F.lit("actuals_finite"), "CRITICAL", F.col("odd_actuals")),
+        (F.col("smape") > HEALTH["smape"], F.lit("smape_gate"), "WARNING", F.col("smape")),
+        (F.col("odd_intervals") > 0, F.lit("interval_finite"), "CRITICAL", F.col("odd_intervals")),
+        (F.col("coverage") < HEALTH["coverage_low"], F.lit("coverage_low"), "WARNING", F.col("coverage")),
+        (F.col("coverage") > HEALTH["coverage_high"], F.lit("coverage_high"), "WARNING", F.col("coverage")),
+    ]
+    rows = F.array(*[F.when(when, F.struct(issue.alias("issue"), F.lit(severity).alias("severity"), seen.alias("observed"))) for when, issue, severity, seen in issues])
+    return got.select(model, F.inline(F.array_compact(rows)))

@@ -10,8 +10,9 @@ SEARCHABLE = ("name", "source", "frequency", "status", "vintage_date", "version"
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` replace rows of equal keys; the others stay. Of equal keys in ``rows`` any one counts."""
-    fresh = rows.dropDuplicates(keys)
+    """``rows`` replace rows of equal keys; the others stay. Of equal keys in ``rows`` the last in order of all other columns counts."""
+    rest = [c for c in rows.columns if c not in keys]
+    fresh = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest]) if rest else rows.distinct()
     return table.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -32,6 +33,19 @@ def search(features: DataFrame, limit: int | None = None, offset: int = 0, **equ
     return out if limit is None else out.limit(limit)
 
 
+def register_with_edges(features: DataFrame, edges: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features after register(), and edges (child, parent) with those of the new rows' depends_on in place of their old ones."""
+    gone = rows.select(F.col("name").alias("child")).distinct()
+    return register(features, rows), edges.join(gone, "child", "left_anti").unionByName(edges_of(rows)).distinct()
+
+
+def lineage_view(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, version, parent, parent_version): each active feature with what it depends on, if it is registered; roots have nulls."""
+    latest = latest_versions(active(features))
+    up = edges.join(latest.select(F.col("name").alias("parent"), F.col("version").alias("parent_version")), "parent", "left")
+    return latest.join(up, latest["name"] == up["child"], "left").select("name", "version", "parent", "parent_version")
+
+
 def latest_versions(features: DataFrame) -> DataFrame:
     return features.groupBy("name").agg(F.max("version").alias("version"))
 
@@ -49,16 +63,29 @@ def edges_of(features: DataFrame) -> DataFrame:
     return features.select(F.col("name").alias("child"), F.explode("depends_on").alias("parent")).distinct()
 
 
-def ancestors(spark: SparkSession, edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(node, ancestor, depth): each node itself at 0 and all it descends from, by the shortest way; cycles end at ``depth``."""
-    edges.createOrReplaceTempView("tidewater_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT n, n, 0 FROM (SELECT child AS n FROM tidewater_edges UNION SELECT parent FROM tidewater_edges)
-            UNION ALL
-            SELECT up.node, e.parent, up.depth + 1 FROM up JOIN tidewater_edges e ON up.ancestor = e.child WHERE up.depth < {int(depth)}
-        )
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""")
+def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): each node itself at 0 and all it descends from, however far, by the shortest way.
+
+    Round by round the pairs that were new climb one edge; what is known already
+    drops out, so neither many ways to one ancestor nor cycles make more rows, and
+    the rounds end when there is nothing new. Each round is checkpointed.
+    """
+    own = edges.select("child", "parent").distinct()
+    known = _kept(spark, own.select(F.col("child").alias("node")).union(own.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    new = known
+    while not new.isEmpty():
+        up = new.join(own, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
+        new = _kept(spark, up.join(known, ["node", "ancestor"], "left_anti"))
+        known = known.union(new)
+    return known
+
+
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` in the session's checkpoint folder; where none is set, on one machine, as it is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if folder else df.cache()
 
 
 def descendants(edges: DataFrame, name: str) -> DataFrame:

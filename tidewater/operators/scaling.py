@@ -28,11 +28,7 @@ class Scaler:
         return a, b or 1.0
 
     def fit(self, df: DataFrame) -> Scaler:
-        row = df.agg(*[m.alias(f"{c}:{k}") for c in self.columns for k, m in enumerate(self.measures(c))]).first()
-        for c in self.columns:
-            a, b = row[f"{c}:0"], row[f"{c}:1"]
-            self.learned[c] = self.finish(0.0 if a is None else a, 0.0 if b is None else b)
-        return self
+        return fit_together([self], df)[0]
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (F.col(c) - a) / b for c, (a, b) in self.learned.items()})
@@ -107,6 +103,16 @@ class ScalerPipeline:
         return df
 
 
+def fit_together(scalers: list[Scaler], df: DataFrame) -> list[Scaler]:
+    """Fit scalers that don't build on each other in one pass over ``df``."""
+    row = df.agg(*[m.alias(f"{s}:{c}:{k}") for s, scaler in enumerate(scalers) for c in scaler.columns for k, m in enumerate(scaler.measures(c))]).first()
+    for s, scaler in enumerate(scalers):
+        for c in scaler.columns:
+            a, b = row[f"{s}:{c}:0"], row[f"{s}:{c}:1"]
+            scaler.learned[c] = scaler.finish(0.0 if a is None else a, 0.0 if b is None else b)
+    return scalers
+
+
 def by_series(df: DataFrame, key: str, value: str, measure: Callable[[str], tuple[Column, Column]], into: str) -> DataFrame:
     """(value - shift) / scale with both measured in each series: one aggregate and a join on the series."""
     a, b = measure(value)

@@ -34,8 +34,8 @@ def decompose(df: DataFrame, *, key: str = "series", ts: str = "month", value: s
 def m_statistics(parts: DataFrame, *, key: str = "series", ts: str = "month", least: int = 24) -> DataFrame:
     """(key, n, m1 to m11, q, acceptable) from components original, trend, seasonal, irregular, adjusted.
 
-    A measure whose denominator vanishes is null, but for those with a stated
-    fallback. Series of fewer than ``least`` rows, or with nulls, are left out.
+    Where a denominator vanishes a measure has a stated value (m1, m2, m7: 3; m3,
+    m9, m10, m11: 0.5; m5: 0). Series of fewer than ``least`` rows, or with nulls, are left out.
     ``acceptable``: q below 2.
     """
     w = Window.partitionBy(key).orderBy(ts)
@@ -46,8 +46,9 @@ def m_statistics(parts: DataFrame, *, key: str = "series", ts: str = "month", le
     rows = parts.withColumns({"at": F.row_number().over(w) - 1, "n": F.count("*").over(every), "i3": centred("irregular"), "t3": centred("trend"), "lag_i": F.lag("irregular").over(w)})
     rows = rows.where(F.col("n") >= least)
     i, n, at = F.col("irregular"), F.col("n"), F.col("at")
-    sign = F.signum("irregular")
-    rows = rows.withColumns({"di3": F.abs(step("i3")), "dt3": F.abs(step("t3")), "d_o": step("original"), "d_i": step("irregular"), "d_t": step("trend"), "run": F.when(F.lag(sign).over(w).isNull() | (F.lag(sign).over(w) != sign), 1).otherwise(0)})
+    above = i > F.avg(i).over(every)
+    rows = rows.withColumns({"di3": F.abs(step("i3")), "dt3": F.abs(step("t3")), "d_o": step("original"), "d_i": step("irregular"), "d_t": step("trend"), "above": above})
+    rows = rows.withColumn("run", F.when(F.lag("above").over(w).eqNullSafe(F.col("above")), 0).otherwise(1))
     half, early = at < F.floor(n / 2), at < F.floor(n * 0.75)
     sd = F.stddev_samp
     agg = rows.groupBy(key).agg(
@@ -64,27 +65,31 @@ def m_statistics(parts: DataFrame, *, key: str = "series", ts: str = "month", le
         F.sum("run").alias("runs"),
         sd("seasonal").alias("ss"),
         F.var_samp("seasonal").alias("vs"),
-        sd(F.when(early, i)).alias("s_early"),
-        sd(F.when(~early, i)).alias("s_late"),
+        sd(F.when(early, F.col("seasonal"))).alias("s_early"),
+        sd(F.when(~early, F.col("seasonal"))).alias("s_late"),
         F.regr_slope(F.col("seasonal"), at.cast("double")).alias("slope"),
     )
     yearly = rows.groupBy(key, F.year(ts).alias("y")).agg(F.sum("original").alias("o"), F.sum("adjusted").alias("a")).groupBy(key).agg((10 * F.avg(F.abs(F.col("o") - F.col("a")) / (F.abs("o") + 1e-10))).alias("m8"))
     monthly = rows.groupBy(key, F.month(ts).alias("m")).agg(F.var_samp("seasonal").alias("v")).groupBy(key).agg(F.avg("v").alias("v_month"))
     d = F.try_divide
+
+    def over(top: Column, bottom: Column, least: float, instead: float | Column) -> Column:
+        return F.when(bottom < least, instead).otherwise(d(top, bottom))
+
     out = agg.join(yearly, key).join(monthly, key).select(
         key,
         "n",
-        F.when(F.col("dt3") < 1e-10, 3.0).otherwise(d(F.col("di3"), F.col("dt3"))).alias("m1"),
-        (d(F.col("si"), F.col("sdo")) * F.sqrt(2 / F.pi())).alias("m2"),
-        F.when(F.col("sdt") < 1e-6, d(F.col("sdi"), F.col("si"))).otherwise(d(F.col("sdi"), F.col("sdt"))).alias("m3"),
+        over(F.col("di3"), F.col("dt3"), 1e-10, 3.0).alias("m1"),
+        over(F.col("si") * F.sqrt(2 / F.pi()), F.col("sdo"), 1e-10, 3.0).alias("m2"),
+        over(F.col("sdi"), F.col("sdt"), 1e-6, over(F.col("sdi"), F.col("si"), 1e-10, 0.5)).alias("m3"),
         (F.abs("r") * F.sqrt(F.col("n").cast("double")) / 3).alias("m4"),
-        d(2 * F.abs(F.col("v1") - F.col("v2")), F.col("v1") + F.col("v2")).alias("m5"),
+        over(2 * F.abs(F.col("v1") - F.col("v2")), F.col("v1") + F.col("v2"), 1e-10, 0.0).alias("m5"),
         (F.abs(F.col("runs") - F.col("n") / 2) / (F.col("n") / 2)).alias("m6"),
-        d(F.col("si"), F.col("ss")).alias("m7"),
+        over(F.col("si"), F.col("ss"), 1e-10, 3.0).alias("m7"),
         "m8",
-        d(F.col("v_month"), F.col("vs")).alias("m9"),
-        F.least(F.lit(3.0), 2 * F.abs(d(F.col("s_late") - F.col("s_early"), F.col("s_early")))).alias("m10"),
-        d(F.abs(12 * F.col("slope")), F.col("ss")).alias("m11"),
+        over(F.col("v_month"), F.col("vs"), 1e-10, 0.5).alias("m9"),
+        F.least(F.lit(3.0), over(2 * F.abs(F.col("s_late") - F.col("s_early")), F.col("s_early"), 1e-10, 0.5)).alias("m10"),
+        over(F.abs(12 * F.col("slope")), F.col("ss"), 1e-10, 0.5).alias("m11"),
     )
     total: Column = F.col("m1")
     for k in range(2, 12):
@@ -146,17 +151,34 @@ def month_regressors(months: DataFrame, events: DataFrame, *, month: str = "mont
 
 
 def strike_impact(events: DataFrame, *, least_workers: int = 10_000, least_days: int = 7, most: float = 10.0) -> DataFrame:
-    """(month, impact): sum over months covered of workers / 10000, at most 10. Events: start_date, end_date, workers_involved, days_duration."""
-    own = events.where((F.col("workers_involved") >= least_workers) & (F.col("days_duration") >= least_days))
-    months = own.withColumn("month", F.explode(F.sequence(F.trunc("start_date", "MM"), F.trunc("end_date", "MM"), F.expr("interval 1 month"))))
+    """(month, impact): sum over months covered of workers / 10000, at most 10. Events: start_date, end_date, workers_involved, days_duration.
+
+    An event without an end, or with one before its start, covers the month it starts in.
+    """
+    own = events.where((F.col("workers_involved") >= least_workers) & (F.col("days_duration") >= least_days) & F.col("start_date").isNotNull())
+    last = F.greatest(F.coalesce("end_date", "start_date"), F.col("start_date"))
+    months = own.withColumn("month", F.explode(F.sequence(F.trunc("start_date", "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))))
     return months.groupBy("month").agg(F.least(F.lit(most), F.sum(F.col("workers_involved") / 10_000)).alias("impact"))
 
 
-def weather_impact(events: DataFrame, severity: DataFrame) -> DataFrame:
-    """(month, impact): severity of the type times 1 + casualties / 10 (at most 5), at most 10 an event and 20 a month, over the largest month."""
-    casualties = F.coalesce("deaths", F.lit(0)) + F.coalesce("injuries", F.lit(0))
-    one = F.least(F.lit(10.0), F.coalesce("severity", F.lit(1.0)) * F.least(F.lit(5.0), 1 + casualties / 10))
-    months = events.join(severity, "event_type", "left").groupBy(F.trunc("begin_date", "MM").alias("month")).agg(F.least(F.lit(20.0), F.sum(one)).alias("raw"))
+#: Severity of weather by type; others have 1. Fixed values.
+SEVERITY = {"Hurricane": 10.0, "Tropical Storm": 5.0, "Blizzard": 8.0, "Ice Storm": 7.0, "Winter Storm": 5.0, "Heavy Snow": 3.0, "Wildfire": 6.0, "Extreme Heat": 2.0, "Tornado": 4.0, "Flood": 4.0, "Flash Flood": 3.0}
+#: Types of weather that effects of their own are made of. Fixed values.
+HURRICANES, WINTER_STORMS = ("Hurricane",), ("Blizzard", "Ice Storm", "Winter Storm")
+
+
+def weather_impact(events: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(month, impact): severity of the type times 1 + deaths / 2 + injuries / 10 (at most 5), at most 10 an event and 20 a month, over the largest month.
+
+    Events: event_type, begin_date, deaths, injuries; ``kinds`` keeps some types
+    only. Missing casualties count 0; events without a date count nowhere.
+    """
+    events = events.where(F.col("begin_date").isNotNull())
+    events = events.where(F.col("event_type").isin(*kinds)) if kinds else events
+    severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("event_type")), F.lit(1.0))
+    casualties = F.coalesce("deaths", F.lit(0)) * 0.5 + F.coalesce("injuries", F.lit(0)) * 0.1
+    one = F.least(F.lit(10.0), severity * F.least(F.lit(5.0), 1 + casualties))
+    months = events.groupBy(F.trunc("begin_date", "MM").alias("month")).agg(F.least(F.lit(20.0), F.sum(one)).alias("raw"))
     top = months.agg(F.max("raw").alias("__top"))
     return months.join(F.broadcast(top)).select("month", F.try_divide("raw", "__top").alias("impact"))  # one row
 
@@ -175,22 +197,32 @@ def parse_reports(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for k, p in REPORT.items()})
 
 
-#: Measures watched over time, with their weight in the score. Fixed values.
+#: Values from which a measure counts as breached; weights in the score of those that don't have 1. Fixed values.
+LIMITS = {**{f"m{k}": 1.0 for k in range(1, 12)}, "q": 1.0}
 WEIGHTS = {"m7": 2.0, "m8": 2.0, "m9": 1.5, "q": 2.0}
+#: Grades in order: (name, every measure below, score at least). Fixed values.
+GRADES = (("good", 0.5, 50.0), ("acceptable", 1.0, 20.0))
 
 
 def quality_score(stats: DataFrame) -> DataFrame:
-    """``stats`` with score (weighted mean of 100 * (1 - value / 3), 0 to 100) and grade."""
-    total = sum(WEIGHTS.values())
-    score: Column = F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        score = score + w / total * F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - F.col(k) / 3)))
-    grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F")
-    return stats.withColumn("score", score).withColumn("grade", grade)
+    """``stats`` with score and grade.
 
-
-#: Values from which a measure counts as breached. Fixed values.
-LIMITS = {"m7": 1.0, "m8": 1.0, "m9": 1.0, "q": 1.0}
+    The score is 100 less the weighted mean of 100 * value / limit, each at most
+    150, and at least 0. Measures that are missing or null don't count; without
+    any the score is 0 and the grade unknown.
+    """
+    there = [k for k in LIMITS if k in stats.columns]
+    penalty, weight, worst = F.lit(0.0), F.lit(0.0), F.lit(None).cast("double")
+    for k in there:
+        w = WEIGHTS.get(k, 1.0)
+        penalty = penalty + F.coalesce(w * F.least(F.col(k) / LIMITS[k], F.lit(1.5)), F.lit(0.0))
+        weight = weight + F.when(F.col(k).isNotNull(), w).otherwise(0.0)
+        worst = F.greatest(worst, F.col(k))  # skips nulls
+    out = stats.withColumn("score", F.coalesce(F.greatest(F.lit(0.0), 100 - 100 * F.try_divide(penalty, weight)), F.lit(0.0)))
+    grade = F.lit("poor")
+    for name, below, least in reversed(GRADES):
+        grade = F.when((F.greatest(worst, F.lit(0.0)) < below) & (F.col("score") >= least), name).otherwise(grade)
+    return out.withColumn("grade", F.when(worst.isNull(), "unknown").otherwise(grade))
 
 
 def degradation(history: DataFrame, *, key: str = "series", ts: str = "run", keep: int = 10, rises: int = 3) -> DataFrame:
@@ -201,9 +233,10 @@ def degradation(history: DataFrame, *, key: str = "series", ts: str = "run", kee
     """
     newest = Window.partitionBy(key).orderBy(F.col(ts).desc())
     tail = history.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= keep)
-    tail = tail.withColumns({f"up_{k}": F.coalesce(F.col(k) > F.lead(k).over(newest), F.lit(False)) for k in LIMITS})
+    limits = {k: v for k, v in LIMITS.items() if k in history.columns}
+    tail = tail.withColumns({f"up_{k}": F.coalesce(F.col(k) > F.lead(k).over(newest), F.lit(False)) for k in limits})
     last = F.col("at") == 1
-    breached = F.array_compact(F.array(*[F.max(F.when(last & (F.col(k) > limit), k)) for k, limit in LIMITS.items()]))
-    rising = F.array_compact(F.array(*[F.when(F.count_if((F.col("at") <= rises) & F.col(f"up_{k}")) == rises, k) for k in LIMITS]))
+    breached = F.array_compact(F.array(*[F.max(F.when(last & (F.col(k) > limit), k)) for k, limit in limits.items()]))
+    rising = F.array_compact(F.array(*[F.when(F.count_if((F.col("at") <= rises) & F.col(f"up_{k}")) == rises, k) for k in limits]))
     out = tail.groupBy(key).agg(F.count("*").alias("runs"), breached.alias("breached"), rising.alias("rising"), F.regr_slope(F.col("q"), -F.col("at").cast("double")).alias("slope"))
     return out.withColumn("degrading", (F.size("rising") > 0) | (F.coalesce(F.col("slope"), F.lit(0.0)) > 0.05))

@@ -22,22 +22,34 @@ def decomposition(spark, sf_dir):
     return rounded(out, 4, "original", "trend", "seasonal", "irregular", "adjusted").withColumn("month", day("month"))
 
 
-@query(f"""WITH {_PARTS}, a AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series) AS n, lag(i) OVER w AS li, o - lag(o) OVER w AS d_o, i - lag(i) OVER w AS d_i, t - lag(t) OVER w AS d_t FROM parts WINDOW w AS (PARTITION BY series ORDER BY month)),
-    g AS (SELECT series, max(n) AS n, stddev_samp(i) / stddev_samp(d_o) * sqrt(2 / pi()) AS m2, stddev_samp(d_i) / stddev_samp(d_t) AS m3, abs(corr(i, li)) * sqrt(max(n)::DOUBLE) / 3 AS m4, 2 * abs(var_samp(i) FILTER (pos < n // 2) - var_samp(i) FILTER (pos >= n // 2)) / (var_samp(i) FILTER (pos < n // 2) + var_samp(i) FILTER (pos >= n // 2)) AS m5, stddev_samp(i) / stddev_samp(s) AS m7,
-        least(3, 2 * abs((stddev_samp(i) FILTER (pos >= floor(n * 0.75)) - stddev_samp(i) FILTER (pos < floor(n * 0.75))) / stddev_samp(i) FILTER (pos < floor(n * 0.75)))) AS m10, abs(12 * regr_slope(s, pos::DOUBLE)) / stddev_samp(s) AS m11 FROM a GROUP BY 1),
-    y AS (SELECT series, 10 * avg(abs(so - sa) / (abs(so) + 1e-10)) AS m8 FROM (SELECT series, year(month) AS y, sum(o) AS so, sum(adj) AS sa FROM parts GROUP BY 1, 2) GROUP BY 1)
-    SELECT series, n, round(m2, 5) AS m2, round(m3, 5) AS m3, round(m4, 5) AS m4, round(m5, 5) AS m5, round(m7, 5) AS m7, round(m8, 5) AS m8, round(m10, 5) AS m10, round(m11, 5) AS m11 FROM g JOIN y USING (series) WHERE n >= 24""")
+_MEASURES = f"""{_PARTS}, a0 AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series) AS n, lag(i) OVER w AS li, o - lag(o) OVER w AS d_o, i - lag(i) OVER w AS d_i, t - lag(t) OVER w AS d_t, i > avg(i) OVER (PARTITION BY series) AS above,
+        CASE WHEN count(i) OVER c = 3 THEN avg(i) OVER c END AS i3, CASE WHEN count(t) OVER c = 3 THEN avg(t) OVER c END AS t3 FROM parts WINDOW w AS (PARTITION BY series ORDER BY month), c AS (PARTITION BY series ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+    a AS (SELECT *, (lag(above) OVER w IS DISTINCT FROM above)::INT AS run, abs(i3 - lag(i3) OVER w) AS di3, abs(t3 - lag(t3) OVER w) AS dt3 FROM a0 WINDOW w AS (PARTITION BY series ORDER BY month)),
+    u AS (SELECT series, max(n) AS n, avg(di3) AS di3, avg(dt3) AS dt3, stddev_samp(i) AS si, stddev_samp(d_o) AS sdo, stddev_samp(d_i) AS sdi, stddev_samp(d_t) AS sdt, corr(i, li) AS r, var_samp(i) FILTER (pos < n // 2) AS v1, var_samp(i) FILTER (pos >= n // 2) AS v2, sum(run) AS runs, stddev_samp(s) AS ss, var_samp(s) AS vs,
+        stddev_samp(s) FILTER (pos < floor(n * 0.75)) AS early, stddev_samp(s) FILTER (pos >= floor(n * 0.75)) AS late, regr_slope(s, pos::DOUBLE) AS slope FROM a GROUP BY 1),
+    y AS (SELECT series, 10 * avg(abs(so - sa) / (abs(so) + 1e-10)) AS m8 FROM (SELECT series, year(month) AS y, sum(o) AS so, sum(adj) AS sa FROM parts GROUP BY 1, 2) GROUP BY 1),
+    v AS (SELECT series, avg(v) AS v_month FROM (SELECT series, month(month) AS m, var_samp(s) AS v FROM parts GROUP BY 1, 2) GROUP BY 1),
+    measures AS (SELECT series, n, CASE WHEN dt3 < 1e-10 THEN 3 ELSE di3 / dt3 END AS m1, CASE WHEN sdo < 1e-10 THEN 3 ELSE si / sdo * sqrt(2 / pi()) END AS m2, CASE WHEN sdt < 1e-6 THEN CASE WHEN si < 1e-10 THEN 0.5 ELSE sdi / si END ELSE sdi / sdt END AS m3, abs(r) * sqrt(n::DOUBLE) / 3 AS m4,
+        CASE WHEN v1 + v2 < 1e-10 THEN 0 ELSE 2 * abs(v1 - v2) / (v1 + v2) END AS m5, abs(runs - n / 2) / (n / 2) AS m6, CASE WHEN ss < 1e-10 THEN 3 ELSE si / ss END AS m7, m8, CASE WHEN vs < 1e-10 THEN 0.5 ELSE v_month / vs END AS m9, CASE WHEN early < 1e-10 THEN 0.5 ELSE least(3, 2 * abs(late - early) / early) END AS m10, CASE WHEN ss < 1e-10 THEN 0.5 ELSE abs(12 * slope) / ss END AS m11
+        FROM u JOIN y USING (series) JOIN v USING (series) WHERE n >= 24),
+    verdict AS (SELECT *, (m1 + m2 + m3 + m4 + m5 + m6 + m7 + m8 + m9 + m10 + m11) / 11 AS q FROM measures)"""
+_NAMES = [*(f"m{k}" for k in range(1, 12)), "q"]
+_ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in _NAMES)
+_PENALTIES = " + ".join(f"{seasonal.WEIGHTS.get(c, 1.0)} * least(1.5, {c})" for c in _NAMES)
+
+
+@query(f"WITH {_MEASURES} SELECT series, n, {_ROUNDED} FROM verdict")
 def seasonal_measures(spark, sf_dir):
     """Quality measures of the decomposition."""
     out = seasonal.m_statistics(seasonal.decompose(monthly_orders(spark, sf_dir)))
-    names = ["m2", "m3", "m4", "m5", "m7", "m8", "m10", "m11"]
-    return rounded(out, 5, *names).select("series", "n", *names)
+    return rounded(out, 5, *_NAMES).select("series", "n", *_NAMES)
 
 
-@query()
+@query(f"""WITH {_MEASURES}, g AS (SELECT *, greatest(0, 100 - 100 * ({_PENALTIES}) / {sum(seasonal.WEIGHTS.get(c, 1.0) for c in _NAMES)}) AS score, greatest({", ".join(_NAMES)}) AS worst FROM verdict)
+    SELECT series, q < 2 AS acceptable, round(score, 4) AS score, CASE WHEN worst < 0.5 AND score >= 50 THEN 'good' WHEN worst < 1 AND score >= 20 THEN 'acceptable' ELSE 'poor' END AS grade FROM g""")
 def seasonal_verdict(spark, sf_dir):
-    """All eleven measures, their mean, the verdict, score and grade."""
-    return seasonal.quality_score(seasonal.m_statistics(seasonal.decompose(monthly_orders(spark, sf_dir))))
+    """The verdict on the mean of all eleven measures, their score and grade."""
+    return rounded(seasonal.quality_score(seasonal.m_statistics(seasonal.decompose(monthly_orders(spark, sf_dir)))), 4, "score").select("series", "acceptable", "score", "grade")
 
 
 @query(f"""WITH {_PARTS}, c AS (SELECT series, month, i - avg(i) OVER (PARTITION BY series) AS x, count(i) OVER (PARTITION BY series) AS n FROM parts),
@@ -49,15 +61,15 @@ def ljung_box(spark, sf_dir):
     return rounded(out, 4, "q").where("n >= 50").select("series", "n", "q")
 
 
-@query("""WITH e AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 90)::INT AS b, (o_totalprice / 10)::BIGINT AS w, o_orderkey % 90 AS n FROM orders WHERE o_totalprice > 300000),
-    m AS (SELECT unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', b)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month, w FROM e WHERE w >= 10000 AND n >= 7)
-    SELECT strftime(month, '%Y-%m-%d') AS month, round(least(10, sum(w / 10000)), 6) AS impact FROM m GROUP BY 1""")
+@query("""WITH e AS (SELECT l_shipdate::DATE AS a, CASE WHEN l_tax > 0 THEN l_shipdate::DATE + l_quantity::INT * 2 END AS b, l_partkey * 20 AS w, l_suppkey AS n FROM lineitem),
+    m AS (SELECT unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', coalesce(b, a))::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month, w FROM e WHERE w >= 10000 AND n >= 7)
+    SELECT strftime(month, '%Y-%m-%d') AS month, round(sum(w / 10000), 6) AS impact FROM m GROUP BY 1""")
 def event_overlap(spark, sf_dir):
     """Effects of long events on every month that they cover."""
-    own = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    start = F.col("o_orderdate").cast("date")
-    events = own.select(start.alias("start_date"), F.date_add(start, (F.col("o_orderkey") % 90).cast("int")).alias("end_date"), F.round(F.col("o_totalprice") / 10).cast("long").alias("workers_involved"), (F.col("o_orderkey") % 90).alias("days_duration"))
-    return rounded(seasonal.strike_impact(events), 6, "impact").withColumn("month", day("month"))
+    start = F.col("l_shipdate").cast("date")
+    end = F.when(F.col("l_tax") > 0, F.date_add(start, F.col("l_quantity").cast("int") * 2))
+    events = table(spark, sf_dir, "lineitem").select(start.alias("start_date"), end.alias("end_date"), (F.col("l_partkey") * 20).alias("workers_involved"), F.col("l_suppkey").alias("days_duration"))
+    return rounded(seasonal.strike_impact(events, most=1e9), 6, "impact").withColumn("month", day("month"))
 
 
 def _hierarchy(spark, sf_dir):
@@ -198,8 +210,8 @@ def registered_features(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT event_type AS feature, avg(value) AS v FROM events GROUP BY 1), x AS (SELECT feature, v, (v + 5) * 1.1 AS up, 10 AS fixed FROM b)
-    SELECT 'boost' AS scenario, round(sum((up - v) * 2), 6) AS delta, round(sum((up - v) * 2) + 100, 6) AS forecast, 'up' AS direction, abs(sum((up - v) * 2)) > 5 AS material FROM x
-    UNION ALL SELECT 'fixed', round(sum((fixed - v) * 2), 6), round(sum((fixed - v) * 2) + 100, 6), CASE WHEN sum(fixed - v) > 0 THEN 'up' WHEN sum(fixed - v) < 0 THEN 'down' ELSE 'flat' END, abs(sum((fixed - v) * 2)) > 5 FROM x""")
+    SELECT 'boost' AS scenario, round(sum((up - v) * 2), 6) AS delta, round(sum((up - v) * 2) + 100, 6) AS forecast, 'up' AS direction, abs(sum((up - v) * 2)) > 5 AS material, 0::BIGINT AS unknown FROM x
+    UNION ALL SELECT 'fixed', round(sum((fixed - v) * 2), 6), round(sum((fixed - v) * 2) + 100, 6), CASE WHEN sum(fixed - v) > 0 THEN 'up' WHEN sum(fixed - v) < 0 THEN 'down' ELSE 'flat' END, abs(sum((fixed - v) * 2)) > 5, 0 FROM x""")
 def scenarios(spark, sf_dir):
     """Two scenarios on event means: add, then multiply; and set."""
     base = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("feature")).agg(F.avg("value").alias("value"))

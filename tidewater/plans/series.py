@@ -181,16 +181,22 @@ def bridge_features(spark, sf_dir):
     return lags.bridge(sources, _targets(spark, sf_dir), "2024-01-25").withColumn("target", day("target"))
 
 
-@query("""WITH m AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2030-12-01', INTERVAL 1 MONTH))::DATE AS month),
+_EASTER = """y AS (SELECT unnest(range(1995, 2031)) AS y), p AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+    q AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM p), r AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM q),
+    s AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM r), easter AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM s)"""
+
+
+@query(f"""WITH {_EASTER}, m AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2030-12-01', INTERVAL 1 MONTH))::DATE AS month),
     d AS (SELECT month, unnest(generate_series(month::TIMESTAMP, last_day(month)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM m)
     SELECT strftime(month, '%Y-%m-%d') AS month, count(*)::INT AS days, count(*) FILTER (isodow(d) < 6)::INT AS business_days, count(*) FILTER (isodow(d) = 5) = 5 AS five_fridays,
         round(30.437 / count(*), 8) AS day_factor, round(21.7 / count(*) FILTER (isodow(d) < 6), 8) AS business_factor,
         CASE WHEN month(month) = 11 THEN CASE WHEN min(day(d)) FILTER (isodow(d) = 4) + 21 >= 25 THEN 1 ELSE -1 END ELSE 0 END AS thanksgiving,
-        CASE WHEN month(month) = 9 THEN CASE WHEN min(day(d)) FILTER (isodow(d) = 1) >= 4 THEN 1 ELSE -1 END ELSE 0 END AS labor_day
-    FROM d GROUP BY month""")
+        CASE WHEN month(month) = 9 THEN CASE WHEN min(day(d)) FILTER (isodow(d) = 1) <= 3 THEN -1 WHEN min(day(d)) FILTER (isodow(d) = 1) >= 6 THEN 1 ELSE 0 END ELSE 0 END AS labor_day,
+        CASE WHEN bool_or(d = easter) THEN CASE WHEN day(max(easter)) <= 10 THEN -1 WHEN day(max(easter)) >= 20 THEN 1 ELSE 0 END ELSE 0 END AS easter
+    FROM d JOIN easter ON year(d) = y GROUP BY month""")
 def month_calendar(spark, sf_dir):
     """Days, business days, five-Friday months, adjustment factors, and holiday timing of 36 years."""
-    out = calendar.calendar_months(spark, "1995-01-01", "2030-12-01").drop("easter")
+    out = calendar.calendar_months(spark, "1995-01-01", "2030-12-01")
     return rounded(out, 8, "day_factor", "business_factor").withColumn("month", day("month"))
 
 
@@ -203,10 +209,7 @@ def federal_holidays(spark, sf_dir):
     return calendar.federal_holidays(spark, 1995, 2030).select(day("day").alias("day"), "holiday")
 
 
-@query("""WITH y AS (SELECT unnest(range(1995, 2031)) AS y), p AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
-    q AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM p), r AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM q),
-    s AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM r)
-    SELECT y::INT AS year, strftime(make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1), '%Y-%m-%d') AS easter FROM s""")
+@query(f"""WITH {_EASTER} SELECT y::INT AS year, strftime(easter, '%Y-%m-%d') AS easter FROM easter""")
 def easter_sundays(spark, sf_dir):
     """Easter Sunday of each year."""
     years = spark.range(1995, 2031).select(F.col("id").cast("int").alias("year"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewater.plans.base import day, query, rounded, table
+from tidewater.plans.base import day, query, rounded, scratch, table
 from tidewater.streaming.observations import windowed
 
 
@@ -15,8 +15,12 @@ def streamed_days(spark, sf_dir):
     """Daily sums of events read as a stream; the complete table after all files."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"streamed_{uuid.uuid4().hex}"
-    running = windowed(stream.withColumn("ts", F.col("ts").cast("timestamp")), key="event_type", ts="ts", value="value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    out = spark.table(name).select("event_type", day("start").alias("day"), "n", F.col("total"))
+    path = f"{scratch(spark)}/streamed-{uuid.uuid4().hex}"
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(path)  # the whole table after each batch: the last one stays
+
+    sums = windowed(stream.withColumn("ts", F.col("ts").cast("timestamp")), key="event_type", ts="ts", value="value")
+    sums.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(path).select("event_type", day("start").alias("day"), "n", F.col("total"))
     return rounded(out, 4, "total")

@@ -36,26 +36,34 @@ def read_row_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 
 class PagedReader(DataSourceReader):
-    """Pages of a table behind a function: the first page that fails is an error, a later one ends the table."""
+    """Pages of a table behind a function, read one after the other by one task: each says whether there is a next.
+
+    A first page that fails is an error; a later one that fails, or an empty one, ends the table.
+    """
 
     def __init__(self, schema, options):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(int(self.options.get("pages", "1")))]
+        return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch: Callable[[int], list[tuple]] = getattr(__import__(module, fromlist=[name]), name)
-        try:
-            yield from fetch(partition.value)
-        except Exception:
-            if partition.value == 0:
-                raise
+        for page in range(int(self.options.get("pages", 1 << 31))):
+            try:
+                rows = list(fetch(page))
+            except Exception:
+                if page == 0:
+                    raise
+                return
+            if not rows:
+                return
+            yield from rows
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged")`` with options fetch (module:function of a page number), pages, and columns (a schema)."""
+    """``spark.read.format("paged")`` with options fetch (module:function of a page number), pages (at most so many), and columns (a schema)."""
 
     @classmethod
     def name(cls) -> str:
@@ -71,7 +79,7 @@ class PagedSource(DataSource):
 def laus_series(states: dict[str, str]) -> list[str]:
     """Ids of local unemployment series: four national ones, and two of each state (name to FIPS code)."""
     national = ["LNS14000000", "LNS13000000", "LNS12000000", "LNS11000000"]
-    return national + [f"LASST{fips}00000000000{m}" for fips in sorted(states.values()) for m in ("03", "06")]
+    return national + [f"LASST{fips}0000000000{m}" for fips in sorted(states.values()) for m in ("003", "005")]
 
 
 def write_feature(df: DataFrame, base: str, name: str) -> None:

@@ -14,8 +14,8 @@ from tidewater.operators.aggregate import distinct_joined, flag_above_percentile
 
 #: Endings of employment series whose unit is not thousands of persons. Fixed values.
 UNITS = {"003": "dollars", "002": "hours"}
-#: Seventh and later characters of a local series by measure. Fixed values.
-MEASURES = {"03": "unemployment_rate", "04": "unemployment", "05": "employment", "06": "labor_force"}
+#: Measures of unemployment series: (part of a national id, ending of a local one, name), the first that fits counts. Fixed values.
+MEASURES = (("LNS14", "003", "unemployment_rate"), ("LNS13", "004", "unemployment_level"), ("LNS12", "005", "employment_level"), ("LNS11", "006", "labor_force"))
 
 
 def monthly_period(period: Column) -> Column:
@@ -30,23 +30,33 @@ def changes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("mom_change", windows.change(value, w)).withColumn("yoy_change", windows.change(value, w, 12))
 
 
+def preliminary(footnotes: str) -> Column:
+    """Whether the code or the text of any footnote says preliminary; false without footnotes."""
+
+    def says(part: Column) -> Column:
+        return F.contains(F.lower(F.coalesce(part, F.lit(""))), F.lit("preliminary"))
+
+    return F.coalesce(F.exists(footnotes, lambda f: says(f["code"]) | says(f["text"])), F.lit(False))
+
+
 def employment(df: DataFrame) -> DataFrame:
     """Rows of read_series_replies with date, changes, unit, and whether a footnote says preliminary."""
     m = monthly_period(F.col("period"))
     rows = df.withColumn("month", m).where("month is not null").withColumn("date", F.make_date("year", "month", F.lit(1)))
     unit = reduce(lambda other, e: F.when(F.col("series_id").endswith(e), UNITS[e]).otherwise(other), UNITS, F.lit("thousands"))
-    early = F.coalesce(F.exists("footnotes", lambda f: F.contains(F.lower(F.coalesce(f["text"], F.lit(""))), F.lit("preliminary"))), F.lit(False))
-    return changes(rows, "series_id", "date", "value").withColumn("unit", unit).withColumn("is_preliminary", early)
+    return changes(rows, "series_id", "date", "value").withColumn("unit", unit).withColumn("is_preliminary", preliminary("footnotes"))
 
 
 def local_unemployment(df: DataFrame, states: DataFrame) -> DataFrame:
-    """Local series with state (from ``states``: state_fips, state_name; else National), measure, and changes."""
+    """Local series with state (from ``states``: state_fips, state_name; else National), measure, changes, and whether a footnote says preliminary."""
     m = monthly_period(F.col("period"))
     rows = df.withColumn("month", m).where("month is not null").withColumn("date", F.make_date("year", "month", F.lit(1)))
     state = F.when(F.col("series_id").startswith("LASST"), F.substring("series_id", 6, 2)).otherwise("00")
-    measure = reduce(lambda other, e: F.when(F.col("series_id").endswith(e), MEASURES[e]).otherwise(other), MEASURES, F.lit("other"))
+    own = F.col("series_id")
+    measure = reduce(lambda other, m: F.when(F.contains(own, F.lit(m[0])) | own.endswith(m[1]), m[2]).otherwise(other), reversed(MEASURES), F.lit("other"))
     named = rows.withColumn("state_fips", state).withColumn("measure", measure).join(states.select("state_fips", "state_name"), "state_fips", "left")
-    return changes(named.withColumn("state_name", F.coalesce("state_name", F.lit("National"))), "series_id", "date", "value")
+    named = named.withColumn("state_name", F.coalesce("state_name", F.lit("National"))).withColumn("is_preliminary", preliminary("footnotes"))
+    return changes(named, "series_id", "date", "value")
 
 
 def claims(df: DataFrame, states: list[str]) -> DataFrame:
@@ -68,11 +78,11 @@ def withholdings(df: DataFrame, key: str = "classification") -> DataFrame:
 
 
 #: Kinds of business formation series, by a part of their name; the first that fits counts. Fixed values.
-FORMATIONS = (("high", "high_propensity_applications"), ("formation", "business_formations"), ("application", "total_applications"))
+FORMATIONS = (("with planned wages", "high_propensity_applications"), ("business applications", "total_applications"), ("formations", "business_formations"))
 
 
 def formations(df: DataFrame) -> DataFrame:
-    """Monthly business formation by kind, with changes and the rate of formations to applications.
+    """Monthly business formation by kind, with changes and the rate of formations to high-propensity applications.
 
     The kinds become one national row a month, so the changes look back over a single short series.
     """
@@ -81,13 +91,30 @@ def formations(df: DataFrame) -> DataFrame:
     wide = df.withColumn("kind", kind).groupBy("date").pivot("kind", names).agg(F.sum("value"))
     w = windows.over([], "date")
     out = wide.withColumns({f"{c}_mom_change": windows.change(c, w) for c in names} | {f"{c}_yoy_change": windows.change(c, w, 12) for c in names})
-    return out.withColumn("formation_rate", ratio(F.col("business_formations"), F.col("total_applications")))
+    return out.withColumn("formation_rate", ratio(F.col("business_formations"), F.col("high_propensity_applications")))
+
+
+#: Stoppage series by id; counts of workers and days are in thousands. Fixed values.
+STOPPAGES = {"WSU001": "days_idleness_thousands", "WSU010": "workers_involved_thousands", "WSU020": "workers_in_effect_thousands", "WSU100": "num_stoppages_beginning", "WSU200": "num_stoppages_in_effect"}
+
 
+def scored(months: DataFrame, significant: float = 50_000) -> DataFrame:
+    """Months with their score, workers times stoppages, and whether more than ``significant`` workers took part."""
+    return months.withColumn("strike_impact_score", F.col("workers_involved") * F.col("num_stoppages")).withColumn("is_significant_month", F.coalesce(F.col("workers_involved") > significant, F.lit(False)))
 
-def strikes_monthly(df: DataFrame, significant: float = 10_000) -> DataFrame:
+
+def stoppage_series(df: DataFrame) -> DataFrame:
+    """By month end: a column for each series of STOPPAGES (rows: series_id, date, value), workers and stoppages begun, score."""
+    names = F.create_map(*[F.lit(x) for kv in STOPPAGES.items() for x in kv])
+    wide = df.withColumn("__name", F.try_element_at(names, F.col("series_id"))).groupBy(F.last_day("date").alias("date")).pivot("__name", list(STOPPAGES.values())).agg(F.sum("value"))
+    months = wide.withColumn("industry", F.lit("All Industries (National)")).withColumn("num_stoppages", F.col("num_stoppages_beginning"))
+    return scored(months.withColumn("workers_involved", F.col("workers_involved_thousands") * 1000))
+
+
+def strikes_monthly(df: DataFrame, significant: float = 50_000) -> DataFrame:
     """By month end: workers, stoppages, industries, score."""
     out = df.groupBy(F.last_day("date").alias("date")).agg(F.sum("workers_involved").alias("workers_involved"), F.count("*").alias("num_stoppages"), distinct_joined("industry").alias("industry"))
-    return out.withColumn("strike_impact_score", F.col("workers_involved") / 1_000 * F.col("num_stoppages")).withColumn("is_significant_month", F.col("workers_involved") >= significant)
+    return scored(out.withColumn("industry", F.when(F.col("industry") == "", "All Industries").otherwise(F.col("industry"))), significant)
 
 
 def damage_millions(text: Column) -> Column:
@@ -102,9 +129,24 @@ def size_class(workers: Column) -> Column:
     return F.when(workers <= 0, None).when(workers <= 100, "small").when(workers <= 1_000, "medium").when(workers <= 10_000, "large").when(workers.isNotNull(), "major")
 
 
+def damage_class(millions: Column) -> Column:
+    """Minor (0, 100], Moderate (100, 1000], Major (1000, 10000], Catastrophic above, in millions; 0 and less have none."""
+    return F.when(millions <= 0, None).when(millions <= 100, "Minor").when(millions <= 1_000, "Moderate").when(millions <= 10_000, "Major").when(millions.isNotNull(), "Catastrophic")
+
+
+def storm_events(years: list[DataFrame]) -> DataFrame:
+    """Rows of yearly files under one set of columns, with deaths and injuries summed over direct and indirect ones; what a year lacks is null."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years)
+    for kind in ("deaths", "injuries"):
+        parts = [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in (f"{kind}_direct", f"{kind}_indirect") if c in rows.columns]
+        if parts:
+            rows = rows.withColumn(kind, reduce(lambda a, b: a + b, parts))
+    return rows
+
+
 def weather_monthly(df: DataFrame, q: float = 0.75) -> DataFrame:
     """By month: types, states, sums, score of events, and whether the month is over the q-quantile of scores."""
-    score = F.col("deaths") * 100 + F.col("injuries") * 10 + F.col("damage_millions") / 10
+    score = F.coalesce(F.col("deaths").cast("double"), F.lit(0.0)) * 100 + F.coalesce(F.col("injuries").cast("double"), F.lit(0.0)) * 10 + F.col("damage_millions") / 10
     rows = df.withColumn("employment_impact_score", score).groupBy(month(F.col("date")).alias("year_month")).agg(
         distinct_joined("event_type").alias("event_type"), distinct_joined("state").alias("state"), *[F.sum(c).alias(c) for c in ("deaths", "injuries", "damage_millions", "employment_impact_score")], F.min("date").alias("date"), F.count("*").alias("num_major_events")
     )

@@ -5,6 +5,8 @@ A late observation is a revision: it goes to the next vintage, none is changed.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,11 +23,15 @@ def windowed(stream: DataFrame, *, key: str, ts: str, value: str, width: str = "
     return out.select(key, F.col("window.start").alias("start"), "n", "total", "mean")
 
 
-def write_vintages(stream: DataFrame, base: str, source: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes one partition of the vintage store, named by its number: a batch that is run again overwrites itself only."""
+def write_vintages(stream: DataFrame, base: str, source: str, day: date, checkpoint: str) -> StreamingQuery:
+    """What arrives until the run ends becomes the vintage of ``day``, readable by VintageStore.
+
+    Each micro-batch has a folder of its number inside the vintage: a batch that is
+    run again overwrites itself only.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            batch.write.mode("overwrite").parquet(f"{base.rstrip('/')}/source={source}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{base.rstrip('/')}/source={source}/vintage_date={day.isoformat()}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
