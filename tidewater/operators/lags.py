@@ -8,13 +8,37 @@ inequality join.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidewater.operators import windows
 
 
+#: Sources of mixed frequency: frequency, date column, value column, lags, aggregation. Fixed values.
+SOURCES = {"treasury_withholdings": ("D", "date", "daily_withholding", 20, "sum"), "ui_claims": ("W", "report_date", "initial_claims", 8, "last"), "bls_ces": ("M", "date", "all_employees", 1, "last")}
+
+
+def source_frame(df: DataFrame, source: str) -> DataFrame | None:
+    """(ts, value) of one of SOURCES: its value column or else the first numeric one; None without a date column or a number."""
+    _, date, value, _, _ = SOURCES[source]
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    if date not in df.columns or (value not in df.columns and not numbers):
+        return None
+    return df.select(F.col(date).cast("date").alias("ts"), F.col(value if value in df.columns else numbers[0]).alias("value"))
+
+
+def infer_targets(sources: dict[str, DataFrame]) -> DataFrame:
+    """(target): months that all sources (ts, value) cover; where they share none, all months that any covers."""
+    spans = [df.agg(F.trunc(F.min("ts"), "MM").alias("a"), F.trunc(F.max("ts"), "MM").alias("b")) for df in sources.values()]
+    spans = reduce(lambda x, y: x.unionAll(y), spans).agg(F.max("a").alias("a"), F.min("b").alias("b"), F.min("a").alias("lo"), F.max("b").alias("hi"))
+    apart = F.col("a") > F.col("b")
+    months = F.sequence(F.when(apart, F.col("lo")).otherwise(F.col("a")), F.when(apart, F.col("hi")).otherwise(F.col("b")), F.expr("interval 1 month"))
+    return spans.select(F.explode(months).alias("target"))
+
+
 def almon_weights(n: int, degree: float = 2.0) -> list[float]:
     """exp(-(i / n) ** degree), normalised; degree 0 weighs all alike."""
     raw = [1.0 if degree == 0 else math.exp(-((i / n) ** degree)) for i in range(n)]

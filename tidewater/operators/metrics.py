@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -127,6 +128,22 @@ def assign_folds(df: DataFrame, key: str, order: str, *, initial: int, step: int
     return rows.withColumn("__p", F.explode(F.filter(parts, lambda x: x["part"].isNotNull()))).select(*df.columns, "__p.fold", "__p.part")
 
 
+def cross_validate(folds: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], scores: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """(fold, by, scores) of a model fitted anew for each fold of assign_folds().
+
+    ``fit`` takes the training rows of one fold and returns what predicts its test
+    rows; ``scores`` are aggregates over these. Folds are few: one fit each.
+    """
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    parts = []
+    for k in numbers:
+        own = folds.where(F.col("fold") == k)
+        predict = fit(own.where("part = 'train'"))
+        scored = predict(own.where("part = 'test'")).groupBy("fold", *(by or []))
+        parts.append(scored.agg(*[v.alias(c) for c, v in scores.items()]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def fold_summary(scores: DataFrame, value: str) -> DataFrame:
     """mean, standard deviation (n), min, max over folds."""
     return scores.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))

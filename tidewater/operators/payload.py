@@ -74,6 +74,15 @@ def offset_days(text: Column) -> Column:
     return F.regexp_extract(text, r"^T([+-]\d+)d$", 1).try_cast("int")
 
 
+def next_windows(windows: DataFrame, at: Column, event: str = "event_date", by: str = "subnet_id") -> DataFrame:
+    """The window of each ``by`` that is open or opens next at a day: not yet closed, the one that opens first (or is open), then the first event."""
+    d = at.cast("date")
+    dated = windows.withColumn("opens_on", F.date_add(event, offset_days(F.col("opens")))).withColumn("closes_on", F.date_add(event, offset_days(F.col("closes")))).where(F.col("closes_on") > d)
+    rest = [c for c in dated.columns if c != by]
+    first = F.min(F.struct(F.greatest("opens_on", d).alias("from"), *rest))
+    return dated.groupBy(by).agg(first.alias("row")).select(by, *[F.col(f"row.{c}") for c in rest])
+
+
 def open_windows(windows: DataFrame, at: Column, event: str = "event_date") -> DataFrame:
     """Windows (event_date, opens, closes as offsets) that are open at a day: from opening on, before closing."""
     d = at.cast("date")

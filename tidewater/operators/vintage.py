@@ -90,6 +90,11 @@ def honesty(df: DataFrame, observed: str, vintage_date: date, as_of: date) -> Da
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and a hash that does not depend on their order: equal tables give equal fingerprints."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
+    """Rows and two hashes that do not depend on their order: equal tables give equal fingerprints.
+
+    A row is hashed by SHA-256 of its values as text, one a line, null as ``\\N``.
+    """
+    text = F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    digest = F.sha2(text, 256)
+    part = [F.conv(F.substring(digest, a, 10), 16, 10).cast("long") for a in (1, 11)]
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(part[0]).alias("xor"), F.sum(part[1]).alias("sum"))

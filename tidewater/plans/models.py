@@ -101,6 +101,32 @@ def reconciled(spark, sf_dir):
     return out.withColumn("gap", F.abs(reconcile.incoherence(out, "total", parts))).withColumn("month", day("month"))
 
 
+_NODES = ["total", *(f"r{k}" for k in range(5))]
+_BASE = """h AS (SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total, """ + ", ".join(f"coalesce(sum(o_totalprice) FILTER (n_regionkey = {k}), 0) AS r{k}" for k in range(5)) + """ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+    f AS (SELECT month, """ + ", ".join(f"{c} * {1 + 0.02 * k!r} AS {c}" for k, c in enumerate(_NODES)) + """ FROM h),
+    v AS (SELECT """ + ", ".join(f"greatest(var_samp({c} * {0.01 * (k + 1)!r} * sin(month(month) * {k + 2})), 1e-8) AS v{k}" for k, c in enumerate(_NODES)) + """ FROM h),
+    g AS (SELECT *, total - r0 - r1 - r2 - r3 - r4 AS gap, v0 + v1 + v2 + v3 + v4 + v5 AS all_v FROM f, v)"""
+
+
+def _reconciled(spark, sf_dir, method):
+    h, parts, at = _hierarchy(spark, sf_dir), _NODES[1:], F.month("month")
+    errors = h.select(*[(F.col(c) * (F.lit(0.01) * (k + 1)) * F.sin(at * (k + 2))).alias(c) for k, c in enumerate(_NODES)])
+    base = h.select("month", *[(F.col(c) * (1 + 0.02 * k)).alias(c) for k, c in enumerate(_NODES)])
+    return rounded(reconcile.reconcile(base, errors, "total", parts, method), 1, *_NODES).withColumn("month", day("month"))
+
+
+@query(f"""WITH {_BASE} SELECT strftime(month, '%Y-%m-%d') AS month, """ + ", ".join(f"round({c} {'-' if k == 0 else '+'} gap / 6, 1) AS {c}" for k, c in enumerate(_NODES)) + " FROM g")
+def reconciled_ols(spark, sf_dir):
+    """Forecasts made coherent with all errors alike."""
+    return _reconciled(spark, sf_dir, "ols")
+
+
+@query(f"""WITH {_BASE} SELECT strftime(month, '%Y-%m-%d') AS month, """ + ", ".join(f"round({c} {'-' if k == 0 else '+'} gap * v{k} / all_v, 1) AS {c}" for k, c in enumerate(_NODES)) + " FROM g")
+def reconciled_wls(spark, sf_dir):
+    """Forecasts made coherent by the variances of their errors."""
+    return _reconciled(spark, sf_dir, "wls")
+
+
 @query("""WITH r AS (SELECT l_returnflag AS series, abs(l_extendedprice - 1400 * l_quantity) AS r FROM lineitem), n AS (SELECT series, count(*) AS n FROM r GROUP BY 1)
     SELECT series, round(CASE series """ + " ".join(f"WHEN '{f}' THEN (SELECT (list_sort(list(r)))[1 + floor((count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)))::INT] + ((list_sort(list(r)))[least(count(*), 2 + floor((count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)))::INT)] - (list_sort(list(r)))[1 + floor((count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)))::INT]) * ((count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)) - floor((count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)))) FROM r WHERE series = '{f}')" for f in "ANR") + """ END, 4) AS width FROM n""")
 def conformal_widths(spark, sf_dir):
@@ -109,12 +135,37 @@ def conformal_widths(spark, sf_dir):
     return rounded(calibrate.conformal_width(own, "y", "f", 0.9, ["series"]), 4, "width")
 
 
-@query()
+@query("""WITH g AS (SELECT (l_quantity - 1) / 50.0 AS p, count(*) AS n, count(*) FILTER (l_extendedprice > 45000) AS s FROM lineitem GROUP BY 1),
+    w AS (SELECT a.p AS lo, b.p AS hi, sum(c.s) / sum(c.n) AS m FROM g a JOIN g b ON a.p <= b.p JOIN g c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2),
+    k AS (SELECT g.p, lo, min(m) AS m FROM g JOIN w ON lo <= g.p AND hi >= g.p GROUP BY 1, 2)
+    SELECT g.p, round(max(m), 6) AS calibrated, round(any_value(s / n), 6) AS share, any_value(n) AS n FROM g JOIN k ON k.p = g.p GROUP BY 1""")
 def isotonic_calibration(spark, sf_dir):
     """Probabilities calibrated by a rising function: mean by step."""
     own = table(spark, sf_dir, "lineitem").select(((F.col("l_quantity") - 1) / 50.0).alias("p"), (F.col("l_extendedprice") > 45000).cast("double").alias("y"))
     out = calibrate.isotonic(own, own, "p", "y")
-    return out.groupBy("p").agg(F.avg("calibrated").alias("calibrated"), F.avg("y").alias("share"), F.count("*").alias("n"))
+    return rounded(out.groupBy("p").agg(F.avg("calibrated").alias("calibrated"), F.avg("y").alias("share"), F.count("*").alias("n")), 6, "calibrated", "share")
+
+
+_CALIBRATION = """x AS (SELECT s_suppkey, s_acctbal AS y, 180.0 * s_nationkey AS f FROM supplier), c AS (SELECT abs(y - f) AS r, f AS p, row_number() OVER (ORDER BY abs(y - f), f) AS pos FROM x), n AS (SELECT count(*) AS n, stddev_pop(p) * 0.1 AS h FROM c),
+    pl AS (SELECT l[1 + floor(q)::INT] + (l[least(k, 2 + floor(q)::INT)] - l[1 + floor(q)::INT]) * (q - floor(q)) AS plain FROM (SELECT list_sort(list(r)) AS l, count(*) AS k, (count(*) - 1) * least(1, 0.9 + 1.0 / (count(*) + 1)) AS q FROM c))"""
+
+
+@query(f"""WITH {_CALIBRATION}, k AS (SELECT s_suppkey, pos, r, exp(-abs(p - f) / h) AS w FROM x, c, n), t AS (SELECT s_suppkey, pos, r, sum(w / (tw + 1e-10)) OVER (PARTITION BY s_suppkey ORDER BY pos) AS share FROM (SELECT *, sum(w) OVER (PARTITION BY s_suppkey) AS tw FROM k)),
+    b AS (SELECT s_suppkey, count(*) FILTER (share < 0.9) AS before FROM t GROUP BY 1)
+    SELECT s_suppkey, round(0.7 * c.r + 0.3 * plain, 4) AS width FROM b JOIN n ON true JOIN pl ON true JOIN c ON c.pos = least(before + 1, n.n)""")
+def adaptive_widths(spark, sf_dir):
+    """Half-widths by how far residuals reach near each forecast."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), (F.col("s_nationkey") * 180.0).alias("f"))
+    return rounded(calibrate.adaptive_width(own, own, "y", "f"), 4, "width").select("s_suppkey", "width")
+
+
+@query("""WITH x AS (SELECT l_extendedprice AS y, l_quantity * 1500.0 AS f FROM lineitem), p AS (SELECT *, rank() OVER (ORDER BY f) - 1 AS pos, count(*) OVER () AS n FROM x), s AS (SELECT *, least(4, pos // (n // 5))::INT AS stratum FROM p)
+    SELECT stratum, count(*) AS n, round(avg((y BETWEEN f - 12000 AND f + 12000)::INT), 6) AS coverage, round(avg(24000), 6)::DOUBLE AS width FROM s GROUP BY 1""")
+def coverage_strata(spark, sf_dir):
+    """Coverage by fifths of the forecasts."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("f"))
+    own = own.withColumn("low", F.col("f") - 12000).withColumn("high", F.col("f") + 12000)
+    return rounded(calibrate.coverage_by_stratum(own, "y", "f", "low", "high"), 6, "coverage", "width")
 
 
 @query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, 1400 * l_quantity AS b, l_quantity * 1500 - 2000 AS c FROM lineitem),

@@ -177,9 +177,9 @@ def latest_row(df: DataFrame, order: str) -> DataFrame:
 
 
 def state_summary(df: DataFrame, measure: str) -> DataFrame:
-    """The latest value of a measure by state, largest first."""
-    rows = df.where((F.col("measure") == measure) & (F.col("state_fips") != "00")).select("state_name", "date", "value")
-    return windows.latest(rows, "state_name", "date").orderBy(F.desc("value"), "state_name")
+    """The latest row of a measure by state (state_name, state_fips, date, value, mom_change, yoy_change), largest first; the nation is one of them."""
+    rows = df.where(F.col("measure") == measure).select("state_fips", "state_name", "date", "value", "mom_change", "yoy_change")
+    return windows.latest(rows, "state_fips", "date").select("state_name", "state_fips", "date", "value", "mom_change", "yoy_change").orderBy(F.desc("value"), "state_fips")
 
 
 def trimmed_joins(rows: DataFrame, industries: DataFrame, areas: DataFrame) -> DataFrame:
