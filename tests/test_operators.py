@@ -349,4 +349,4 @@ def test_quantile_forecast_is_the_whole_model(spark, monkeypatch):
 
     monkeypatch.setattr(GBTRegressor, "fit", fit)
     out = plans.quantile_forecast(spark, "/root/testdata/sf0.001")
-    assert fits == [(100, 5)] * 21 and out.columns == ["series", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"]
+    assert fits == [(100, 5)] * 15 and out.columns == ["series", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"]

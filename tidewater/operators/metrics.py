@@ -6,11 +6,8 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def _c(x: str | Column) -> Column:
@@ -60,13 +57,22 @@ def sharpness(p) -> Column:
     return F.stddev_pop(_c(p))
 
 
-@F.pandas_udf(DoubleType())
-def crps_normal(y: pd.Series, mean: pd.Series, sd: pd.Series) -> pd.Series:
-    """Continuous ranked probability score of a normal forecast. Spark SQL has no error function, so this one row-wise score runs on Arrow batches."""
-    z = (y - mean) / sd
-    cdf = 0.5 * (1 + z.map(lambda x: math.erf(x / math.sqrt(2))))
-    pdf = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    return sd * (z * (2 * cdf - 1) + 2 * pdf - 1 / math.sqrt(math.pi))
+def erf(x: Column, terms: int = 120) -> Column:
+    """The error function, which Spark lacks: 2 / sqrt(pi) * exp(-x^2) * sum of x (2 x^2)^n / (1 * 3 * ... * (2n + 1)); 1 or -1 beyond 6."""
+
+    def series(v: Column) -> Column:
+        begin = F.struct(v.alias("term"), v.alias("sum"))
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), begin, lambda a, n: F.struct((a["term"] * 2 * v * v / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * v * v / (2 * n + 1)).alias("sum")))
+        return F.when(F.abs(v) > 6, F.signum(v)).otherwise(2 / math.sqrt(math.pi) * F.exp(-v * v) * total["sum"])
+
+    return F.transform(F.array(x.cast("double")), series)[0]
+
+
+def crps_normal(y, mean, sd) -> Column:
+    """Continuous ranked probability score of a normal forecast."""
+    z = (_c(y) - _c(mean)) / _c(sd)
+    pdf = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return _c(sd) * (z * erf(z / math.sqrt(2)) + 2 * pdf - 1 / math.sqrt(math.pi))
 
 
 def reliability(df: DataFrame, y: str, p: str, bins: int = 10, by: list[str] | None = None) -> DataFrame:

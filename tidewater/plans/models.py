@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidewater.operators import calibrate, models, payload, reconcile, registry, scenario, seasonal
@@ -53,12 +55,14 @@ def seasonal_verdict(spark, sf_dir):
 
 
 @query(f"""WITH {_PARTS}, c AS (SELECT series, month, i - avg(i) OVER (PARTITION BY series) AS x, count(i) OVER (PARTITION BY series) AS n FROM parts),
-    l AS (SELECT series, n, x, {", ".join(f"lag(x, {k}) OVER (PARTITION BY series ORDER BY month) AS x{k}" for k in range(1, 11))} FROM c WHERE n >= 20)
-    SELECT series, max(n) AS n, round(max(n) * (max(n) + 2) * ({" + ".join(f"pow(sum(x * x{k}) / sum(x * x), 2) / (max(n) - {k})" for k in range(1, 11))}), 4) AS q FROM l GROUP BY 1 HAVING max(n) >= 50""")
+    l AS (SELECT series, n, x, {", ".join(f"lag(x, {k}) OVER (PARTITION BY series ORDER BY month) AS x{k}" for k in range(1, 11))} FROM c WHERE n >= 20),
+    b AS (SELECT series, max(n) AS n, max(n) * (max(n) + 2) * ({" + ".join(f"pow(sum(x * x{k}) / sum(x * x), 2) / (max(n) - {k})" for k in range(1, 11))}) AS q FROM l GROUP BY 1 HAVING max(n) >= 50),
+    p AS (SELECT *, exp(-q / 2) * ({" + ".join(f"pow(q / 2, {k}) / {math.factorial(k)}" for k in range(5))}) AS p FROM b)
+    SELECT series, n, 10::INT AS lags, round(q, 4) AS q, round(p, 6) AS p_value, p > 0.05 AS random FROM p""")
 def ljung_box(spark, sf_dir):
     """Autocorrelation of the irregular component."""
     out = seasonal.ljung_box(seasonal.decompose(monthly_orders(spark, sf_dir)))
-    return rounded(out, 4, "q").where("n >= 50").select("series", "n", "q")
+    return rounded(rounded(out, 4, "q"), 6, "p_value").where("n >= 50")
 
 
 @query("""WITH e AS (SELECT l_shipdate::DATE AS a, CASE WHEN l_tax > 0 THEN l_shipdate::DATE + l_quantity::INT * 2 END AS b, l_partkey * 20 AS w, l_suppkey AS n FROM lineitem),

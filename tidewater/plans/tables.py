@@ -185,10 +185,12 @@ def forecast_metrics(spark, sf_dir):
     return rounded(rounded(out, 3, "rmse", "mae", "interval_score"), 4, "mape", "smape", "coverage")
 
 
-@query()
+@query(f"""WITH {_FORECAST}, v AS (SELECT series, (hi - lo) / 3 AS s, (y - f) / ((hi - lo) / 3) AS z FROM x),
+    e AS (SELECT *, sign(z) * CASE WHEN abs(z) > 8 THEN 1 WHEN z = 0 THEN 0 ELSE 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 150), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(abs(z) / sqrt(2)) - lgamma(2 * n + 2) + lgamma(n + 1)))) END AS erf FROM v)
+    SELECT series, round(avg(s * (z * erf + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 5) AS crps FROM e GROUP BY 1""")
 def crps(spark, sf_dir):
     """Continuous ranked probability score of normal forecasts, by series."""
-    return _forecast(spark, sf_dir).groupBy("series").agg(F.avg(metrics.crps_normal("y", "f", "s")).alias("crps"))
+    return rounded(_forecast(spark, sf_dir).groupBy("series").agg(F.avg(metrics.crps_normal("y", "f", "s")).alias("crps")), 5, "crps")
 
 
 _PROBABLE = """p AS (SELECT l_orderkey, l_linenumber, (l_quantity - 1) / 50.0 AS p, (l_extendedprice > 45000)::INT AS y FROM lineitem)"""
@@ -201,10 +203,11 @@ def _probable(spark, sf_dir):
 _BINS = " + ".join(f"(p >= {k / 10!r})::INT" for k in range(1, 10))
 
 
-@query(f"""WITH {_PROBABLE} SELECT ({_BINS})::INT AS bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS share FROM p GROUP BY 1""")
+@query(f"""WITH {_PROBABLE}, b AS (SELECT ({_BINS})::INT AS bin, count(*) AS n, avg(p) AS m, avg(y) AS s, 1.959963984540054 AS z FROM p GROUP BY 1), w AS (SELECT *, (s + z * z / (2 * n)) / (1 + z * z / n) AS c, z * sqrt(s * (1 - s) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS e FROM b)
+    SELECT bin, n, round(m, 8) AS mean_p, round(s, 8) AS share, round(c - e, 7) AS low, round(c + e, 7) AS high FROM w""")
 def reliability(spark, sf_dir):
     """A reliability table of ten bins."""
-    return rounded(metrics.reliability(_probable(spark, sf_dir), "y", "p"), 8, "mean_p", "share").select("bin", "n", "mean_p", "share")
+    return rounded(rounded(metrics.reliability(_probable(spark, sf_dir), "y", "p"), 8, "mean_p", "share"), 7, "low", "high")
 
 
 @query(f"""WITH {_PROBABLE}, r AS (SELECT ({_BINS}) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM p GROUP BY 1) SELECT round(sum(gap * n) / sum(n), 8) AS ece, round(max(gap), 8) AS mce FROM r""")
