@@ -467,3 +467,78 @@ def test_conversations(spark):
     assert got[2].n_turns == 3 and got[2].turns_sha256 == digest([("", "x"), ("user", "</s>"), ("user", "</s>")])
     assert set(got) == {1, 2, None}
     assert chat_format.format_conversations(rows.limit(0)).count() == 0
+
+
+def mined(rows, least, sure, longest):
+    """Every minimal set of tokens by enumeration: {tokens: (n, unwanted)}."""
+    from itertools import combinations
+
+    counts = defaultdict(lambda: [0, 0])
+    for own, bad in rows:
+        for k in range(1, longest + 1):
+            for c in combinations(sorted(own), k):
+                counts[c][0] += 1
+                counts[c][1] += bad
+    kept = {c: tuple(v) for c, v in counts.items() if v[1] >= least and v[1] >= sure * v[0]}
+    return {c: v for c, v in kept.items() if not any(p in kept for k in range(1, len(c)) for p in combinations(c, k))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_rules_are_those_of_enumeration(spark, seed):
+    rng = np.random.default_rng(seed)
+    hosts, parts, keys = ["a-b.x.com", "b.y.net", "c-a.x.net", "d.com", "a.q.y.com"], ["en", "de", "win", "free"], ["id", "ref", "p"]
+    urls = {f"https://{rng.choice(hosts)}/{rng.choice(parts)}/{rng.choice(parts)}?{rng.choice(keys)}={k}" for k in range(160)}
+    rows = [(u, bool(("win" in u and "free" in u) or ("a-b" in u and rng.random() < 0.9) or rng.random() < 0.05)) for u in sorted(urls)]
+    table = spark.createDataFrame(rows, "url string, unwanted boolean")
+    tokens = {r.url: r.t for r in table.select("url", url_filters.tokens(F.col("url")).alias("t")).collect()}
+    want = mined([(tokens[u], bad) for u, bad in rows], 3, 0.9, 3)
+    learned = url_filters.learn(table, min_count=3, min_confidence=0.9, longest=3)
+    n_bad = sum(bad for _, bad in rows)
+    got = {tuple(r["items"]): (round(r.support * n_bad / r.confidence), round(r.support * n_bad)) for r in learned.rules.collect()}
+    assert got == want and want
+    blocked = {r.url for r in url_filters.judge(table, learned, {}).where("verdict = 'block'").collect()}
+    assert blocked == {u for u, _ in rows if any(set(c) <= set(tokens[u]) for c in want)}
+
+
+def test_fourier_ridge_is_a_dense_solution(spark):
+    rng = np.random.default_rng(5)
+    names = list(quality_classifier.inputs())
+    x = rng.normal(size=(300, len(names)))
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
+    held = np.arange(300) % 4 == 0
+    rows = spark.createDataFrame([(*map(float, a), float(b), bool(h)) for a, b, h in zip(x, y, held, strict=True)], ", ".join(f"{c} double" for c in names) + ", label double, held boolean")
+    model = quality_classifier.fit(rows, calibrate=F.col("held"), size=24, ridge=0.01)
+    z = model.features(x[~held])
+    penalty = 0.01 * (~held).sum() / 24 * np.eye(25)
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y[~held]), atol=1e-6)
+    raw = model.raw(x[held])
+    step = np.floor(np.clip(raw, -1, 2) * quality_classifier.STEPS)
+    at = np.unique(step)
+    mean = np.array([[raw[step == a].mean(), y[held][step == a].mean(), (step == a).sum()] for a in at])
+    # The rising fit in closed form: the largest, over beginnings, of the smallest mean to any end.
+    total, weight = np.cumsum(np.r_[0, mean[:, 1] * mean[:, 2]]), np.cumsum(np.r_[0, mean[:, 2]])
+    fit = [max(min((total[b] - total[a]) / (weight[b] - weight[a]) for b in range(k + 1, len(at) + 1)) for a in range(k + 1)) for k in range(len(at))]
+    assert np.allclose(np.interp(mean[:, 0], model.steps, model.values), fit, atol=1e-9)
+
+
+def test_rates_are_a_least_squares_solution(spark):
+    rows = [(k, " ".join(np.random.default_rng(k).choice(["good", "fine", "nice"] if k % 4 else ["bad", "ugly"], 10 + k)), "g" if k % 4 else "b") for k in range(60)]
+    labelled = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, domain string")
+    out = mixing.mix(docs(spark, [(i, t) for i, t, _ in rows]), labelled, {"g": 0.3, "b": 0.7}).collect()
+    n, p, r = (np.array([x[c] for x in out], float) for c in ("n_tokens", "posteriors", "rate"))
+    goal = np.array([0.7, 0.3])
+    miss = (p * (n * r)[:, None]).sum(0) / n.sum() - goal
+    # By brute force: many small projected steps.
+    q = np.ones(len(n))
+    a = p * n[:, None] / n.sum()
+    for _ in range(20_000):
+        q = np.maximum(0, q - 5 * (a @ (a.T @ q - goal)))
+    assert np.abs(miss).max() <= np.abs(a.T @ q - goal).max() + 2e-3 and (r >= 0).all()
+
+
+def test_other_tokenizers_are_refused():
+    from tidewater.llm import packing
+
+    with pytest.raises(ValueError):
+        packing.checked('{"normalizer": null, "pre_tokenizer": null, "model": {}}')

@@ -44,3 +44,35 @@ def test_passages_of_texts_that_share_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r.doc_id, r.text.strip()) for r in corpus_pipeline.remove_repeated_passages(spark, docs, DATA).collect()}
     assert got == {(1, passage), (5, one), (5, two), (None, passage)}
+
+
+ODD = [(1, None), (2, ""), (3, "  \n"), (None, "the of and to in that is was he for it with"), (4, "a " * 30_000), (5, "one two three"), (5, "one two three"), (6, "12 34"), (7, "one two three")]
+
+
+def odd(spark, rows):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, __lang int, __score int, __cut int, __doc int, __key int"
+    return spark.createDataFrame([(i, t, "en", "s", 0, 1, 2, 3, 4, 5) for i, t in rows], kinds)
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    docs = odd(spark, ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, DATA), name)
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+        assert stage(spark, odd(spark, []), DATA).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.where("start = 0").count() == len(ODD)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd(spark, []), DATA).count() == 0
+
+
+def test_shares_after_mixing(spark):
+    from tidewater.llm import mixing, queries
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = mixing.mix(docs, queries.labelled_domains(docs, spark.read.parquet(f"{sf}/labels.parquet")), corpus_pipeline.TARGETS, whole="clean")
+    kept = mixing.thin(mixed, "doc_id", keep=mixing.posterior_of(mixed, "clean") >= 0.5).collect()
+    total = sum(r.n_tokens for r in kept)
+    for k, name in enumerate(sorted(corpus_pipeline.TARGETS)):
+        share = sum(r.n_tokens * r.posteriors[k] for r in kept) / total
+        assert abs(share - corpus_pipeline.TARGETS[name]) < 0.02, (name, share)

@@ -113,6 +113,36 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.union(extra)))
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_quality_rules states of each text before any rule is learned."""
+    stats = quality_rules.statistics(table(spark, sf_dir, "documents"))
+    return stats.withColumn("base_failed", quality_rules.base_failed()).drop("n_upper", "n_digits", "n_marks")
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and listed rule of each page, as op2_url_filters judges them; pages without a listed rule have none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filters.host(F.col("url")).alias("host"), url_filters.path(F.col("url")).alias("path"))
+    rule, verdict = url_filters.listed(F.col("host"), F.col("path"), URL_RULES)
+    return pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_chat_format reads back, without the length of its template's output."""
+    return op10_chat_format(spark, sf_dir).drop("formatted_chars")
+
+
+def packing_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents packed, sequences over 4096 ids, places that aren't where the one before ends, and documents whose pieces don't follow each other or that were cut too early."""
+    packed = materialize(op6_best_fit_packing(spark, sf_dir), "packed")
+    ends = F.sum("length")
+    sequences = packed.groupBy("sequence_id").agg(ends.alias("n"), F.max(F.col("offset") + F.col("length")).alias("last"), F.count_distinct("offset").alias("starts"), F.count("*").alias("pieces"))
+    sequences = sequences.agg(F.count_if(F.col("n") > 4096).alias("overfull"), F.count_if((F.col("last") != F.col("n")) | (F.col("starts") != F.col("pieces"))).alias("gaps"))
+    cut = (F.col("start") != 4096 * F.col("piece").cast("long")) | ((F.col("length") < 4096) & (F.col("piece") < F.col("last")))
+    last = packed.groupBy("doc_id").agg(F.max("piece").alias("last"))
+    documents = packed.join(last, "doc_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_if(cut).alias("cut_wrong"))
+    return documents.join(F.broadcast(sequences)).select("documents", "overfull", "gaps", "cut_wrong")  # one row each
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -124,11 +154,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_format": op10_chat_format,
+    "text_statistics": text_statistics,
+    "url_parts": url_parts,
+    "chat_digests": chat_digests,
+    "packing_holds": packing_holds,
 }
 
-#: The others are learned, or ids of a tokenizer, or a template's output: tests/llm compare those with brute force.
+#: The others are learned, or ids of a tokenizer, or a template's output: tests/llm compare those with brute force; what SQL can state of them has queries of its own.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op9_minhash_dedup": oracles.MINHASH_DEDUP,
+    "text_statistics": oracles.TEXT_STATISTICS,
+    "url_parts": oracles.url_parts(URL_RULES),
+    "chat_digests": oracles.CHAT_DIGESTS,
+    "packing_holds": oracles.PACKING_HOLDS,
 }
