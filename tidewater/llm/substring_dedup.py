@@ -10,9 +10,9 @@ to their documents, adjoining and overlapping windows merge into maximal
 intervals, and their words go.
 
 Entries travel packed: a row holds the entries of one chunk for one bucket of
-hashes, 12 bytes a window and about one byte for its place. Windows are equal if
-both hashes are, 96 bits in all: of 10**13 windows fewer than one in a thousand
-such corpora would lose one by chance. A bucket holds some 250,000 entries
+hashes, 11 bytes a window and about one byte for its place. Windows are equal if
+both hashes are, 88 bits in all: of 10**13 windows a sixth of one would be taken
+for another by chance. A bucket holds some 250,000 entries
 however large the corpus is.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as T
-from tidewater.llm.storage import drop_finished, materialize, shuffle_partitions
+from tidewater.llm.storage import materialize, shuffle_partitions
 
 #: Words of the documents that a map task settles among themselves at once.
 CHUNK_WORDS = 1_000_000
@@ -107,7 +107,7 @@ def _chunk(ids: np.ndarray, h: list[np.ndarray], g: list[np.ndarray], buckets: i
     for a, b in _spans(bucket):
         part = kept[a:b]
         own, counts, places = _packed(ids[doc[part]], start[part])
-        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), more[part].tobytes(), places
+        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), more[part].view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), places
 
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -133,7 +133,7 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             for part in T.small_batches(batch, text):
                 words = T.words(*T.raw(part.column(text)))
                 hashes = words.hashes()
-                rolled, second = T.rolled(hashes, window), T.rolled(T.mix(hashes + SECOND), window).astype(np.uint32)
+                rolled, second = T.rolled(hashes, window), (T.rolled(T.mix(hashes + SECOND), window) & np.uint64(0xFFFFFF)).astype(np.uint32)
                 for i, doc in enumerate(part.column(key).to_pylist()):
                     n = words.first[i + 1] - words.first[i] - window + 1
                     if n > 0:
@@ -157,7 +157,8 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             return pa.table({"at": table.column("at"), **dict(zip(("ids", "counts", "places"), (table.column(c) for c in ("ids", "counts", "places")), strict=True))})
         doc, start = (np.concatenate(x) for x in zip(*map(_unpacked, *parts), strict=True))
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-        more = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()])
+        three = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("more").to_pylist()]).reshape(-1, 3)
+        more = np.ascontiguousarray(np.pad(three, ((0, 0), (0, 1)))).view("<u4").ravel()
         by = np.argsort(keys)
         sorted_keys = keys[by]
         equal = sorted_keys[1:] == sorted_keys[:-1]
@@ -206,7 +207,6 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", win
         whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         buckets = max(shuffle_partitions(spark), -(-whole // (WORD_BYTES * BUCKET_ENTRIES)))
     gone = materialize(repeated_windows(docs, text=text, key=key, window=window, buckets=buckets), "intervals").select("doc", F.struct("start", "end").alias("cut"))
-    drop_finished(spark)  # the entries of windows, before texts are shuffled
     kind = dict(docs.dtypes)
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     fields = [docs.schema[c] for c in others]
