@@ -111,7 +111,7 @@ def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 4_000, rounds: int = 30, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text: str = "text", domain: str = "domain", total: float = 1.0, whole: str | None = None, most_labelled: int = 4_000, rounds: int = 40, tolerance: float = 1e-3, seed: int = 11, tokens: str = "n_tokens", posteriors: str = "posteriors", rate: str = "rate") -> DataFrame:
     """``docs`` with columns n_tokens, posteriors (array by domain name in order) and rate.
 
     ``targets`` weighs every domain of ``labelled`` (text, domain); missing ones get
@@ -125,11 +125,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
     documents then get rates over 1. Repeated rows get equal rates; an
     empty table gives no rows. Columns of the new names are replaced. At most
     ``most_labelled`` whole texts are learned from, in the shares that the table
-    has. The column of posteriors has the names of its domains in its metadata.
+    has. The column of posteriors has the names of its domains in its metadata,
+    and how far each one's total stays from its goal, as a share of all tokens.
 
-    A step that makes the miss larger is halved. Rates whose totals no longer move
-    are the nearest there are, even if targets cannot be met; a warning then tells
-    the miss. Rates that still move after ``rounds`` rounds are an error.
+    A step that makes the miss larger is halved, and at last replaced by one along
+    the plain gradient. Rates that get no nearer are final, even if targets cannot
+    be met; a warning then tells the miss.
     """
     texts, domains = sample(labelled, text=text, domain=domain, most=most_labelled, seed=seed)
     model = train(texts, domains) if texts else ([""], np.zeros((1, 1)), np.zeros(1))
@@ -140,33 +141,40 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, text
     p = F.col("p")
     have = list(own.agg(F.sum("n"), *[F.sum(F.col("n") * p[i]) for i in range(k)]).first())
     steps: list[np.ndarray] = []
+    miss = np.zeros(k)
     if have[0]:
         held = np.array(have[1:]) / have[0]
         weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
         goal = total * weight / weight.sum() if weight.any() else total * held
         if whole in names and goal[names.index(whole)]:
             goal *= max(1.0, 1.1 * held[names.index(whole)] / goal[names.index(whole)])
-        last, best = None, np.inf
+        best, before, bound, tries = np.inf, np.zeros(k), None, 0
         for _ in range(rounds):
             rated = own.select("n", "p", rate_of(p, steps).alias("r"))
             free = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
             sums = list(rated.agg(*[F.sum(F.col("n") * p[i] * F.col("r")) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)]).first())
             miss = np.array(sums[:k]) / have[0] - goal
+            gram = np.array(sums[k:]).reshape(k, k) / have[0]
+            bound = np.linalg.eigvalsh(gram)[-1] if bound is None else bound  # of all rows, which all begin at 1
+            size = np.linalg.norm(miss)
             if np.abs(miss).max() < tolerance:
                 break
-            moved = np.inf if last is None else np.abs(miss - last).max()
-            if np.abs(miss).max() > best * (1 + 1e-9) and np.abs(steps[-1]).max() > 1e-6:
-                steps[-1] = steps[-1] / 2
+            if size >= best:  # too far: half as far, and then along the plain gradient, which cannot be worse
+                tries += 1
+                if tries > 3:
+                    steps.pop()
+                    miss = before
+                    break
+                steps[-1] = steps[-1] / 2 if tries < 3 else before / bound
                 continue
-            if moved < tolerance / 20:
-                warnings.warn(f"targets missed by up to {np.abs(miss).max():.4f} of all tokens", stacklevel=2)
+            if best - size < 1e-3 * best:
                 break
-            last, best = miss, np.abs(miss).max()
+            best, before, tries = size, miss, 0
             # The gradient in the metric of the rows that can still move: exact where the projection holds no further row.
-            steps.append(np.linalg.solve(np.array(sums[k:]).reshape(k, k) / have[0] + 1e-6 * np.eye(k), miss))
-        else:
-            raise RuntimeError(f"rates did not settle in {rounds} rounds; the last miss was {np.abs(miss).max():.4f}")
-    scored = scored.withColumn(posteriors, F.col(posteriors).alias(posteriors, metadata={"domains": names}))
+            steps.append(np.linalg.solve(gram + 1e-6 * np.eye(k), miss))
+        if np.abs(miss).max() >= tolerance:
+            warnings.warn(f"targets missed by up to {np.abs(miss).max():.4f} of all tokens", stacklevel=2)
+    scored = scored.withColumn(posteriors, F.col(posteriors).alias(posteriors, metadata={"domains": names, "miss": list(map(float, miss))}))
     return scored.withColumn(rate, rate_of(F.col(posteriors), steps))
 
 
