@@ -96,8 +96,11 @@ def fill_gaps(df: DataFrame, columns: list[str], key: str, *order: str, look_ahe
     return filled.join(medians, key, "left").withColumns({c: F.coalesce(c, f"__m_{c}", F.lit(0.0)) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
 
-def bridge(sources: dict[str, tuple[DataFrame, int]], targets: DataFrame, vintage: str, *, ts: str = "ts", value: str = "value", target: str = "target", degree: float | None = 2.0) -> DataFrame:
-    """One row a target date with lag columns of every source (name -> (one series, lags)), cut off at the vintage date, gaps filled forward."""
+def bridge(sources: dict[str, tuple[DataFrame, int]], targets: DataFrame, vintage: str, *, ts: str = "ts", value: str = "value", target: str = "target", degree: float | None = 2.0, recency: bool = False) -> DataFrame:
+    """One row a target date with lag columns of every source (name -> (one series, lags)), cut off at the vintage date, gaps filled forward.
+
+    With ``recency`` also <name>_recency_days, the days since each source's last value.
+    """
     out = targets.select(F.col(target).cast("date").alias(target)).distinct()
     names: list[str] = []
     for name in sorted(sources):
@@ -105,6 +108,7 @@ def bridge(sources: dict[str, tuple[DataFrame, int]], targets: DataFrame, vintag
         cut = windows.keep_last(obs.where(F.col(ts) <= F.lit(vintage).cast("date")).select(F.lit(name).alias("series"), F.col(ts).cast("date").alias(ts), value), ["series", ts], value)
         made = lags(cut, targets, n, ts=ts, value=value, target=target, degree=degree)
         columns = [f"{name}_lag_{k}" for k in range(n)]
-        out = out.join(made.select(target, *[F.col("lags")[k].alias(c) for k, c in enumerate(columns)]), target, "left")
+        days = [F.col("recency_days").alias(f"{name}_recency_days")] if recency else []
+        out = out.join(made.select(target, *[F.col("lags")[k].alias(c) for k, c in enumerate(columns)], *days), target, "left")
         names += columns
     return fill_gaps(out.withColumn("__all", F.lit(1)), names, "__all", target).drop("__all")
