@@ -77,6 +77,7 @@ def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: in
     if train.where(F.col(y).isNull()).limit(1).count() or train.limit(1).count() == 0:
         raise ValueError("targets are empty or have gaps")
     columns, tail = [c for g in groups.values() for c in g], (1 - confidence) / 2
+    train = train.select(*columns, y).persist()  # a row a target date, read again for every tree
     quantiles = (round(tail, 6), 0.5, round(1 - tail, 6))
     forest = models.quantile_forest(train, columns, y, quantiles, rounds, trees, depth)
     head = models.factors(train, columns, min(n_factors, len(columns)), y)
@@ -84,4 +85,5 @@ def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: in
     known = out.components(train)
     out.weights = component_weights(known, y, COMPONENTS, given, optimise)
     out.scale = residual_scale(known, y, calibrate.blend(COMPONENTS, out.weights), least_scale)
+    train.unpersist()
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import calibrate, lags, mixed, model_registry
-from tidewater.plans.base import day, orders_by_priority, query, rounded, table
+from tidewater.plans.base import orders_by_priority, query, rounded, table
 
 
 def _models(spark, sf_dir):
@@ -83,11 +83,3 @@ def mixed_rows(spark, sf_dir):
     sources = {name: (daily.where(F.col("series") == series).select("ts", "value"), 3) for name, series in (("urgent", "1-URGENT"), ("low", "5-LOW"))}
     made = lags.bridge(sources, months.select("target"), "9999-12-31", degree=None, recency=True)
     return made.join(months, "target"), {name: [f"{name}_lag_{k}" for k in range(3)] for name in sorted(sources)}, [f"{name}_recency_days" for name in sorted(sources)]
-
-
-@query()
-def mixed_forecast(spark, sf_dir):
-    """Monthly totals by three models on the last days of two sources, blended, with intervals."""
-    rows, groups, recency = mixed_rows(spark, sf_dir)
-    fitted = mixed.fit(rows, groups, "y", optimise=True)
-    return rounded(fitted.predict(rows, recency), 2, "forecast", "low", "high").select(day("target").alias("month"), "y", "forecast", "low", "high")
