@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat_format, embedding_dedup, language_id, mixing, oracles, quality_classifier, quality_rules, url_filters
+from tidewater.llm import chat_format, embedding_dedup, exact_dedup, fill_in_middle, language_id, mixing, oracles, quality_classifier, quality_rules, source_divergence, url_filters
 from tidewater.llm.minhash_dedup import near_duplicates
 from tidewater.llm.packing import pack
 from tidewater.llm.storage import materialize
@@ -113,6 +113,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.union(extra)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each (lang, source): its distances from the language's other sources, and the 50 terms that it overuses most."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the largest id among equal texts, their number, and the text's digest."""
+    out = exact_dedup.owners(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, cut between lines and put in another order; digests of the output and of what is restored from it."""
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), units="lines", seed=7, rate=100, suffix_first=50)
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1_quality_rules states of each text before any rule is learned."""
     stats = quality_rules.statistics(table(spark, sf_dir, "documents"))
@@ -154,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "text_statistics": text_statistics,
     "url_parts": url_parts,
     "chat_digests": chat_digests,
@@ -165,6 +185,9 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op9_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op12_exact_dedup": oracles.EXACT_DEDUP,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
     "text_statistics": oracles.TEXT_STATISTICS,
     "url_parts": oracles.url_parts(URL_RULES),
     "chat_digests": oracles.CHAT_DIGESTS,
