@@ -129,26 +129,28 @@ def train(texts: list[str], labels: list[str], *, window: int = 256, widths: tup
     return model
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_documents: int = 500, seed: int = 7, **options) -> ByteCNN:
-    """Train on at most ``most_documents`` whole texts of each label: those that hash lowest.
-
-    Rows with a null or empty text or label teach nothing. The sample has a fixed
-    bound of documents, is drawn from all rows, and does not depend on their order: equal texts
-    count once, under the first of their labels in order. Without such rows the
-    model knows no language. The driver holds the sample's texts.
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_documents: int = 500, most_bytes: int = 1 << 26, seed: int = 7, **options) -> ByteCNN:
+    """Train on at most ``most_documents`` different whole texts of each label, of ``most_bytes`` together: those that hash lowest.
+
+    Rows with a null or empty text or label teach nothing. The sample has fixed
+    bounds, is drawn from all rows, and does not depend on their order or on how often a
+    text stands there: equal texts count once, under the first of their labels in
+    order. A label whose lowest text alone has more than ``most_bytes`` teaches by that text.
+    Without such rows the model knows no language. The driver holds the sample's texts.
     """
     from pyspark.sql import Window
 
+    h, size = F.xxhash64("text", F.lit(seed)).alias("h"), F.octet_length("text").alias("size")
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("length(text) > 0 and label is not null")
-    # A hash picks the candidates in parallel; the exact bound is applied to those.
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * most_documents / n))])[F.col("label")], F.lit(0.0)) if counts else F.lit(0.0)
-    few = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("h", "text").agg(F.min("label").alias("label"))
-    few = few.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("at") <= most_documents)
-    got = few.orderBy("label", "h").select("label", "text").collect()
+    # Different texts are told apart by hash, so that no text moves before it is chosen.
+    different = rows.select(h, size, "label").groupBy("h", "size").agg(F.min("label").alias("label"))
+    lowest = Window.partitionBy("label").orderBy("h", "size")
+    chosen = different.withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= most_documents)
+    chosen = chosen.withColumn("bytes", F.sum("size").over(lowest)).where((F.col("bytes") <= most_bytes) | (F.col("at") == 1)).select("h", "size", F.col("label").alias("own"))
+    got = rows.select("text", h, size).join(F.broadcast(chosen), ["h", "size"]).select("own", "h", "text").distinct().orderBy("own", "h", "text").collect()
     if not got:
         return ByteCNN(1, 1, [], *[np.zeros(0, np.float32)] * 5)
-    return train([r["text"] for r in got], [r["label"] for r in got], seed=seed, **options)
+    return train([r["text"] for r in got], [r["own"] for r in got], seed=seed, **options)
 
 
 def predict(docs: DataFrame, model: ByteCNN, *, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -213,8 +213,8 @@ def links(docs: DataFrame, reps: DataFrame, *, text: str, key: str, shingle: int
     return sets.groupBy("c", "s", "up", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def with_sets(docs: DataFrame, *, text: str = "text", shingle: int = 5, fold: bool = True) -> DataFrame:
-    """``docs`` with __n, __k1 and __k2: size and 128-bit hash of each row's set."""
+def with_sets(docs: DataFrame, into: tuple[str, str, str] = ("__n", "__k1", "__k2"), *, text: str = "text", shingle: int = 5, fold: bool = True) -> DataFrame:
+    """``docs`` with three columns of the names ``into``: size and 128-bit hash of each row's set."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +222,9 @@ def with_sets(docs: DataFrame, *, text: str = "text", shingle: int = 5, fold: bo
             for part in T.small_batches(batch, text):
                 sets = _sets(part, text, shingle, fold)
                 new = [pa.array([len(s) for s in sets], pa.int64()), pa.array(T.signed(_hashed(sets))), pa.array(T.signed(_hashed(sets, SECOND)))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), *new], [*names, "__n", "__k1", "__k2"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), *new], [*names, *into])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*docs.dtypes, ("__n", "long"), ("__k1", "long"), ("__k2", "long")]))
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*docs.dtypes, *((c, "long") for c in into)]))
 
 
 def near_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, k: int = 64, fold: bool = True, block: int = 256) -> DataFrame:

@@ -38,21 +38,24 @@ def posterior(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[
 
 
 def sample(labelled: DataFrame, *, text: str, domain: str, most: int, seed: int) -> tuple[list[str], list[str]]:
-    """At most ``most`` labelled texts, those that hash lowest, whatever their domain: shares stay as they are. Null domains are left out."""
+    """At most ``most`` different labelled texts, those that hash lowest, whatever their domain: shares among different texts stay as they are. Null domains are left out."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(domain).alias("domain")).where("domain is not null")
-    got = _lowest(rows.withColumn("h", F.xxhash64("text", F.lit(seed))), rows.count(), most, "h", "domain").select("domain", "text").collect()
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    chosen = _lowest(rows.select("h", "domain"), most, "h", "domain")  # no text moves before it is chosen
+    got = rows.join(F.broadcast(chosen), ["h", "domain"]).select("domain", "text").distinct().orderBy("domain", "text").collect()
     return [r["text"] for r in got], [r["domain"] for r in got]
 
 
-def _lowest(rows: DataFrame, n: int, most: int, h: str, tie: str) -> DataFrame:
-    """The ``most`` of n rows whose hash is lowest: a threshold thins all tasks alike, then the bound is applied."""
-    return rows.where(F.pmod(h, F.lit(1 << 20)) < min(1.0, 2.0 * most / max(n, 1)) * (1 << 20)).dropDuplicates([h, tie]).orderBy(F.pmod(h, F.lit(1 << 20)), h, tie).limit(most)
+def _lowest(rows: DataFrame, most: int, h: str, tie: str) -> DataFrame:
+    """The ``most`` different (h, tie) whose hash is lowest; every task keeps its own ``most`` first."""
+    return rows.select(h, tie).distinct().orderBy(F.pmod(h, F.lit(1 << 20)), h, tie).limit(most)
 
 
 def sample_keys(labels: DataFrame, *, key: str, domain: str, most: int, seed: int = 1) -> DataFrame:
     """Of narrow labels (key, domain; of several domains of a key the first in order) at most ``most``, those whose keys hash lowest: a bounded table, so texts can be joined to it without a shuffle."""
-    rows = labels.select(key, domain).where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(key).agg(F.min(domain).alias(domain))
-    return _lowest(rows.withColumn("__h", F.xxhash64(key, F.lit(seed))), rows.count(), most, "__h", key).select(key, domain)
+    rows = labels.select(F.col(key).alias("key"), F.col(domain).alias("domain")).where("key is not null and domain is not null").groupBy("key").agg(F.min("domain").alias("domain"))
+    h = F.xxhash64("key", F.lit(seed))
+    return rows.orderBy(F.pmod(h, F.lit(1 << 20)), h, "key").limit(most).select(F.col("key").alias(key), F.col("domain").alias(domain))
 
 
 def train(texts: list[str], domains: list[str], *, buckets: int = 1 << 14, epochs: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[list[str], np.ndarray, np.ndarray]:
