@@ -24,7 +24,11 @@ TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined, with ``lang`` as it came; null and letterless texts go."""
+    """Documents whose language is determined, with ``lang`` as it came; null and letterless texts go.
+
+    Each row is judged by its own text: rows with a null or a repeated doc_id too.
+    An empty table gives no rows.
+    """
     model = language_id.fit(docs)
     lang, score = free("__lang", docs), free("__score", docs)
     judged = language_id.predict(docs, model, prediction=lang, score=score)
@@ -39,6 +43,12 @@ def free(name: str, docs: DataFrame) -> str:
     return name
 
 
+def aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of the names ``taken`` under free ones, and these with what they were."""
+    names = {c: free(f"__own_{c}", docs) for c in taken if c in docs.columns}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame:
     return materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
 
@@ -55,12 +65,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows = docs.where("doc_id is null").unionByName(docs.join(judged.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(docs.columns))
     if repeated.isEmpty():  # as a rule: then no text is shuffled for it
         return rows
-    own = with_sets(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
-    sets = judged.select(F.col("doc").alias("doc_id"), F.col("n").alias("__n"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    own = own.join(sets, ["doc_id", "__n", "__k1", "__k2"], "left_semi")
-    wordless = F.when(F.col("__n") == 0, F.col("text")).alias("__text")
-    own = own.groupBy("doc_id", "__n", "__k1", "__k2", wordless).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("__row"))
-    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(own.select("__row.*").select(docs.columns))
+    names = n, k1, k2 = tuple(free(c, docs) for c in ("__n", "__k1", "__k2"))
+    own = with_sets(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), names)
+    sets = judged.select(F.col("doc").alias("doc_id"), F.col("n").alias(n), F.col("k1").alias(k1), F.col("k2").alias(k2))
+    own = own.join(sets, ["doc_id", *names], "left_semi")
+    wordless, row = free("__text", docs), free("__row", docs)
+    text = F.when(F.col(n) == 0, F.col("text")).alias(wordless)
+    own = own.groupBy("doc_id", *names, text).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias(row))
+    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(own.select(f"{row}.*").select(docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,14 +80,17 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Texts that share an id are documents of their own, by hash, after all others.
     """
+    columns = docs.columns
+    docs, back = aside(docs, "n_words", "n_removed", "kept_words")
     repeated = repeated_ids(docs)
     if repeated.isEmpty():
         out = deduplicate(docs, window=30)
     else:
-        own = F.when(F.col("__again"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)).otherwise(F.col("doc_id"))
-        keyed = docs.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left").withColumn("__key", own).drop("__again")
-        out = deduplicate(keyed, key="__key", window=30)
-    return out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+        again, key = free("__again", docs), free("__key", docs)
+        own = F.when(F.col(again), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)).otherwise(F.col("doc_id"))
+        keyed = docs.join(repeated.withColumn(again, F.lit(True)), "doc_id", "left").withColumn(key, own).drop(again)
+        out = deduplicate(keyed, key=key, window=30)
+    return out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns).withColumnsRenamed(back).select(columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,13 +100,19 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rates over 1 (``whole``), and only the others are thinned. A document without
     text or words weighs nothing in the sums and has the prior as posterior.
     """
+    columns = docs.columns
+    docs, back = aside(docs, "n_tokens", "posteriors", "rate")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mixed = mixing.mix(docs, queries.labelled_domains(docs, labels), TARGETS, whole="clean")
-    return mixing.thin(mixed, "doc_id", keep=mixing.posterior_of(mixed, "clean") >= 0.5).select(docs.columns)
+    return mixing.thin(mixed, "doc_id", keep=mixing.posterior_of(mixed, "clean") >= 0.5).select(docs.columns).withColumnsRenamed(back).select(columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 ids."""
+    """Pieces of all documents in sequences of at most 4096 ids.
+
+    Every row is packed, also one with a null or a repeated doc_id; a null text is
+    empty and is one piece with the end alone. An empty table gives no rows.
+    """
     return pack(docs, queries.tokenizer_path(), size=4096, end_id=1)
 
 
