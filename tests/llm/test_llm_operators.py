@@ -542,3 +542,19 @@ def test_other_tokenizers_are_refused():
 
     with pytest.raises(ValueError):
         packing.checked('{"normalizer": null, "pre_tokenizer": null, "model": {}}')
+
+
+def test_repeated_texts_leave_no_label_out(spark):
+    other = [f"the quick text number {i} of the language" for i in range(30)]
+    rows = [("one and the same text in english", "en")] * 60_000 + [(t, "en") for t in other] + [(f"der schnelle Text Nummer {i} der Sprache", "de") for i in range(200)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language_id.fit(labelled, most_documents=100, epochs=1, least_steps=20)
+    assert model.labels == ["de", "en"]
+    assert language_id.fit(labelled, most_documents=100, most_bytes=1, epochs=1, least_steps=5).labels == ["de", "en"]
+    few = spark.createDataFrame([("one clean text", "clean")] * 20_000 + [(f"junk {i}", "junk") for i in range(50)], "text string, domain string").repartition(4)
+    texts, domains = mixing.sample(few, text="text", domain="domain", most=4000, seed=1)
+    assert sorted(set(domains)) == ["clean", "junk"] and len(texts) == len(set(texts)) == 51
+    assert len(mixing.sample(few, text="text", domain="domain", most=7, seed=1)[0]) == 7
+    keys = spark.createDataFrame([(k % 40, "ab"[k % 3 == 0]) for k in range(4000)], "doc_id long, domain string")
+    assert mixing.sample_keys(keys, key="doc_id", domain="domain", most=25).count() == 25
+    assert mixing.sample_keys(keys, key="doc_id", domain="domain", most=100).count() == 40

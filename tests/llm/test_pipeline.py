@@ -76,3 +76,20 @@ def test_shares_after_mixing(spark):
     for k, name in enumerate(sorted(corpus_pipeline.TARGETS)):
         share = sum(r.n_tokens * r.posteriors[k] for r in kept) / total
         assert abs(share - corpus_pipeline.TARGETS[name]) < 0.02, (name, share)
+
+
+HELPERS = ["__n", "__k1", "__k2", "__again", "__key", "__text", "__row", "__lang", "__score", "__cut", "__doc", "n_words", "n_removed", "kept_words", "posteriors", "rate", "n_tokens"]
+
+
+def test_values_of_columns_named_like_helpers(spark):
+    passage, one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "pab")
+    rows = [(1, passage), (5, f"{passage} {one}"), (5, two), (None, passage), (6, ""), (6, "")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in HELPERS)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *range(len(HELPERS))) for i, t in rows], kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, DATA), name)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got or name == "language_id", name
+        assert all([r[c] for c in HELPERS] == list(range(len(HELPERS))) for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).where("start = 0").count() == len(rows)
