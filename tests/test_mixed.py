@@ -40,7 +40,7 @@ def test_half_width(spark):
 def test_mixed_forecast(spark):
     rows, groups, recency = mixed_rows(spark, DATA)
     rows = rows.cache()
-    fitted = mixed.fit(rows, groups, "y", optimise=True, rounds=2, trees=3, depth=2)
+    fitted = mixed.fit(rows, groups, "y", optimise=True, trees=3, depth=2)
     assert sum(fitted.weights.values()) == pytest.approx(1) and min(fitted.weights.values()) >= 0
     out = fitted.predict(rows, recency).cache()
     row = out.agg(F.count("*").alias("n"), F.count("forecast").alias("there"), F.min(F.col("high") - F.col("low")).alias("least"), F.stddev_pop(F.col("y") - F.col("forecast")).alias("off"), F.stddev_pop("y").alias("own")).first()

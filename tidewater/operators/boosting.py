@@ -26,8 +26,8 @@ from tidewater.folders import fresh, materialize
 
 #: Residuals of a leaf that are sent as they are, and parts into which the range of more is cut at a time.
 SENT, PARTS = 1024, 256
-#: Rows of a block.
-BLOCK_ROWS = 50_000
+#: Rows of a block, and of a task: there are hundreds of short jobs, so small tables get few tasks.
+BLOCK_ROWS, TASK_ROWS = 50_000, 25_000
 
 
 @dataclass
@@ -311,13 +311,15 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
         y = np.frombuffer(r["y"], float)
         return np.frombuffer(r["codes"], np.uint8).reshape(len(y), k), y, np.zeros((len(quantiles), len(y)))
 
-    state = binned.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = [Tree() for _ in quantiles]
-    if not state.map(lambda b: len(b[1])).sum():
+    total = (binned.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
+    if not total:
         raise ValueError("no rows to fit")
+    blocks = binned.rdd
+    state = blocks.coalesce(min(blocks.getNumPartitions(), -(-total // TASK_ROWS))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = [Tree() for _ in quantiles]
     begin = np.array([own[0] for own in _leaf_quantiles(state, whole, quantiles, sent, parts)])
     model = Booster(columns, edges, quantiles, begin, rate)
-    state = _moved(state, [Tree(value=[float(v)]) for v in begin], 1.0)
+    state, last = _moved(state, [Tree(value=[float(v)]) for v in begin], 1.0), state
     for number in range(trees):
         grown = [Tree() for _ in quantiles]
         open_nodes = [[0] for _ in quantiles]
@@ -325,6 +327,7 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
             if not any(open_nodes):
                 break
             counts = state.mapPartitions(_level(grown, open_nodes, quantiles, width)).treeReduce(np.add)
+            last.unpersist()  # this level has read the forecasts that were made of it
             for q, best in enumerate(_splits(counts, quantiles, least_leaf)):
                 after = []
                 room = leaves - len(grown[q].leaves())
@@ -345,9 +348,8 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
                 moved.saveAsPickleFile(path)
                 moved.unpersist()
                 moved = spark.sparkContext.pickleFile(path).persist(StorageLevel.MEMORY_AND_DISK)
-            moved.count()
-            state.unpersist()
-            state = moved
+            state, last = moved, state
+    last.unpersist()
     state.unpersist()
     return model
 

@@ -1,6 +1,6 @@
 """Mixed-frequency forecasts: lag columns of several sources, three models, their weighted mean, and intervals that widen with stale sources.
 
-The models are factors with a ridge head, weighted lags and boosted quantiles. They
+The models are factors with a ridge head, lags under softmax weights and boosted quantiles. They
 are fitted by jobs of Spark; what is kept of them has the size of a model.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators import calibrate, models
+from tidewater.operators import boosting, calibrate, lag_fit, models
 
 #: Days beyond which a source does not count as staler. Fixed value.
 STALEST = 31.0
@@ -51,7 +51,7 @@ class Mixed:
     columns: list[str]
     factors: models.Factors
     midas: models.Linear
-    forest: tuple
+    trees: boosting.Booster
     low: str
     high: str
     weights: dict[str, float] = field(default_factory=dict)
@@ -60,7 +60,7 @@ class Mixed:
 
     def components(self, df: DataFrame) -> DataFrame:
         """``df`` with dfm, midas, xgboost and the ends of the quantile range."""
-        made = self.factors.transform(models.predict_quantiles(df, self.forest))
+        made = self.factors.transform(self.trees.predict(df))
         return made.select(*df.columns, self.factors.head.predict().alias("dfm"), self.midas.predict().alias("midas"), F.col("q_50").alias("xgboost"), F.col(self.low).alias("__low"), F.col(self.high).alias("__high"))
 
     def predict(self, df: DataFrame, recency: list[str] | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ class Mixed:
         return out.withColumn("low", F.col("forecast") - F.col("__half")).withColumn("high", F.col("forecast") + F.col("__half")).drop("__low", "__high", "__half")
 
 
-def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: int = 2, confidence: float = 0.9, given: dict[str, float] | None = None, optimise: bool = False, least_width: float = 1.0, least_scale: float = 1.0, rounds: int = 3, trees: int = 100, depth: int = 5) -> Mixed:
+def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: int = 2, confidence: float = 0.9, given: dict[str, float] | None = None, optimise: bool = False, least_width: float = 1.0, least_scale: float = 1.0, trees: int = 100, depth: int = 5) -> Mixed:
     """The three models on bridged lag columns (source -> its columns, not weighted before), their weights and the residual scale."""
     if not 0 < confidence < 1 or least_width <= 0 or least_scale <= 0:
         raise ValueError("confidence is between 0 and 1, least_width and least_scale are positive")
@@ -79,9 +79,9 @@ def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: in
     columns, tail = [c for g in groups.values() for c in g], (1 - confidence) / 2
     train = train.select(*columns, y).persist()  # a row a target date, read again for every tree
     quantiles = (round(tail, 6), 0.5, round(1 - tail, 6))
-    forest = models.quantile_forest(train, columns, y, quantiles, rounds, trees, depth)
+    grown = boosting.fit(train, columns, y, quantiles, trees=trees, depth=depth)
     head = models.factors(train, columns, min(n_factors, len(columns)), y)
-    out = Mixed(columns, head, models.midas(train, groups, y), forest, f"q_{round(quantiles[0] * 100)}", f"q_{round(quantiles[2] * 100)}", least_width=least_width)
+    out = Mixed(columns, head, lag_fit.nonlinear_midas(train, groups, y), grown, f"q_{round(quantiles[0] * 100, 6):g}", f"q_{round(quantiles[2] * 100, 6):g}", least_width=least_width)
     known = out.components(train)
     out.weights = component_weights(known, y, COMPONENTS, given, optimise)
     out.scale = residual_scale(known, y, calibrate.blend(COMPONENTS, out.weights), least_scale)

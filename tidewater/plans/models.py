@@ -213,14 +213,6 @@ def filtered_levels(spark, sf_dir):
     return models.filtered_levels(daily_events(spark, sf_dir)).withColumn("ts", day("ts"))
 
 
-@query()
-def quantile_forecast(spark, sf_dir):
-    """Boosted trees for seven quantiles, kept in order: mean by series."""
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series"), F.month("o_orderdate").cast("double").alias("m"), (F.col("o_custkey") % 7).cast("double").alias("c"), F.col("o_totalprice").alias("y"))
-    out = models.predict_quantiles(own, models.quantile_forest(own, ["m", "c"], "y"))
-    return out.groupBy("series").agg(*[F.avg(c).alias(c) for c in ("q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95")])
-
-
 @query()
 def ensemble_weights(spark, sf_dir):
     """Weights on the simplex for three forecasts."""
