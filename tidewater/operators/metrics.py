@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import order
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -53,8 +55,21 @@ def log_loss(y, p) -> Column:
     return -F.avg(_c(y) * F.log(q) + (1 - _c(y)) * F.log(1 - q))
 
 
-def sharpness(p) -> Column:
-    return F.stddev_pop(_c(p))
+def interval_sharpness(df: DataFrame, low: str, high: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n, mean_width, median_width, std_width, min_width, max_width, cv_width) of intervals.
+
+    The median is exact, the spread that of all rows (n), the variation spread over
+    mean. Rows without an end are left out; an interval that ends before it begins
+    is an error.
+    """
+    by = by or []
+    width = F.when(F.col(high) >= F.col(low), F.col(high) - F.col(low)).otherwise(F.raise_error(F.lit("an interval ends before it begins")).cast("double"))
+    rows = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(*by, width.cast("double").alias("__w"))
+    w = F.col("__w")
+    sums = rows.groupBy(*by).agg(F.avg(w).alias("mean_width"), F.stddev_pop(w).alias("std_width"), F.min(w).alias("min_width"), F.max(w).alias("max_width"))
+    middle = order.quantiles(rows, "__w", 0.5, by, "median_width")
+    both = sums.join(middle.withColumnsRenamed({c: f"__{c}" for c in by}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) if by else sums.join(F.broadcast(middle))  # one row each
+    return both.select(*by, "n", "mean_width", "median_width", "std_width", "min_width", "max_width", (F.col("std_width") / (F.col("mean_width") + 1e-10)).alias("cv_width"))
 
 
 def erf(x: Column) -> Column:

@@ -31,13 +31,6 @@ def bin_label(value: Column, bins: list[Bin]) -> Column:
     return out
 
 
-def normalised(probabilities: Column) -> Column:
-    """A map of labels to probabilities that sum to 1; negative ones count 0, a sum of 0 gives equal shares."""
-    values = F.transform(F.map_values(probabilities), lambda v: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return F.map_from_arrays(F.map_keys(probabilities), F.transform(values, lambda v: F.when(total == 0, 1 / F.size(values)).otherwise(v / total)))
-
-
 def problems(probabilities: Column, bins: list[Bin], tolerance: float = 1e-6) -> Column:
     """Names of what is wrong: labels missing or unknown, values out of [0, 1], a sum off 1."""
     labels = F.array(*[F.lit(b.label) for b in bins])
@@ -47,9 +40,28 @@ def problems(probabilities: Column, bins: list[Bin], tolerance: float = 1e-6) ->
     return F.array_compact(F.array(*found))
 
 
-def log_score(probabilities: Column, outcome: Column) -> Column:
-    """Log of the probability given to the outcome, floored at 1e-12."""
-    return F.log(F.greatest(F.coalesce(F.try_element_at(probabilities, outcome), F.lit(0.0)), F.lit(1e-12)))
+def normalised(probabilities: Column, bins: list[Bin]) -> Column:
+    """A map of labels to probabilities divided by their sum.
+
+    A label that is missing or unknown, a value that is missing or negative, and a sum
+    that is not positive and finite are errors when their row is computed: nothing is
+    repaired. A null map stays null.
+    """
+    total = F.aggregate(F.map_values(probabilities), F.lit(0.0), lambda a, v: a + v)
+    wrong = F.array_intersect(problems(probabilities, bins), F.array(F.lit("missing"), F.lit("unknown")))
+    negative = F.exists(F.map_values(probabilities), lambda v: v.isNull() | F.isnan(v) | (v < 0))
+    bad = (F.size(wrong) > 0) | negative | ~((total > 0) & (total < float("inf")))
+    message = F.concat(F.lit("not a probability vector to normalise: "), F.to_json(probabilities))
+    values = F.transform_values(probabilities, lambda _, v: (v / total).cast("double"))
+    return F.when(probabilities.isNotNull() & F.coalesce(bad, F.lit(True)), F.raise_error(message).cast("map<string,double>")).otherwise(values)
+
+
+def log_score(probabilities: Column, outcome: Column, bins: list[Bin], tolerance: float = 1e-6) -> Column:
+    """Log of the probability given to the outcome, floored at 1e-12; a vector with problems, or an outcome that is no label, is an error when its row is computed."""
+    known = F.coalesce(outcome.isin(*[b.label for b in bins]), F.lit(False))
+    valid = known & probabilities.isNotNull() & (F.size(problems(probabilities, bins, tolerance)) == 0)
+    score = F.log(F.greatest(F.try_element_at(probabilities, outcome), F.lit(1e-12)))
+    return F.when(valid, score).otherwise(F.raise_error(F.concat(F.lit("cannot be scored: "), F.coalesce(F.to_json(probabilities), F.lit("null")))).cast("double"))
 
 
 def from_sample(df: DataFrame, by: str, value: str, bins: list[Bin]) -> DataFrame:

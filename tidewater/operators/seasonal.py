@@ -135,19 +135,33 @@ def chi2_upper(x: Column, df: Column) -> Column:
     return F.when(df % 2 == 0, even).otherwise(odd)
 
 
-def month_regressors(months: DataFrame, events: DataFrame, *, month: str = "month", at: str = "date", kind: str = "impulse", end: str | None = None) -> DataFrame:
-    """``months`` with ``effect``: impulse (1 in an event's month), step (1 from the first event on), or ramp (0 to 1 over rows from ``at`` to ``end``)."""
+def month_regressors(months: DataFrame, events: DataFrame, *, month: str = "month", at: str = "date", kind: str = "impulse", end: str | None = None, duration: int = 1, before: float = 0.0, after: float = 1.0) -> DataFrame:
+    """``months`` with ``effect``, of dated events.
+
+    impulse: 1 in an event's month and the ``duration`` - 1 months after it, else 0.
+    step: ``before`` in months that begin before the first event's date, then
+    ``after``. ramp: ``before`` up to the first event's date, ``after`` past the last
+    event's ``end`` (or date); the different months that begin between the two go
+    from one to the other in equal steps, a single one has ``after``. Events without
+    a date count nowhere; without any event all months have 0, or ``before``.
+    """
+    if kind not in ("impulse", "step", "ramp"):
+        raise ValueError(kind)
+    events = events.where(F.col(at).isNotNull())
     if kind == "impulse":
-        hit = events.select(F.trunc(at, "MM").alias(month)).distinct().withColumn("effect", F.lit(1.0))
-        return months.join(hit, month, "left").na.fill(0.0, ["effect"])
-    bounds = events.agg(F.min(F.trunc(at, "MM")).alias("__a"), F.max(F.trunc(end or at, "MM")).alias("__b"))
+        own = F.explode(F.transform(F.sequence(F.lit(0), F.lit(duration - 1)), lambda k: F.add_months(F.trunc(at, "MM"), k)))
+        hit = events.select(own.alias("__m")).distinct().withColumn("effect", F.lit(1.0))
+        return months.join(hit, F.trunc(month, "MM") == F.col("__m"), "left").drop("__m").na.fill(0.0, ["effect"])
+    bounds = events.agg(F.min(F.col(at).cast("date")).alias("__a"), F.max(F.coalesce(F.col(end or at), F.col(at)).cast("date")).alias("__b"))
     joined = months.join(F.broadcast(bounds))  # one row
-    m = F.col(month)
+    m = F.col(month).cast("date")
     if kind == "step":
-        return joined.withColumn("effect", (m >= F.col("__a")).cast("double")).drop("__a", "__b")
-    length = F.months_between("__b", "__a")
-    ramp = F.when(m < F.col("__a"), 0.0).when(m >= F.col("__b"), 1.0).otherwise(F.months_between(m, F.col("__a")) / F.greatest(length, F.lit(1.0)))
-    return joined.withColumn("effect", ramp).drop("__a", "__b")
+        return joined.withColumn("effect", F.when(m >= F.col("__a"), after).otherwise(before)).drop("__a", "__b")
+    inside = months.join(F.broadcast(bounds)).where(m.between(F.col("__a"), F.col("__b"))).select(F.col(month).alias("__m")).distinct()
+    steps = inside.select("__m", (F.row_number().over(Window.orderBy("__m")) - 1).alias("__i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("__n"))  # a calendar of months
+    share = F.when(F.col("__n") > 1, F.col("__i") / (F.col("__n") - 1)).otherwise(1.0)
+    effect = F.when(F.col("__m").isNotNull(), before + (after - before) * share).when(m > F.col("__b"), after).otherwise(before)
+    return joined.join(steps, F.col(month) == F.col("__m"), "left").withColumn("effect", effect).drop("__a", "__b", "__m", "__i", "__n")
 
 
 def strike_impact(events: DataFrame, *, least_workers: int = 10_000, least_days: int = 7, most: float = 10.0) -> DataFrame:

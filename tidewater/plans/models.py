@@ -94,17 +94,6 @@ def hierarchy_coherence(spark, sf_dir):
     return out
 
 
-@query()
-def reconciled(spark, sf_dir):
-    """Forecasts that don't add up, reconciled by minimum trace; the largest gap that is left."""
-    h, parts = _hierarchy(spark, sf_dir), [f"r{k}" for k in range(5)]
-    at = F.month("month")
-    errors = h.select(*[(F.col(c) * (F.lit(0.01) * (k + 1)) * F.sin(at * (k + 2))).alias(c) for k, c in enumerate(["total", *parts])])
-    base = h.select("month", *[(F.col(c) * (1 + 0.02 * k)).alias(c) for k, c in enumerate(["total", *parts])])
-    out = reconcile.reconcile(base, errors, "total", parts)
-    return out.withColumn("gap", F.abs(reconcile.incoherence(out, "total", parts))).withColumn("month", day("month"))
-
-
 _NODES = ["total", *(f"r{k}" for k in range(5))]
 _BASE = """h AS (SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total, """ + ", ".join(f"coalesce(sum(o_totalprice) FILTER (n_regionkey = {k}), 0) AS r{k}" for k in range(5)) + """ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
     f AS (SELECT month, """ + ", ".join(f"{c} * {1 + 0.02 * k!r} AS {c}" for k, c in enumerate(_NODES)) + """ FROM h),
@@ -119,6 +108,37 @@ def _reconciled(spark, sf_dir, method):
     return rounded(reconcile.reconcile(base, errors, "total", parts, method), 1, *_NODES).withColumn("month", day("month"))
 
 
+#: The covariance of errors shrunk to their mean variance, and what a coherent projection needs of it: its product with the gap's coefficients.
+_SHRUNK = f"""{_BASE}, x AS (SELECT """ + ", ".join(f"e{k} - avg(e{k}) OVER () AS x{k}" for k in range(6)) + " FROM (SELECT " + ", ".join(f"{c} * {0.01 * (k + 1)!r} * sin(month(month) * {k + 2}) AS e{k}" for k, c in enumerate(_NODES)) + """ FROM h)),
+    m AS (SELECT count(*) AS n, avg(pow(""" + " + ".join(f"x{k} * x{k}" for k in range(6)) + ", 2)) AS fourth, " + ", ".join(f"avg(x{i} * x{j}) AS s{i}{j}" for i in range(6) for j in range(i, 6)) + """ FROM x),
+    d AS (SELECT *, (""" + " + ".join(f"s{k}{k}" for k in range(6)) + ") / 6 AS mu, " + " + ".join(f"{1 if i == j else 2} * s{i}{j} * s{i}{j}" for i in range(6) for j in range(i, 6)) + """ AS squares FROM m),
+    w AS (SELECT *, least(greatest((fourth - squares) / n, 0), squares - 6 * mu * mu) / (squares - 6 * mu * mu) AS weight FROM d),
+    c AS (SELECT """ + ", ".join(f"(1 - weight) * s{i}{j}" + (" + weight * mu" if i == j else "") + f" AS c{i}{j}" for i in range(6) for j in range(i, 6)) + ", weight FROM w)"
+
+
+def _pull(i: int) -> str:
+    """Row i of the shrunk covariance times (1, -1, ..., -1)."""
+    return "(" + f"c0{i}" + "".join(f" - c{min(i, j)}{max(i, j)}" for j in range(1, 6)) + ")"
+
+
+_SPREAD = "(" + _pull(0) + "".join(f" - {_pull(j)}" for j in range(1, 6)) + ")"
+
+
+@query(f"""WITH {_SHRUNK} SELECT strftime(month, '%Y-%m-%d') AS month, """ + ", ".join(f"round({c} - gap * {_pull(k)} / {_SPREAD}, 1) AS {c}" for k, c in enumerate(_NODES)) + " FROM g, c")
+def reconciled(spark, sf_dir):
+    """Forecasts that don't add up, made coherent by the shrunk covariance of their errors."""
+    return _reconciled(spark, sf_dir, "mint_shrink")
+
+
+@query(f"""WITH {_SHRUNK} """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(c{min(i, j)}{max(i, j)}, 2) AS value, round(weight, 8) AS weight FROM c" for i, a in enumerate(_NODES) for j, b in enumerate(_NODES)))
+def shrunk_covariance(spark, sf_dir):
+    """The covariance of forecast errors shrunk to their mean variance, and the weight of that."""
+    h, at = _hierarchy(spark, sf_dir), F.month("month")
+    errors = h.select(*[(F.col(c) * (F.lit(0.01) * (k + 1)) * F.sin(at * (k + 2))).alias(c) for k, c in enumerate(_NODES)])
+    w, weight = reconcile.shrunk(errors, _NODES)
+    return spark.createDataFrame([(a, b, round(float(w[i, j]), 2), round(weight, 8)) for i, a in enumerate(_NODES) for j, b in enumerate(_NODES)], "a string, b string, value double, weight double")
+
+
 @query(f"""WITH {_BASE} SELECT strftime(month, '%Y-%m-%d') AS month, """ + ", ".join(f"round({c} {'-' if k == 0 else '+'} gap / 6, 1) AS {c}" for k, c in enumerate(_NODES)) + " FROM g")
 def reconciled_ols(spark, sf_dir):
     """Forecasts made coherent with all errors alike."""
@@ -276,7 +296,7 @@ def probability_vectors(spark, sf_dir):
     """Shares of value bins by priority, checked, and their log score for one outcome."""
     out = payload.from_sample(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", _LEVELS)
     p = F.col("probabilities")
-    return out.select(F.col("o_orderpriority").alias("series"), *[F.round(p[b.label], 8).alias(b.label) for b in _LEVELS], F.size(payload.problems(p, _LEVELS)).alias("problems"), F.round(payload.log_score(payload.normalised(p), F.lit("mid")), 6).alias("log_score"))
+    return out.select(F.col("o_orderpriority").alias("series"), *[F.round(p[b.label], 8).alias(b.label) for b in _LEVELS], F.size(payload.problems(p, _LEVELS)).alias("problems"), F.round(payload.log_score(payload.normalised(p, _LEVELS), F.lit("mid"), _LEVELS), 6).alias("log_score"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 1000 WHEN o_orderkey % 4 = 1 THEN o_totalprice WHEN o_orderkey % 4 = 2 THEN o_totalprice * 1000 ELSE 0 END AS damage, CASE WHEN o_custkey <= 0 THEN NULL WHEN o_custkey <= 100 THEN 'small' WHEN o_custkey <= 1000 THEN 'medium' WHEN o_custkey <= 10000 THEN 'large' ELSE 'major' END AS size FROM orders""")

@@ -203,7 +203,7 @@ def damage_classes(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT date_trunc('month', o_orderdate)::DATE AS month FROM orders GROUP BY 1)
-    SELECT strftime(month, '%Y-%m-%d') AS month, (month IN (DATE '1996-03-01', DATE '1997-07-01'))::INT::DOUBLE AS impulse, (month >= DATE '1996-03-01')::INT::DOUBLE AS step, round(greatest(0, least(1, date_diff('month', DATE '1996-03-01', month) / 16.0)), 8)::DOUBLE AS ramp FROM e""")
+    SELECT strftime(month, '%Y-%m-%d') AS month, (month IN (DATE '1996-03-01', DATE '1997-07-01'))::INT::DOUBLE AS impulse, (month >= DATE '1996-03-12')::INT::DOUBLE AS step, round(CASE WHEN month < DATE '1996-03-12' THEN 0 WHEN month > DATE '1997-07-04' THEN 1 ELSE (count(*) FILTER (month >= DATE '1996-03-12') OVER (ORDER BY month) - 1) / ((SELECT count(*) FROM e WHERE month BETWEEN DATE '1996-03-12' AND DATE '1997-07-04') - 1) END, 8)::DOUBLE AS ramp FROM e""")
 def event_regressors(spark, sf_dir):
     """Impulse, step and ramp effects of two dated events."""
     months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "MM").alias("month")).distinct()

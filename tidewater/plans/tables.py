@@ -216,11 +216,21 @@ def calibration_error(spark, sf_dir):
     return rounded(metrics.calibration_error(_probable(spark, sf_dir), "y", "p"), 8, "ece", "mce")
 
 
-@query(f"""WITH {_PROBABLE} SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 8) AS log_loss, round(stddev_pop(p), 8) AS sharpness FROM p""")
+@query(f"""WITH {_PROBABLE} SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 8) AS log_loss FROM p""")
 def probability_scores(spark, sf_dir):
-    """Brier score, log loss, sharpness."""
-    out = _probable(spark, sf_dir).agg(metrics.brier("y", "p").alias("brier"), metrics.log_loss("y", "p").alias("log_loss"), metrics.sharpness("p").alias("sharpness"))
-    return rounded(out, 8, "brier", "log_loss", "sharpness")
+    """Brier score and log loss."""
+    out = _probable(spark, sf_dir).agg(metrics.brier("y", "p").alias("brier"), metrics.log_loss("y", "p").alias("log_loss"))
+    return rounded(out, 8, "brier", "log_loss")
+
+
+@query("""WITH w AS (SELECT l_returnflag, 0.2 * l_extendedprice + 100 * l_linenumber AS w FROM lineitem)
+    SELECT l_returnflag, count(*) AS n, round(avg(w), 4) AS mean_width, round(quantile_cont(w, 0.5), 4) AS median_width, round(stddev_pop(w), 4) AS std_width, round(min(w), 4) AS min_width, round(max(w), 4) AS max_width, round(stddev_pop(w) / (avg(w) + 1e-10), 6) AS cv_width FROM w GROUP BY 1""")
+def sharpness_of_intervals(spark, sf_dir):
+    """Widths of intervals by flag: mean, exact median, spread, ends and variation."""
+    own = table(spark, sf_dir, "lineitem").select("l_returnflag", (0.9 * F.col("l_extendedprice")).alias("low"), (1.1 * F.col("l_extendedprice") + 100 * F.col("l_linenumber")).alias("high"))
+    out = metrics.interval_sharpness(own, "low", "high", ["l_returnflag"])
+    return rounded(rounded(out, 4, "mean_width", "median_width", "std_width", "min_width", "max_width"), 6, "cv_width")
+
 
 
 _NAIVE = f"""{MONTHLY}, nv AS (SELECT series, month, value AS y, lag(value, 12) OVER (PARTITION BY series ORDER BY month) AS f FROM monthly), z AS (SELECT * FROM nv WHERE f IS NOT NULL)"""
