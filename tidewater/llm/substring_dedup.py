@@ -10,9 +10,9 @@ to their documents, adjoining and overlapping windows merge into maximal
 intervals, and their words go.
 
 Entries travel packed: a row holds the entries of one chunk for one bucket of
-hashes, 11 bytes a window and about one byte for its place. Windows are equal if
-both hashes are, 88 bits in all: of 10**13 windows a sixth of one would be taken
-for another by chance. A bucket holds some 250,000 entries
+hashes, 12 bytes a window and one or two for its place. Windows are equal if
+both hashes are, 96 bits in all: among 10**13 windows the chance that any is taken
+for another is below 0.001. A bucket holds some 250,000 entries
 however large the corpus is.
 """
 
@@ -38,27 +38,27 @@ WORD_BYTES = 6
 SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes: the high bytes, mostly 0, stand together and compress to nothing."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(x: np.ndarray, size: int = 4) -> bytes:
+    """Numbers of ``size`` bytes by byte planes: the high bytes, mostly 0, stand together and compress to nothing."""
+    return x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+def _unplanes(b: bytes, size: int = 4) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(size, -1).T.copy().view(f"<u{size}").ravel().astype(np.int64)
 
 
 def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Places sorted by document, then start: ids, places of each, and each place as its distance to the one before."""
+    """Places sorted by document, then start: each id as its distance to the one before, places of each, and each place likewise."""
     runs = _runs(doc)
     places = np.diff(start, prepend=0)
     places[runs] = start[runs]
-    return doc[runs].tobytes(), _planes(np.diff(np.r_[runs, len(doc)])), _planes(places)
+    return _planes(np.diff(doc[runs], prepend=0), 8), _planes(np.diff(np.r_[runs, len(doc)])), _planes(places)
 
 
 def _unpacked(ids: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     counts, places = _unplanes(counts), _unplanes(places)
     total, begin = np.cumsum(places), np.cumsum(counts) - counts
-    return np.repeat(np.frombuffer(ids, np.int64), counts), total - np.repeat(total[begin] - places[begin], counts)
+    return np.repeat(np.cumsum(_unplanes(ids, 8)), counts), total - np.repeat(total[begin] - places[begin], counts)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def _chunk(ids: np.ndarray, h: list[np.ndarray], g: list[np.ndarray], buckets: i
     for a, b in _spans(bucket):
         part = kept[a:b]
         own, counts, places = _packed(ids[doc[part]], start[part])
-        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), more[part].view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), places
+        yield 0, int(bucket[a]), own, counts, keys[part].tobytes(), more[part].tobytes(), places
 
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -133,7 +133,7 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             for part in T.small_batches(batch, text):
                 words = T.words(*T.raw(part.column(text)))
                 hashes = words.hashes()
-                rolled, second = T.rolled(hashes, window), (T.rolled(T.mix(hashes + SECOND), window) & np.uint64(0xFFFFFF)).astype(np.uint32)
+                rolled, second = T.rolled(hashes, window), (T.rolled(T.mix(hashes + SECOND), window) >> np.uint64(32)).astype(np.uint32)
                 for i, doc in enumerate(part.column(key).to_pylist()):
                     n = words.first[i + 1] - words.first[i] - window + 1
                     if n > 0:
@@ -157,8 +157,7 @@ def repeated_windows(docs: DataFrame, *, text: str, key: str, window: int, bucke
             return pa.table({"at": table.column("at"), **dict(zip(("ids", "counts", "places"), (table.column(c) for c in ("ids", "counts", "places")), strict=True))})
         doc, start = (np.concatenate(x) for x in zip(*map(_unpacked, *parts), strict=True))
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-        three = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("more").to_pylist()]).reshape(-1, 3)
-        more = np.ascontiguousarray(np.pad(three, ((0, 0), (0, 1)))).view("<u4").ravel()
+        more = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()])
         by = np.argsort(keys)
         sorted_keys = keys[by]
         equal = sorted_keys[1:] == sorted_keys[:-1]
