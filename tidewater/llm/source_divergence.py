@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tidewater.llm import text as T
 from tidewater.llm.storage import materialize
 
-#: Bytes of text whose terms are counted at once, and sources times terms of a block of distances.
-CHUNK_BYTES, BLOCK_CELLS = 16 << 20, 1 << 20
+#: Bytes of text whose terms are counted at once, and sources times terms of a block of distances. A block has at least as many
+#: terms as sources, so that the pairs it puts out are no more than what it reads.
+CHUNK_BYTES, BLOCK_CELLS = 16 << 20, 1 << 14
 #: Kept terms up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 500_000
 SCALE, SMOOTHING = 1_000_000_000, 5
@@ -138,7 +139,7 @@ def share(count: str) -> Column:
 def distances(shares: DataFrame, groups: DataFrame, cells: int) -> DataFrame:
     """(language, a, b, value): the summed absolute difference of shares of two groups, each pair once, also where no term is kept."""
     size = groups.groupBy("language").agg(F.count("*").alias("sources"), F.max("kept").alias("terms"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sources") * F.col("terms") / cells)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sources") * F.col("terms") / F.greatest(F.lit(cells), F.col("sources") * F.col("sources")))).cast("int")
     size = materialize(size.select("language", blocks.alias("blocks")), "language-blocks")
     heads = groups.join(size, "language").select("language", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("digest"), F.coalesce(share("0"), F.lit(0)).alias("p"))
     cells_of = shares.join(size, "language").select("language", "grp", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "digest", "p")
