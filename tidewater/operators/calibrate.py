@@ -3,26 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import isotonic as rising_fit
+from tidewater.operators import order
+
 
 def conformal_width(df: DataFrame, y: str, f: str, level: float = 0.9, by: list[str] | None = None) -> DataFrame:
-    """(by, width): the exact quantile of |y - f| at min(1, level + 1 / (n + 1))."""
+    """(by, width): the exact quantile of |y - f| at min(1, level + 1 / (n + 1)), found by range: no task holds a series."""
     by = by or []
     rows = df.select(*by, F.abs(F.col(y) - F.col(f)).alias("r")).where("r is not null")
-    if not by:
-        n = rows.count()
-        return rows.agg(F.percentile("r", F.lit(min(1.0, level + 1 / (n + 1)))).alias("width"))
-    # The quantile's place depends on the group's size: its two neighbours in sorted order are weighed. A sort spills; an array would not.
-    own = Window.partitionBy(*by)
-    n = F.count("*").over(own)
-    placed = rows.withColumn("at", F.row_number().over(own.orderBy("r")) - 1).withColumn("place", (n - 1) * F.least(F.lit(1.0), level + 1 / (n + 1)))
-    low = F.floor("place")
-    weight = F.when(F.col("at") == low, 1 - (F.col("place") - low)).when(F.col("at") == low + 1, F.col("place") - low)
-    return placed.where(F.col("at").between(low, low + 1)).groupBy(*by).agg(F.sum(F.col("r") * weight).alias("width"))
+    return order.quantiles(rows, "r", F.lit(level) + 1 / (F.col("n") + 1), by, "width").select(*by, "width")
 
 
 def conformal_intervals(df: DataFrame, calibration: DataFrame, y: str, f: str, level: float = 0.9) -> DataFrame:
@@ -79,9 +71,7 @@ def coverage_by_stratum(df: DataFrame, y: str, f: str, low: str, high: str, stra
 
 def isotonic(train: DataFrame, df: DataFrame, p: str, y: str, into: str = "calibrated") -> DataFrame:
     """Probabilities mapped by a rising function fitted on ``train``, clipped to [0, 1]."""
-    make = VectorAssembler(inputCols=[p], outputCol="__x")
-    model = IsotonicRegression(featuresCol="__x", labelCol=y, predictionCol=into).fit(make.transform(train.withColumn(y, F.col(y).cast("double"))))
-    out = model.transform(make.transform(df)).drop("__x")
+    out = rising_fit.apply(df, rising_fit.pools(train, p, y), p, into)
     return out.withColumn(into, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(into))))
 
 

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import order
+
 #: From worst to best; of severities and of what a failed rule makes of the whole.
 OVERALL = {"CRITICAL": "BLOCKED", "ERROR": "FAILED", "WARNING": "WARNING"}
 #: Loose groups that a declared type may be in, by parts of Spark's type names. Fixed values.
@@ -93,8 +95,8 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def outliers_iqr(df: DataFrame, key: str, value: str, k: float = 3.0) -> DataFrame:
-    """Rows outside the quartiles by more than k times their distance, within each series."""
-    q = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    """Rows outside the quartiles by more than k times their distance, within each series; the quartiles are found by range, no task holds a series."""
+    q = order.quantiles(df.select(key, value), value, [0.25, 0.75], [key], "__q").select(key, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("q3"))
     spread = F.col("q3") - F.col("q1")
     return df.join(q, key).where((F.col(value) < F.col("q1") - k * spread) | (F.col(value) > F.col("q3") + k * spread)).drop("q1", "q3")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import base, forecasts, mixed, models, series, sources, streams, tables  # noqa: F401  importing registers
+from tidewater.plans import base, checks, forecasts, mixed, models, series, sources, streams, tables  # noqa: F401  importing registers
 
 FLAGSHIP = "monthly_orders_changes"
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidewater.functions import calendar
-from tidewater.operators import lags, metrics, payload, quality, registry, resample, scaling, seasonal
+from tidewater.operators import folds, lags, metrics, payload, quality, registry, resample, scaling, seasonal
 from tidewater.plans.base import DAILY, MONTHLY, daily_events, day, monthly_orders, query, rounded, table
 from tidewater.sources import readers, transforms, validate
 
@@ -362,13 +362,7 @@ def inferred_targets(spark, sf_dir):
     SELECT fold::INT AS fold, series, round(sqrt(avg((value - f) * (value - f))), 2) AS rmse, round(avg(abs(value - f)), 2) AS mae FROM k JOIN m USING (series, fold) WHERE pos >= 25 + 6 * fold AND pos < 28 + 6 * fold GROUP BY 1, 2""")
 def cross_validation(spark, sf_dir):
     """Scores of each fold of a model that forecasts the mean of its training rows."""
-    folds = metrics.assign_folds(monthly_orders(spark, sf_dir), "series", "month", initial=24, step=6, horizon=3, gap=1)
-
-    def fit(train):
-        means = train.groupBy("series").agg(F.avg("value").alias("f"))
-        return lambda test: test.join(means, "series")
-
-    out = metrics.cross_validate(folds, fit, {"rmse": metrics.rmse("value", "f"), "mae": metrics.mae("value", "f")}, ["series"])
+    out = folds.cross_validate_linear(monthly_orders(spark, sf_dir), "series", "month", [], "value", {"rmse": metrics.rmse("value", "f"), "mae": metrics.mae("value", "f")}, initial=24, step=6, horizon=3, gap=1)
     return rounded(out, 2, "rmse", "mae")
 
 

@@ -87,8 +87,7 @@ def top_customers(spark, sf_dir):
 def scaled_by_series(spark, sf_dir):
     """Standard and robust scores of line prices within their return flag."""
     own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    one = scaling.by_series(own, "l_returnflag", "l_extendedprice", lambda c: (F.avg(c), F.stddev_samp(c)), "z")
-    two = scaling.by_series(one, "l_returnflag", "l_extendedprice", lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))), "robust")
+    two = scaling.scores_by_series(own, "l_returnflag", "l_extendedprice")
     return rounded(two, 6, "z", "robust").select("l_orderkey", "l_linenumber", "z", "robust")
 
 
