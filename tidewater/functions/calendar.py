@@ -60,7 +60,12 @@ def nth_weekday(year: Column, month_number: int, name: str, n: int) -> Column:
 
 def federal_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """(holiday, day): eleven a year, on their nominal dates."""
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
+    return holidays_of(spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year")), "year")
+
+
+def holidays_of(years: DataFrame, year: str) -> DataFrame:
+    """(holiday, day) of the federal holidays of every different year of a column."""
+    years = years.where(F.col(year).isNotNull()).select(F.col(year).cast("int").alias("y")).distinct()
     y = F.col("y")
 
     def on(m: int, d: int) -> Column:
@@ -105,14 +110,18 @@ def timing_code(day: Column, holiday: Column, early_to: int, late_from: int) ->
 def calendar_months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """A row per month with its calendar measures."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
-    m = F.col("month")
+    return days.select("month", *measures(F.col("month")))
+
+
+def measures(m: Column) -> list[Column]:
+    """Of a day's month: days, business days, five Fridays, factors, and how early or late its moving holidays fall."""
     y = F.year(m)
     moving = [("easter", easter(y), (10, 20)), ("thanksgiving", nth_weekday(y, 11, "THU", 4), (24, 25)), ("labor_day", nth_weekday(y, 9, "MON", 1), (3, 6))]
-    return days.select(m, days_in_month(m).alias("days"), business_days(m).alias("business_days"), five_friday_month(m).alias("five_fridays"), adjustment_factor(m).alias("day_factor"), adjustment_factor(m, True).alias("business_factor"), *[timing_code(m, holiday, *bounds).alias(name) for name, holiday, bounds in moving])
+    return [days_in_month(m).alias("days"), business_days(m).alias("business_days"), five_friday_month(m).alias("five_fridays"), adjustment_factor(m).alias("day_factor"), adjustment_factor(m, True).alias("business_factor"), *[timing_code(m, holiday, *bounds).alias(name) for name, holiday, bounds in moving]]
 
 
 def pay_period_type(df: DataFrame, key: str, day: str) -> DataFrame:
-    """(key, pay_period): biweekly if over 0.7 of gaps are 12 to 16 days, semimonthly if over 0.6 are 13 to 18, else monthly or unknown (under 4 dates)."""
+    """(key, pay_period): biweekly if over 0.7 of gaps are 12 to 16 days, semimonthly if over 0.6 are 13 to 18, else unknown; unknown too under 4 dates."""
     gaps = df.select(key, F.col(day).cast("date").alias("d")).distinct().withColumn("gap", F.datediff("d", F.lag("d").over(Window.partitionBy(key).orderBy("d"))))
     share = lambda a, b: F.avg(F.when(F.col("gap").isNotNull(), F.col("gap").between(a, b).cast("double")))
     return gaps.groupBy(key).agg(F.when(F.count("*") < 4, "unknown").when(share(12, 16) > 0.7, "biweekly").when(share(13, 18) > 0.6, "semimonthly").otherwise("unknown").alias("pay_period"))

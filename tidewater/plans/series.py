@@ -186,34 +186,42 @@ _EASTER = """y AS (SELECT unnest(range(1995, 2031)) AS y), p AS (SELECT y, y % 1
     s AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM r), easter AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM s)"""
 
 
-@query(f"""WITH {_EASTER}, m AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2030-12-01', INTERVAL 1 MONTH))::DATE AS month),
+@query(f"""WITH {_EASTER}, m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders), o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1),
     d AS (SELECT month, unnest(generate_series(month::TIMESTAMP, last_day(month)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM m)
     SELECT strftime(month, '%Y-%m-%d') AS month, count(*)::INT AS days, count(*) FILTER (isodow(d) < 6)::INT AS business_days, count(*) FILTER (isodow(d) = 5) = 5 AS five_fridays,
         round(30.437 / count(*), 8) AS day_factor, round(21.7 / count(*) FILTER (isodow(d) < 6), 8) AS business_factor,
         CASE WHEN month(month) = 11 THEN CASE WHEN min(day(d)) FILTER (isodow(d) = 4) + 21 >= 25 THEN 1 ELSE -1 END ELSE 0 END AS thanksgiving,
         CASE WHEN month(month) = 9 THEN CASE WHEN min(day(d)) FILTER (isodow(d) = 1) <= 3 THEN -1 WHEN min(day(d)) FILTER (isodow(d) = 1) >= 6 THEN 1 ELSE 0 END ELSE 0 END AS labor_day,
-        CASE WHEN bool_or(d = easter) THEN CASE WHEN day(max(easter)) <= 10 THEN -1 WHEN day(max(easter)) >= 20 THEN 1 ELSE 0 END ELSE 0 END AS easter
-    FROM d JOIN easter ON year(d) = y GROUP BY month""")
+        CASE WHEN bool_or(d = easter) THEN CASE WHEN day(max(easter)) <= 10 THEN -1 WHEN day(max(easter)) >= 20 THEN 1 ELSE 0 END ELSE 0 END AS easter,
+        round(any_value(total) * 21.7 / count(*) FILTER (isodow(d) < 6), 2) AS adjusted
+    FROM d JOIN easter ON year(d) = y JOIN o USING (month) GROUP BY month""")
 def month_calendar(spark, sf_dir):
-    """Days, business days, five-Friday months, adjustment factors, and holiday timing of 36 years."""
-    out = calendar.calendar_months(spark, "1995-01-01", "2030-12-01")
-    return rounded(out, 8, "day_factor", "business_factor").withColumn("month", day("month"))
+    """Days, business days, five-Friday months, adjustment factors and holiday timing of the months with orders, and their totals for months of mean length."""
+    own = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+    adjusted = calendar.apply_factor(F.col("total"), calendar.adjustment_factor(F.col("month"), True)).alias("adjusted")
+    out = own.select("month", *calendar.measures(F.col("month")), adjusted)
+    return rounded(rounded(out, 8, "day_factor", "business_factor"), 2, "adjusted").withColumn("month", day("month"))
 
 
-@query("""WITH y AS (SELECT unnest(range(1995, 2031)) AS y), d AS (SELECT y, unnest(generate_series(make_date(y, 1, 1)::TIMESTAMP, make_date(y, 12, 31)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM y),
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), c AS (SELECT o_orderdate::DATE AS d, count(*) AS orders FROM orders GROUP BY 1), d AS (SELECT y, unnest(generate_series(make_date(y, 1, 1)::TIMESTAMP, make_date(y, 12, 31)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM y),
     n AS (SELECT y, d, month(d) AS m, isodow(d) AS w, row_number() OVER (PARTITION BY y, month(d), isodow(d) ORDER BY d) AS up, row_number() OVER (PARTITION BY y, month(d), isodow(d) ORDER BY d DESC) AS down FROM d)
-    SELECT strftime(d, '%Y-%m-%d') AS day, CASE WHEN m = 1 AND day(d) = 1 THEN 'New Year''s Day' WHEN m = 1 AND w = 1 AND up = 3 THEN 'Martin Luther King Jr. Day' WHEN m = 2 AND w = 1 AND up = 3 THEN 'Presidents'' Day' WHEN m = 5 AND w = 1 AND down = 1 THEN 'Memorial Day' WHEN m = 6 AND day(d) = 19 THEN 'Juneteenth' WHEN m = 7 AND day(d) = 4 THEN 'Independence Day' WHEN m = 9 AND w = 1 AND up = 1 THEN 'Labor Day' WHEN m = 10 AND w = 1 AND up = 2 THEN 'Columbus Day' WHEN m = 11 AND day(d) = 11 THEN 'Veterans Day' WHEN m = 11 AND w = 4 AND up = 4 THEN 'Thanksgiving' WHEN m = 12 AND day(d) = 25 THEN 'Christmas' END AS holiday
-    FROM n WHERE holiday IS NOT NULL""")
+    SELECT strftime(n.d, '%Y-%m-%d') AS day, coalesce(orders, 0) AS orders, CASE WHEN m = 1 AND day(n.d) = 1 THEN 'New Year''s Day' WHEN m = 1 AND w = 1 AND up = 3 THEN 'Martin Luther King Jr. Day' WHEN m = 2 AND w = 1 AND up = 3 THEN 'Presidents'' Day' WHEN m = 5 AND w = 1 AND down = 1 THEN 'Memorial Day' WHEN m = 6 AND day(n.d) = 19 THEN 'Juneteenth' WHEN m = 7 AND day(n.d) = 4 THEN 'Independence Day' WHEN m = 9 AND w = 1 AND up = 1 THEN 'Labor Day' WHEN m = 10 AND w = 1 AND up = 2 THEN 'Columbus Day' WHEN m = 11 AND day(n.d) = 11 THEN 'Veterans Day' WHEN m = 11 AND w = 4 AND up = 4 THEN 'Thanksgiving' WHEN m = 12 AND day(n.d) = 25 THEN 'Christmas' END AS holiday
+    FROM n LEFT JOIN c ON c.d = n.d WHERE holiday IS NOT NULL""")
 def federal_holidays(spark, sf_dir):
-    """Eleven holidays a year on their nominal dates."""
-    return calendar.federal_holidays(spark, 1995, 2030).select(day("day").alias("day"), "holiday")
+    """Eleven holidays of each year with orders, on their nominal dates, and the orders of that day."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    counts = own.groupBy("day").agg(F.count("*").alias("orders"))
+    out = calendar.holidays_of(own.select(F.year("day").alias("year")), "year").join(counts, "day", "left").na.fill(0, ["orders"])
+    return out.select(day("day").alias("day"), "holiday", "orders")
 
 
-@query(f"""WITH {_EASTER} SELECT y::INT AS year, strftime(easter, '%Y-%m-%d') AS easter FROM easter""")
+@query(f"""WITH {_EASTER}, l AS (SELECT year(l_shipdate) AS y, l_shipdate::DATE AS d FROM lineitem) SELECT y::INT AS year, strftime(any_value(easter), '%Y-%m-%d') AS easter, count(*) FILTER (d < easter AND d >= easter - 7) AS week_before, count(*) AS lines FROM l JOIN easter USING (y) GROUP BY y""")
 def easter_sundays(spark, sf_dir):
-    """Easter Sunday of each year."""
-    years = spark.range(1995, 2031).select(F.col("id").cast("int").alias("year"))
-    return years.select("year", day(calendar.easter(F.col("year"))).alias("easter"))
+    """Easter Sunday of each year with shipped lines, and how many were shipped in the week before."""
+    own = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_shipdate").cast("date").alias("d"))
+    sunday = calendar.easter(F.col("year"))
+    out = own.groupBy("year").agg(F.count_if((F.col("d") < sunday) & (F.col("d") >= F.date_sub(sunday, 7))).alias("week_before"), F.count("*").alias("lines"))
+    return out.select("year", day(sunday).alias("easter"), "week_before", "lines")
 
 
 @query("""WITH d AS (SELECT DISTINCT o_custkey AS c, o_orderdate::DATE AS d FROM orders), g AS (SELECT c, date_diff('day', lag(d) OVER (PARTITION BY c ORDER BY d), d) AS gap FROM d)
