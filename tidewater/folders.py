@@ -20,7 +20,14 @@ def shared(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    """A folder that nothing else uses, among those of this application."""
+    return f"{shared(spark)}/tidewater/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: to be called once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared(spark)}/tidewater/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

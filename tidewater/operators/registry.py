@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.folders import materialize
+
 #: Columns that a search may name. Fixed values.
 SEARCHABLE = ("name", "source", "frequency", "status", "vintage_date", "version")
 
@@ -68,26 +70,18 @@ def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Round by round the pairs that were new climb one edge; what is known already
     drops out, so neither many ways to one ancestor nor cycles make more rows, and
-    the rounds end when there is nothing new. Each round is checkpointed.
+    the rounds end when there is nothing new. Each round is written to the shared folder.
     """
     own = edges.select("child", "parent").distinct()
-    known = _kept(spark, own.select(F.col("child").alias("node")).union(own.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    known = materialize(own.select(F.col("child").alias("node")).union(own.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")), "ancestors")
     new = known
     while not new.isEmpty():
         up = new.join(own, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
-        new = _kept(spark, up.join(known, ["node", "ancestor"], "left_anti"))
+        new = materialize(up.join(known, ["node", "ancestor"], "left_anti"), "ancestors")
         known = known.union(new)
     return known
 
 
-def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` in the session's checkpoint folder; where none is set, on one machine, as it is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df.cache()
-
-
 def descendants(edges: DataFrame, name: str) -> DataFrame:
     """Direct children."""
     return edges.where(F.col("parent") == name).select("child")

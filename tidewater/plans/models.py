@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewater.operators import calibrate, models, payload, reconcile, registry, scenario, seasonal
-from tidewater.plans.base import MONTHLY, daily_events, day, monthly_orders, query, rounded, table
+from tidewater.plans.base import DAILY, MONTHLY, daily_events, day, monthly_orders, query, rounded, table
 from tidewater.sources import transforms
 
 _PARTS = f"""{MONTHLY}, w1 AS (SELECT series, month, value AS o, count(value) OVER a AS k, sum(value) OVER a AS outer_sum, avg(value) OVER a AS outer_mean, sum(value) OVER b AS inner_sum FROM monthly WINDOW a AS (PARTITION BY series ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), b AS (PARTITION BY series ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
@@ -76,6 +76,28 @@ def event_overlap(spark, sf_dir):
     return rounded(seasonal.strike_impact(events, most=1e9), 6, "impact").withColumn("month", day("month"))
 
 
+@query("""WITH e AS (SELECT l_shipdate::DATE AS a, CASE WHEN l_tax > 0 THEN l_shipdate::DATE + l_quantity::INT * 2 END AS b, l_partkey * 20 AS w, l_suppkey AS n FROM lineitem),
+    m AS (SELECT unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', coalesce(b, a))::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month, w FROM e WHERE w >= 10000 AND n >= 7)
+    SELECT strftime(month, '%Y-%m-%d') AS month, round(least(10, sum(w / 10000)), 6) AS impact FROM m GROUP BY 1""")
+def event_overlap_capped(spark, sf_dir):
+    """The same with the cap of ten a month that effects have."""
+    start = F.col("l_shipdate").cast("date")
+    end = F.when(F.col("l_tax") > 0, F.date_add(start, F.col("l_quantity").cast("int") * 2))
+    events = table(spark, sf_dir, "lineitem").select(start.alias("start_date"), end.alias("end_date"), (F.col("l_partkey") * 20).alias("workers_involved"), F.col("l_suppkey").alias("days_duration"))
+    return rounded(seasonal.strike_impact(events), 6, "impact").withColumn("month", day("month"))
+
+
+@query(f"""WITH {DAILY}, c AS (SELECT series, ts, value - avg(value) OVER (PARTITION BY series) AS x, count(value) OVER (PARTITION BY series) AS n FROM daily),
+    l AS (SELECT series, n, x, {", ".join(f"lag(x, {k}) OVER (PARTITION BY series ORDER BY ts) AS x{k}" for k in range(1, 11))} FROM c WHERE n >= 20),
+    b AS (SELECT series, max(n) AS n, least(10, max(n) // 5) AS lags, max(n) * (max(n) + 2) * ({" + ".join(f"CASE WHEN max(n) // 5 >= {k} THEN pow(sum(x * x{k}) / sum(x * x), 2) / (max(n) - {k}) ELSE 0 END" for k in range(1, 11))}) AS q FROM l GROUP BY 1),
+    p AS (SELECT *, exp(-q / 2) * ({" + ".join(f"CASE WHEN lags > {2 * k} THEN pow(q / 2, {k}) / {math.factorial(k)} ELSE 0 END" for k in range(5))}) AS p FROM b)
+    SELECT series, n, lags::INT AS lags, round(q, 4) AS q, round(p, 6) AS p_value, p > 0.05 AS random FROM p""")
+def ljung_box_short(spark, sf_dir):
+    """Autocorrelation of daily event means: a month of days has fewer than ten lags."""
+    out = seasonal.ljung_box(daily_events(spark, sf_dir), ts="ts", value="value")
+    return rounded(rounded(out, 4, "q"), 6, "p_value")
+
+
 def _hierarchy(spark, sf_dir):
     """A row a month: the regions' order totals and their sum."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
