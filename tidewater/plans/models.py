@@ -249,10 +249,12 @@ def factor_model(spark, sf_dir):
     return m.transform(wide).select(day("ts").alias("day"), "factor_1", "factor_2", m.head.predict().alias("fitted"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAILY}, n AS (SELECT series, ts, value, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM daily),
+    k(series, i, level, variance) AS (SELECT series, i, value, 1e6 + 0.1 FROM n WHERE i = 1 UNION ALL SELECT n.series, n.i, level + (variance + 0.1) / (variance + 1.1) * (value - level), (variance + 0.1) / (variance + 1.1) FROM k JOIN n ON n.series = k.series AND n.i = k.i + 1)
+    SELECT series, strftime(ts, '%Y-%m-%d') AS ts, round(value, 6) AS value, round(level, 6) AS level FROM k JOIN n USING (series, i)""")
 def filtered_levels(spark, sf_dir):
     """Filtered level of each type's daily means."""
-    return models.filtered_levels(daily_events(spark, sf_dir)).withColumn("ts", day("ts"))
+    return rounded(models.filtered_levels(daily_events(spark, sf_dir)), 6, "value", "level").withColumn("ts", day("ts"))
 
 
 @query()

@@ -173,12 +173,22 @@ def aligned(spark, sf_dir):
     return rounded(rounded(out, 6, "last", "mean"), 4, "sum").withColumn("target", day("target"))
 
 
-@query()
+def _bridged(source: str, series: str, n: int) -> str:
+    """Lag columns of one source in SQL: the newest known values on or before each target, weighted, gaps filled forward, then with the median, then 0."""
+    known = f"(SELECT list(value ORDER BY ts DESC) FROM daily WHERE series = '{series}' AND ts <= target AND ts <= DATE '2024-01-25')"
+    return ", ".join(f"{known}[{k + 1}] * {w!r} AS {source}_lag_{k}" for k, w in enumerate(lags.almon_weights(n, 2.0)))
+
+
+_LAGS = [*(f"clicks_lag_{k}" for k in range(4)), *(f"views_lag_{k}" for k in range(3))]
+
+
+@query(f"""WITH {_TARGETS}, b AS (SELECT target, {_bridged("clicks", "click", 4)}, {_bridged("views", "view", 3)} FROM targets)
+    SELECT strftime(target, '%Y-%m-%d') AS target, {", ".join(f"round(coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY target), median({c}) OVER (), 0), 6) AS {c}" for c in _LAGS)} FROM b""")
 def bridge_features(spark, sf_dir):
     """A feature row a target date from two sources, known at a vintage date, with weighted lags and gaps filled."""
     daily = daily_events(spark, sf_dir)
     sources = {"clicks": (daily.where("series = 'click'").select("ts", "value"), 4), "views": (daily.where("series = 'view'").select("ts", "value"), 3)}
-    return lags.bridge(sources, _targets(spark, sf_dir), "2024-01-25").withColumn("target", day("target"))
+    return rounded(lags.bridge(sources, _targets(spark, sf_dir), "2024-01-25"), 6, *_LAGS).withColumn("target", day("target"))
 
 
 _EASTER = """y AS (SELECT unnest(range(1995, 2031)) AS y), p AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
