@@ -544,13 +544,17 @@ def test_other_tokenizers_are_refused():
         packing.checked('{"normalizer": null, "pre_tokenizer": null, "model": {}}')
 
 
-def test_repeated_texts_leave_no_label_out(spark):
+def test_repeated_texts_leave_no_label_out(spark, monkeypatch):
     other = [f"the quick text number {i} of the language" for i in range(30)]
     rows = [("one and the same text in english", "en")] * 60_000 + [(t, "en") for t in other] + [(f"der schnelle Text Nummer {i} der Sprache", "de") for i in range(200)]
     labelled = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     model = language_id.fit(labelled, most_documents=100, epochs=1, least_steps=20)
     assert model.labels == ["de", "en"]
     assert language_id.fit(labelled, most_documents=100, most_bytes=1, epochs=1, least_steps=5).labels == ["de", "en"]
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, **_: (texts, labels))
+    for most in (1, 3, 29, 100):  # the threshold leaves enough, or not
+        texts, labels = language_id.fit(labelled, most_documents=most)
+        assert labels.count("en") == min(most, 31) and labels.count("de") == min(most, 200) and len(set(texts)) == len(texts)
     few = spark.createDataFrame([("one clean text", "clean")] * 20_000 + [(f"junk {i}", "junk") for i in range(50)], "text string, domain string").repartition(4)
     texts, domains = mixing.sample(few, text="text", domain="domain", most=4000, seed=1)
     assert sorted(set(domains)) == ["clean", "junk"] and len(texts) == len(set(texts)) == 51
@@ -558,3 +562,62 @@ def test_repeated_texts_leave_no_label_out(spark):
     keys = spark.createDataFrame([(k % 40, "ab"[k % 3 == 0]) for k in range(4000)], "doc_id long, domain string")
     assert mixing.sample_keys(keys, key="doc_id", domain="domain", most=25).count() == 25
     assert mixing.sample_keys(keys, key="doc_id", domain="domain", most=100).count() == 40
+
+
+def test_byte_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["der", "die", "und", "nicht"], 30)) for _ in range(20)] + [" ".join(rng.choice(["the", "and", "not", "of"], 30)) for _ in range(20)]
+    model = language_id.train(texts, ["de"] * 20 + ["en"] * 20, window=64, widths=(2, 4), filters=3, embed=5, epochs=1, least_steps=30)
+    codes, _, _ = language_id.windows(*T.raw(pa.array(texts[:3] + ["ab"])), 64)
+    got = model.probabilities(codes)
+    widths = [2] * 3 + [4] * 3
+    for row, probabilities in zip(codes, got, strict=True):
+        hidden = []
+        for f, width in enumerate(widths):
+            weights = model.filters[:, f].reshape(model.most, 5)
+            assert not weights[width:].any()  # shorter filters have nothing beyond their width
+            best = max(sum(float(model.embed[row[t + j]] @ weights[j]) for j in range(width)) for t in range(64 - model.most + 1))
+            hidden.append(max(best + model.bias[f], 0.0))
+        z = np.array(hidden) @ model.out + model.out_bias
+        z = np.exp(z - z.max())
+        assert np.allclose(z / z.sum(), probabilities, atol=1e-5)
+
+
+def test_packing_needs_no_more_sequences_than_best_fit_one_by_one(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["of"] * int(n))) for i, n in enumerate(rng.integers(0, 60, 300))]
+    size = 64
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), queries.tokenizer_path(), size=size, end_id=1).collect()
+    lengths = sorted((r.length for r in out), reverse=True)
+    room: list[int] = []
+    for n in lengths:  # each piece goes where it leaves the least room
+        fits = [(r - n, i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits)[1]] -= n
+        else:
+            room.append(size - n)
+    assert len({r.sequence_id for r in out}) <= len(room)
+
+
+def test_first_condition_is_the_best_of_all(spark):
+    rng = np.random.default_rng(2)
+    n = 600
+    rows = [(i, int(w), int(4 * w), int(s), 0, 0, 0, 0, 0) for i, (w, s) in enumerate(zip(rng.integers(50, 400, n), rng.integers(0, 80, n), strict=True))]
+    bad = [int(s > 0.2 * w) for _, w, _, s, *_ in rows]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_digits long, n_marks long")
+    labels = spark.createDataFrame([(i, 1 - b) for i, b in enumerate(bad)], "doc_id long, quality int")
+    rules = quality_rules.learn(stats, labels).rules
+    first = rules[0][0]
+    values = {r.doc_id: {k: r[k] for k in quality_rules.features()} for r in stats.select("doc_id", *[v.alias(k) for k, v in quality_rules.features().items()]).collect()}
+    held = {r.doc_id for r in stats.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).select("doc_id").collect()}
+    grown = [i for i in range(n) if i not in held]
+
+    def gain(feature, above, threshold):
+        fits = [i for i in grown if (values[i][feature] >= threshold) == above]
+        p, p0 = sum(bad[i] for i in fits), sum(bad[i] for i in grown)
+        return quality_rules._gain(p, len(fits) - p, p0, len(grown) - p0)
+
+    # No other threshold at all, on any feature and side, gains notably more than the one chosen among quantiles.
+    best = max(gain(k, above, v) for k in quality_rules.features() for above in (True, False) for v in {values[i][k] for i in grown})
+    assert gain(first.feature, first.above, first.threshold) >= 0.9 * best
+    assert first.feature == "symbols" and first.above

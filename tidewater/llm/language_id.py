@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as T
+from tidewater.llm.storage import materialize
 
 #: Predicted where there is nothing to judge.
 UNDETERMINED = "und"
@@ -143,9 +144,17 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", most_do
     h, size = F.xxhash64("text", F.lit(seed)).alias("h"), F.octet_length("text").alias("size")
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("length(text) > 0 and label is not null")
     # Different texts are told apart by hash, so that no text moves before it is chosen.
-    different = rows.select(h, size, "label").groupBy("h", "size").agg(F.min("label").alias("label"))
-    lowest = Window.partitionBy("label").orderBy("h", "size")
-    chosen = different.withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= most_documents)
+    different = materialize(rows.select(h, size, "label").groupBy("h", "size").agg(F.min("label").alias("label")), "different-texts")
+    low = F.pmod("h", F.lit(1 << 20))
+    lowest = Window.partitionBy("label").orderBy(low, "h", "size")
+    counts = different.groupBy("label").agg(F.count("*").alias("n"))  # a row a label
+    ranked = lambda some: some.withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= most_documents)
+    # A threshold that leaves about four times as many as are wanted spares the rest the ranking; if it leaves too few, all are ranked.
+    near = different.join(F.broadcast(counts), "label").where(low < F.ceil(4.0 * most_documents / F.col("n") * (1 << 20)))
+    chosen = materialize(ranked(near), "chosen-texts")
+    found = chosen.groupBy("label").agg(F.count("*").alias("got"))
+    if not counts.join(found, "label", "left").where(F.coalesce("got", F.lit(0)) < F.least("n", F.lit(most_documents))).isEmpty():
+        chosen = ranked(different)
     chosen = chosen.withColumn("bytes", F.sum("size").over(lowest)).where((F.col("bytes") <= most_bytes) | (F.col("at") == 1)).select("h", "size", F.col("label").alias("own"))
     got = rows.select("text", h, size).join(F.broadcast(chosen), ["h", "size"]).select("own", "h", "text").distinct().orderBy("own", "h", "text").collect()
     if not got:
