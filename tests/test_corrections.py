@@ -102,3 +102,21 @@ def test_weights_precision_and_fallback(spark):
     assert [round(x, 6) for x in reconcile.reconcile(rows, None, "t", ["a", "b"], weights=np.diag([1e-9 + 1, 1, 2])).first()] == [9.0, 3.0, 6.0]
     with pytest.raises(ValueError):
         reconcile.reconcile(rows, None, "t", ["a", "b"], weights=np.diag([1.0, 2.0]))
+
+
+def test_reports_and_stability(spark):
+    text = "M 1: 0.5\nM11=1.25\nQ = 0.7\nLjung-Box Q (12): 3.5 p-value = 0.04\nStable seasonality test F = 9. p-value=0.001\nTrading day test F: 2 p-value: 0.5"
+    df = spark.createDataFrame([(text,), ("nothing",), (None,)], "report string")
+    got = seasonal.parse_reports(df, "report").collect()
+    assert (got[0].m1, got[0].m11, got[0].m2, got[0].q, got[0].ljung_box_lag, got[0].ljung_box_q, got[0].ljung_box_pvalue) == (0.5, 1.25, None, 0.7, 12, 3.5, 0.04)
+    assert (got[0].stable_seasonality_f, got[0].stable_seasonality_pvalue, got[0].seasonality_f, got[0].trading_day_f, got[0].trading_day_significant) == (9.0, 0.001, None, 2.0, False)
+    assert all(r[c] is None for r in got[1:] for c in seasonal.REPORT)
+    rows = [("a", d, v) for d, v in enumerate([5.0, 1.0, None, 1.1, 1.3])] + [("one", 1, 1.0), ("two", 1, None), ("two", 2, 3.0)]
+    history = spark.createDataFrame(rows, "series string, ts int, q double")
+    found = {r.series: r for r in seasonal.stability(history, window=4).collect()}
+    assert set(found) == {"a", "two"}
+    a = found["a"]
+    assert (a.observations, a.current, a.stable, a.degrading) == (4, 1.3, True, True) and a.slope == pytest.approx(np.polyfit(range(3), [1.0, 1.1, 1.3], 1)[0])
+    assert (found["two"].slope, found["two"].current, found["two"].stable, found["two"].std) == (0.0, 3.0, False, None)
+    grades = {(r.series, r.measure): (r.grade, round(r.score, 3), r.problem) for r in seasonal.measure_grades(spark.createDataFrame([("s", 0.6, 2.5, None, 4.0)], "series string, m1 double, m2 double, m3 double, m4 double")).collect()}
+    assert grades == {("s", "m1"): ("good", 80.0, False), ("s", "m2"): ("warning", 16.667, True), ("s", "m4"): ("fail", 0.0, False)}

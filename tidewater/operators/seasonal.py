@@ -203,12 +203,72 @@ def varying_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-#: What a text report of a seasonal adjustment holds, by pattern of its first match. Fixed values.
-REPORT = {**{f"m{k}": rf"(?i)\bM{k}\s*[:=]?\s*([-+]?\d+\.?\d*)" for k in range(1, 12)}, "q": r"(?i)\bQ\s*[:=]\s*([-+]?\d+\.?\d*)"}
+_NUMBER = r"([-+]?\d+\.?\d*)"
+#: What a text report of a seasonal adjustment holds, by pattern of its first match; tests have theirs on one line. Fixed values.
+REPORT = {
+    **{f"m{k}": rf"(?i)\bM\s*{k}\s*[:=]?\s*{_NUMBER}" for k in range(1, 12)},
+    "q": rf"(?i)\bQ\s*[:=]\s*{_NUMBER}",
+    "ljung_box_lag": r"(?i)Ljung-Box\s+Q\s*\((\d+)\)",
+    "ljung_box_q": rf"(?i)Ljung-Box\s+Q\s*\(\d+\)\s*[:=]\s*{_NUMBER}",
+    "ljung_box_pvalue": rf"(?i)Ljung-Box\s+Q[^\n]*?p-value\s*[:=]\s*{_NUMBER}",
+    **{f"{name}_f": rf"(?i){title}[^\n]*?\bF\s*[:=]\s*{_NUMBER}" for name, title in (("seasonality", r"Combined\s+seasonality\s+test"), ("stable_seasonality", r"Stable\s+seasonality\s+test"), ("trading_day", r"Trading\s+day"))},
+    **{f"{name}_pvalue": rf"(?i){title}[^\n]*?p-value\s*[:=]\s*{_NUMBER}" for name, title in (("seasonality", r"Combined\s+seasonality\s+test"), ("stable_seasonality", r"Stable\s+seasonality\s+test"), ("trading_day", r"Trading\s+day"))},
+}
+#: A test is significant below this p-value. Fixed value.
+SIGNIFICANT = 0.05
 
 
 def parse_reports(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns({k: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for k, p in REPORT.items()})
+    """``df`` with a number for each entry of REPORT, null where the report has none, and whether seasonality and trading days are significant."""
+    out = df.withColumns({k: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") for k, p in REPORT.items()})
+    return out.withColumns({f"{k}_significant": F.col(f"{k}_pvalue") < SIGNIFICANT for k in ("seasonality", "trading_day")})
+
+
+#: Ends of grades of a single measure, and of Q; the value that scores 0; measures of which a value over 2 is named as a problem. Fixed values.
+MEASURE_GRADES = (("good", 1.0), ("acceptable", 2.0), ("warning", 3.0))
+Q_GRADES = (("good", 1.0), ("acceptable", 2.0))
+SCORED_0, PROBLEMS, PROBLEM_OVER = 3.0, ("m1", "m2", "m3", "m7", "m8", "m9"), 2.0
+
+
+def _graded(value: Column, grades: tuple, worst: str) -> Column:
+    out = F.lit(worst)
+    for name, below in reversed(grades):
+        out = F.when(value < below, name).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
+def measure_grades(stats: DataFrame, key: str = "series") -> DataFrame:
+    """(key, measure, value, grade, score, problem) of each measure that is there: the score falls from 100 at 0 to 0 at 3."""
+    own = [k for k in stats.columns if k in LIMITS and k != "q"]
+    rows = stats.select(key, F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).cast("double").alias("value")) for k in own]))).where("value is not null")
+    v = F.col("value")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - v / SCORED_0)))
+    return rows.select(key, "measure", "value", _graded(v, MEASURE_GRADES, "fail").alias("grade"), score.alias("score"), (F.col("measure").isin(*PROBLEMS) & (v > PROBLEM_OVER)).alias("problem"))
+
+
+def q_grade(q: Column) -> Column:
+    """good, acceptable or poor; null without a value."""
+    return _graded(q, Q_GRADES, "poor")
+
+
+#: Spread below which a history is stable, and slope over which it degrades. Fixed values.
+STABLE_SPREAD, DEGRADING_SLOPE = 0.2, 0.05
+
+
+def stability(history: DataFrame, *, key: str = "series", ts: str = "ts", value: str = "q", window: int = 12) -> DataFrame:
+    """(key, observations, mean, std, slope, current, stable, degrading) of each series' last ``window`` observations.
+
+    Nulls among these are left out of all but ``observations``. A slope needs three
+    values, else it is 0; a spread needs two, else it is null and nothing is stable.
+    Series with under two observations are left out.
+    """
+    own = Window.partitionBy(key)
+    last = history.withColumn("__n", F.count("*").over(own)).withColumn("__at", F.row_number().over(own.orderBy(F.desc(ts), F.desc(value)))).where((F.col("__n") >= 2) & (F.col("__at") <= window))
+    known = F.when(F.col(value).isNotNull(), F.row_number().over(own.orderBy(F.col(value).isNull(), F.desc("__at"))))
+    rows = last.withColumn("__x", known.cast("double"))
+    v = F.col(value).cast("double")
+    out = rows.groupBy(key).agg(F.count("*").alias("observations"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.when(F.count(v) >= 3, F.regr_slope(v, F.col("__x"))).otherwise(0.0).alias("slope"), F.min_by(v, F.when(v.isNotNull(), F.col("__at"))).alias("current"))
+    return out.withColumn("stable", F.coalesce(F.col("std") < STABLE_SPREAD, F.lit(False))).withColumn("degrading", F.coalesce(F.col("slope") > DEGRADING_SLOPE, F.lit(False)))
 
 
 #: Values from which a measure counts as breached; weights in the score of those that don't have 1. Fixed values.

@@ -98,6 +98,39 @@ def ljung_box_short(spark, sf_dir):
     return rounded(rounded(out, 4, "q"), 6, "p_value")
 
 
+@query(f"""WITH {_MEASURES}, um AS (SELECT series, unnest(['{"', '".join(_NAMES[:-1])}']) AS measure, unnest([{", ".join(_NAMES[:-1])}]) AS value FROM verdict)
+    SELECT series, measure, round(value, 5) AS value, CASE WHEN value < 1 THEN 'good' WHEN value < 2 THEN 'acceptable' WHEN value < 3 THEN 'warning' ELSE 'fail' END AS grade, round(greatest(0, least(100, 100 * (1 - value / 3))), 3) AS score, measure IN ('m1', 'm2', 'm3', 'm7', 'm8', 'm9') AND value > 2 AS problem FROM um""")
+def measure_grades(spark, sf_dir):
+    """Each measure of the decomposition with its grade and score."""
+    out = seasonal.measure_grades(seasonal.m_statistics(seasonal.decompose(monthly_orders(spark, sf_dir))))
+    return rounded(rounded(out, 5, "value"), 3, "score")
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT series, ts, value, row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS pos FROM daily)
+    SELECT series, count(*) AS observations, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(regr_slope(value, -pos::DOUBLE), 6) AS slope, round(max(value) FILTER (pos = 1), 6) AS current, stddev_samp(value) < 0.2 AS stable, regr_slope(value, -pos::DOUBLE) > 0.05 AS degrading, CASE WHEN max(value) FILTER (pos = 1) < 1 THEN 'good' WHEN max(value) FILTER (pos = 1) < 2 THEN 'acceptable' ELSE 'poor' END AS grade FROM w WHERE pos <= 12 GROUP BY 1""")
+def quality_stability(spark, sf_dir):
+    """How steady each type's daily means were over the last twelve days, and the grade of the last."""
+    out = seasonal.stability(daily_events(spark, sf_dir), value="value").withColumn("grade", seasonal.q_grade(F.col("current")))
+    return rounded(out, 6, "mean", "std", "slope", "current")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity AS m1, l_tax AS m11, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_discount END AS q, CASE WHEN l_returnflag = 'N' THEN 24.0::DOUBLE END AS ljung_box_lag, CASE WHEN l_returnflag = 'N' THEN l_extendedprice END AS ljung_box_q, CASE WHEN l_returnflag = 'N' THEN l_tax END AS ljung_box_pvalue,
+        l_quantity AS seasonality_f, l_discount AS seasonality_pvalue, l_discount < 0.05 AS seasonality_significant, CASE WHEN l_linestatus = 'F' THEN l_tax END AS trading_day_f, CASE WHEN l_linestatus = 'F' THEN l_discount END AS trading_day_pvalue, CASE WHEN l_linestatus = 'F' THEN l_discount < 0.05 END AS trading_day_significant FROM lineitem""")
+def diagnostic_reports(spark, sf_dir):
+    """Numbers of text reports, one a line item, read back by pattern; some reports lack some."""
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    lines = [
+        F.concat(F.lit(" M1 = "), number("l_quantity")),
+        F.concat(F.lit(" M11 : "), number("l_tax")),
+        F.when(F.col("l_returnflag") != "A", F.concat(F.lit(" Q = "), number("l_discount"))),
+        F.when(F.col("l_returnflag") == "N", F.concat(F.lit("Ljung-Box Q(24) = "), number("l_extendedprice"), F.lit(", p-value = "), number("l_tax"))),
+        F.concat(F.lit("Combined seasonality test: F = "), number("l_quantity"), F.lit(" p-value: "), number("l_discount")),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("Trading day F = "), number("l_tax"), F.lit(" p-value = "), number("l_discount"))),
+    ]
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("\n", *lines).alias("report"))
+    return seasonal.parse_reports(own, "report").select("l_orderkey", "l_linenumber", "m1", "m11", "q", "ljung_box_lag", "ljung_box_q", "ljung_box_pvalue", "seasonality_f", "seasonality_pvalue", "seasonality_significant", "trading_day_f", "trading_day_pvalue", "trading_day_significant")
+
+
 def _hierarchy(spark, sf_dir):
     """A row a month: the regions' order totals and their sum."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
