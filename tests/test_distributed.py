@@ -134,3 +134,35 @@ def test_findings_of_odd_artifacts(spark):
     ring = artifact_lineage.findings(spark, models, features.union(spark.createDataFrame([("lost", 1, "v1")], features.schema)), edges.union(spark.createDataFrame([("lost", "base")], edges.schema)))
     assert {r.model for r in ring.where("check = 'lineage_cycle'").collect()} == {"m", "o", "p"}
     assert {r.model: r.passed for r in artifact_lineage.passed(found).collect()} == {"m": False, "n": False, "o": False, "p": False}
+
+
+def test_metadata_tables_raw_files_and_updates(spark, tmp_path):
+    import datetime
+
+    from tidewater.operators import registry
+    from tidewater.sources import metadata
+
+    base = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("m", "1", True), ("m", "2", False)], "model_name string, model_version string, is_active boolean")
+    own = metadata.record(spark, base, "model_registry", rows)
+    own = metadata.record(spark, base, "model_registry", rows.where("model_version = '2'").withColumn("is_active", F.lit(True)).withColumn("accuracy_metrics", F.create_map(F.lit("rmse"), F.lit(1.5))))
+    got = {r.model_version: (r.is_active, r.accuracy_metrics, r.trained_at) for r in own.read().collect()}
+    assert got == {"1": (True, None, None), "2": (True, {"rmse": 1.5}, None)}
+    with pytest.raises(ValueError, match="no columns"):
+        metadata.record(spark, base, "model_registry", rows.withColumn("odd", F.lit(1)))
+    with pytest.raises(Exception, match="needs model_version"):
+        metadata.record(spark, base, "model_registry", rows.withColumn("model_version", F.lit(None).cast("string")))
+    assert all(set(keys) <= {f.name for f in spark.createDataFrame([], schema).schema} for schema, keys in metadata.TABLES.values()) and len(metadata.TABLES) == 9
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    path = metadata.save_raw(rows, base, "claims", at)
+    assert path.endswith("claims_20240102_030405") and metadata.save_raw(rows.limit(1), base, "claims", at) == path and spark.read.parquet(path).count() == 2
+    change = spark.createDataFrame([("m", "1", None)], rows.schema)
+    assert {r.model_version: r.is_active for r in registry.update(rows, change, ["model_name", "model_version"]).collect()} == {"1": True, "2": False}
+    change = spark.createDataFrame([("m", "2", True)], rows.schema)
+    assert {r.model_version: r.is_active for r in registry.update(rows, change, ["model_name", "model_version"]).collect()} == {"1": True, "2": True}
+    with pytest.raises(KeyError):
+        registry.update(rows, spark.createDataFrame([("m", "3", True)], rows.schema), ["model_name", "model_version"])
+    with pytest.raises(ValueError):
+        registry.update(rows, change.union(change), ["model_name", "model_version"])
+    with pytest.raises(ValueError):
+        registry.update(rows, change.withColumn("odd", F.lit(1)), ["model_name", "model_version"])

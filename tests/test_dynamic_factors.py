@@ -97,3 +97,19 @@ def test_odd_panels(spark):
     assert whole.transform(df.where("key = 'a'"), "at").columns == ["at", "factor_1"]
     with pytest.raises(ValueError):
         D.fit(df.limit(0), ["x"], 1, "at")
+
+
+def test_projection_and_nowcast(spark):
+    rng = np.random.default_rng(7)
+    f = np.cumsum(rng.normal(size=120)) * 0.3
+    x = np.outer(f, [1.0, -2.0, 0.5]) + rng.normal(size=(120, 3)) * 0.1
+    y = 5 + 3 * f + rng.normal(size=120) * 0.1
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "at int, c0 double, c1 double, c2 double, y double")
+    m = D.nowcast(df, ["c0", "c1", "c2"], "y", 1, "at", rounds=15, penalties=(0.01, 100.0))
+    rows = m.transform(df).orderBy("at").collect()
+    want = m.factors.standardised(x) @ np.linalg.pinv(m.factors.loadings).T
+    assert np.allclose([r.factor_1 for r in rows], want[:, 0]) and m.head.penalty == 0.01
+    off = np.array([r.p for r in m.transform(df).select("at", m.head.predict().alias("p")).orderBy("at").collect()]) - y
+    assert off.std() < 0.2 * y.std()
+    odd = spark.createDataFrame([(1, None, float("nan"), float("inf"), None)], df.schema)
+    assert m.transform(odd).first().factor_1 == 0.0

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.folders import materialize
+from tidewater.operators import ridge_head
 
 #: Least share of a column's variance that counts as noise: below, likelihoods cannot be told apart.
 LEAST_NOISE = 1e-9
@@ -48,6 +49,17 @@ class DynamicFactors:
     def standardised(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, self.low, self.high)
 
+    def project(self, df: DataFrame) -> DataFrame:
+        """``df`` with factor_1, ...: each row's standardised, clipped columns on the pseudo-inverse of the loadings; what is missing counts as the mean."""
+        inverse = np.linalg.pinv(self.loadings)
+        z = []
+        for c, m, s, low, high in zip(self.columns, self.mean, self.scale, self.low, self.high, strict=True):
+            x = (F.col(c).cast("double") - float(m)) / float(s)
+            x = F.when(F.abs(x) < float("inf"), x)
+            x = x if np.isinf(low) else F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
+            z.append(F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(0.0)))
+        return df.withColumns({f"factor_{k + 1}": sum((x * float(w) for x, w in zip(z[1:], inverse[k, 1:], strict=True)), z[0] * float(inverse[k, 0])) for k in range(len(inverse))})
+
     def transform(self, df: DataFrame, ts: str, key: str | None = None, smoothed: bool = False) -> DataFrame:
         """(key, ts, factor_1, ...): what is known of the factors at each time from values up to then, or from all if ``smoothed``."""
         k, model = self.loadings.shape[1], self
@@ -256,3 +268,21 @@ def fit(df: DataFrame, columns: list[str], k: int, ts: str, key: str | None = No
         improved(m, e, least)
     canonical(m)
     return m
+
+
+@dataclass
+class Nowcast:
+    """Factors, and a ridge on them beside the columns themselves; its penalty was chosen on later rows."""
+
+    factors: DynamicFactors
+    head: ridge_head.Head
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.factors.project(df)
+
+
+def nowcast(df: DataFrame, columns: list[str], y: str, k: int, ts: str, key: str | None = None, *, direct: bool = True, penalties: tuple[float, ...] = ridge_head.PENALTIES, **how) -> Nowcast:
+    """Fit the factors of ``columns`` by likelihood, then the head for ``y`` on each row's projection and, if ``direct``, the columns too."""
+    m = fit(df, columns, k, ts, key, **how)
+    inputs = [f"factor_{i + 1}" for i in range(m.loadings.shape[1])]
+    return Nowcast(m, ridge_head.chosen(m.project(df), [*inputs, *(columns if direct else [])], y, ts, penalties=penalties))

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators import boosting, calibrate, lag_fit, models
+from tidewater.operators import boosting, calibrate, dynamic_factors, lag_fit, models
 
 #: Days beyond which a source does not count as staler. Fixed value.
 STALEST = 31.0
@@ -49,7 +49,7 @@ def half_width(scale: float, recency: list[str], low: str | None = None, high: s
 @dataclass
 class Mixed:
     columns: list[str]
-    factors: models.Factors
+    factors: models.Factors | dynamic_factors.Nowcast
     midas: models.Linear
     trees: boosting.Booster
     low: str
@@ -70,17 +70,23 @@ class Mixed:
         return out.withColumn("low", F.col("forecast") - F.col("__half")).withColumn("high", F.col("forecast") + F.col("__half")).drop("__low", "__high", "__half")
 
 
-def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: int = 2, confidence: float = 0.9, given: dict[str, float] | None = None, optimise: bool = False, least_width: float = 1.0, least_scale: float = 1.0, trees: int = 100, depth: int = 5) -> Mixed:
-    """The three models on bridged lag columns (source -> its columns, not weighted before), their weights and the residual scale."""
+def fit(train: DataFrame, groups: dict[str, list[str]], y: str, *, n_factors: int = 2, confidence: float = 0.9, given: dict[str, float] | None = None, optimise: bool = False, least_width: float = 1.0, least_scale: float = 1.0, trees: int = 100, depth: int = 5, ts: str | None = None) -> Mixed:
+    """The three models on bridged lag columns (source -> its columns, not weighted before), their weights and the residual scale.
+
+    With ``ts``, the target dates, the factors are fitted by likelihood in their order
+    and the penalty of their head is chosen on later rows; without, they are principal
+    axes with a fixed penalty.
+    """
     if not 0 < confidence < 1 or least_width <= 0 or least_scale <= 0:
         raise ValueError("confidence is between 0 and 1, least_width and least_scale are positive")
     if train.where(F.col(y).isNull()).limit(1).count() or train.limit(1).count() == 0:
         raise ValueError("targets are empty or have gaps")
     columns, tail = [c for g in groups.values() for c in g], (1 - confidence) / 2
-    train = train.select(*columns, y).persist()  # a row a target date, read again for every tree
+    train = train.select(*columns, y, *([ts] if ts else [])).persist()  # a row a target date, read again for every tree
     quantiles = (round(tail, 6), 0.5, round(1 - tail, 6))
     grown = boosting.fit(train, columns, y, quantiles, trees=trees, depth=depth)
-    head = models.factors(train, columns, min(n_factors, len(columns)), y)
+    k = min(n_factors, len(columns))
+    head = dynamic_factors.nowcast(train, columns, y, k, ts, rounds=40) if ts else models.factors(train, columns, k, y)
     out = Mixed(columns, head, lag_fit.nonlinear_midas(train, groups, y), grown, f"q_{round(quantiles[0] * 100, 6):g}", f"q_{round(quantiles[2] * 100, 6):g}", least_width=least_width)
     known = out.components(train)
     out.weights = component_weights(known, y, COMPONENTS, given, optimise)

@@ -13,8 +13,9 @@ SEARCHABLE = ("name", "source", "frequency", "status", "vintage_date", "version"
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` replace rows of equal keys; the others stay. Of equal keys in ``rows`` the last in order of all other columns counts."""
-    rest = [c for c in rows.columns if c not in keys]
-    fresh = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest]) if rest else rows.distinct()
+    rest, kinds = [c for c in rows.columns if c not in keys], dict(rows.dtypes)
+    order = [F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in rest]  # maps have no order of their own
+    fresh = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest]) if rest else rows.distinct()
     return table.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -56,6 +57,23 @@ def delete(features: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return features.join(keys.select(*on), on, "left_anti")
 
 
+def update(table: DataFrame, changes: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in ``changes`` with the changed columns; a null there leaves the value as it is.
+
+    A key that ``changes`` has twice, or that the table has not, is an error, and so is
+    a column that the table has not.
+    """
+    if odd := set(changes.columns) - set(table.columns):
+        raise ValueError(f"no such columns: {sorted(odd)}")
+    if twice := changes.groupBy(*on).count().where("count > 1").limit(1).collect():
+        raise ValueError(f"changed twice: {twice[0].asDict()}")
+    if lost := changes.join(table, on, "left_anti").limit(1).collect():
+        raise KeyError(f"not found: {[lost[0][c] for c in on]}")
+    new = [c for c in changes.columns if c not in on]
+    given = changes.select(*on, *[F.col(c).alias(f"__{c}") for c in new])
+    return table.join(given, on, "left").select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns])
+
+
 def active(features: DataFrame) -> DataFrame:
     return features.where(F.col("status") == "active")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewater.folders import fresh
 from tidewater.operators import artifact_lineage, calibrate, folds, metrics
-from tidewater.plans.base import MONTHLY, monthly_orders, query, rounded, table
+from tidewater.plans.base import MONTHLY, day, monthly_orders, query, rounded, table
+from tidewater.sources import metadata
 from tidewater.sources.keyed_table import KeyedTable
 
 
@@ -79,3 +80,14 @@ def lineage_findings(spark, sf_dir):
     edges = up.union(segments.select("name", F.lit("SEGMENTS"))).union(ring)
     rollbacks = of.groupBy(F.col("n_name").alias("feature")).agg(F.avg("c_acctbal").alias("baseline"), (1.1 * F.avg("c_acctbal")).alias("rollback")).withColumn("allowed", F.lit(450.0))
     return artifact_lineage.findings(spark, models, features, edges, rollbacks)
+
+
+@query("""SELECT 'orders' AS source_name, strftime(o_orderdate, '%Y-%m-%d') AS vintage_date, count(*) AS row_count, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'failed' ELSE 'success' END AS status FROM orders GROUP BY 2""")
+def ingestion_log(spark, sf_dir):
+    """A log of loads, one a day of orders, recorded as running and again with its end, read back."""
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("vintage_date")).agg(F.count("*").alias("row_count"), F.when(F.count_if(F.col("o_orderstatus") == "F") > 0, "failed").otherwise("success").alias("status"))
+    days = days.select(F.lit("orders").alias("source_name"), F.col("vintage_date").cast("timestamp").alias("ingestion_timestamp"), "vintage_date", "row_count", "status")
+    base = fresh(spark, "metadata")
+    metadata.record(spark, base, "ingestion_log", days.drop("row_count").withColumn("status", F.lit("running")))
+    own = metadata.record(spark, base, "ingestion_log", days)
+    return own.read().select("source_name", day("vintage_date").alias("vintage_date"), "row_count", "status")

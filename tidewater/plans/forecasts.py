@@ -100,5 +100,17 @@ def quantile_forecast(spark, sf_dir):
 def mixed_forecast(spark, sf_dir):
     """Monthly order totals from the last days of two priorities: three models, their weighted mean, and an interval."""
     rows, groups, recency = mixed_rows(spark, sf_dir)
-    fitted = mixed.fit(rows, groups, "y", optimise=True)
+    fitted = mixed.fit(rows, groups, "y", optimise=True, ts="target")
     return fitted.predict(rows, recency).select(day("target").alias("target"), "y", "dfm", "midas", "xgboost", "forecast", "low", "high")
+
+
+@query()
+def factor_nowcast(spark, sf_dir):
+    """Monthly order totals by priority from two factors of four measures of the month before, and from the measures themselves."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.trunc("o_orderdate", "MM").alias("month"))
+    own = own.agg(F.sum("o_totalprice").alias("y"), F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean"), F.count_distinct("o_custkey").alias("customers"))
+    before = [F.lag(c).over(windows.over("series", "month")).alias(f"{c}_before") for c in ("y", "orders", "mean", "customers")]
+    rows = own.select("series", "month", "y", *before)
+    names = ["y_before", "orders_before", "mean_before", "customers_before"]
+    m = dynamic_factors.nowcast(rows, names, "y", 2, "month", "series", rounds=20)
+    return m.transform(rows).select("series", day("month").alias("month"), "y", m.head.predict().alias("nowcast"), F.lit(m.head.penalty).alias("penalty"))
