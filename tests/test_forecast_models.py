@@ -52,15 +52,15 @@ def plain_boost(x, y, q, edges, trees, depth, leaves, rate, least_leaf):
     return f
 
 
-@pytest.mark.parametrize("sent", [1024, 5])
-def test_boosting_equals_plain_trees(spark, sent):
+@pytest.mark.parametrize(("sent", "most_cells"), [(1024, 1000), (5, 1000), (1024, 0), (1024, 3)])
+def test_boosting_equals_plain_trees(spark, sent, most_cells):
     rng = np.random.default_rng(0)
     x = np.c_[rng.integers(0, 9, 500), np.round(rng.normal(size=500), 1), np.full(500, 3.0)]
     x[::17, 1] = np.nan
     y = x[:, 0] ** 2 + rng.normal(size=500) * (1 + x[:, 0]) + np.where(np.isnan(x[:, 1]), 5, 0)
     y[:60] = 7.0
     df = frame(spark, np.c_[x, y], ["a", "b", "same", "y"])
-    m = boosting.fit(df, ["a", "b", "same"], "y", (0.9, 0.1, 0.5), trees=4, depth=3, leaves=6, rate=0.3, bins=100, least_leaf=10, keep_every=2, sent=sent, parts=8)  # leaves of more rows are narrowed down
+    m = boosting.fit(df, ["a", "b", "same"], "y", (0.9, 0.1, 0.5), trees=4, depth=3, leaves=6, rate=0.3, bins=100, least_leaf=10, keep_every=2, sent=sent, parts=8, most_cells=most_cells)  # leaves of more rows are narrowed down
     assert m.quantiles == (0.1, 0.5, 0.9)
     codes = np.stack([np.where(np.isnan(c), len(e) + 1, np.searchsorted(e, c, "left")) for c, e in zip(x.T, m.edges, strict=True)], 1).astype(np.uint8)
     got = m.forecasts(codes)

@@ -335,11 +335,9 @@ def test_stability():
     assert models.stable(models.companion([np.eye(2) * 0.5, np.eye(2) * 0.1])) and not models.stable(np.eye(2))
 
 
-def test_quantile_forecast_is_the_whole_model(spark, monkeypatch):
+def test_quantile_forest_refits_each_quantile(spark, monkeypatch):
     from pyspark.ml.regression import GBTRegressor
 
-    from tidewater.plans import models as plans
-
     fits = []
     small = GBTRegressor.fit
 
@@ -348,5 +346,23 @@ def test_quantile_forecast_is_the_whole_model(spark, monkeypatch):
         return small(self.setMaxIter(1).setMaxDepth(1), rows.limit(20))
 
     monkeypatch.setattr(GBTRegressor, "fit", fit)
-    out = plans.quantile_forecast(spark, "/root/testdata/sf0.001")
-    assert fits == [(100, 5)] * 15 and out.columns == ["series", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"]
+    rows = spark.createDataFrame([(float(i % 7), float(i)) for i in range(60)], "x double, y double")
+    out = models.predict_quantiles(rows, models.quantile_forest(rows, ["x"], "y"))
+    assert fits == [(100, 5)] * 15 and out.columns == ["x", "y", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"] and out.count() == 60
+
+
+def test_quantile_forecast_is_the_whole_model(spark, monkeypatch):
+    from tidewater.operators import boosting
+    from tidewater.plans import forecasts
+
+    asked = []
+    whole, usual, named = boosting.fit, boosting.fit.__defaults__, boosting.fit.__kwdefaults__
+
+    def fit(df, columns, y, quantiles=usual[0], **how):
+        asked.append((len(quantiles), (named | how)["trees"], (named | how)["depth"], df.count()))
+        return whole(df, columns, y, quantiles, **{**how, "trees": 2})
+
+    monkeypatch.setattr(forecasts.boosting, "fit", fit)
+    out = forecasts.quantile_forecast(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["series", "q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95"] and out.count() == 5
+    assert asked == [(7, 100, 5, spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count())]

@@ -1,8 +1,11 @@
 """Boosted histogram trees for many quantiles at once, with the pinball loss.
 
-Columns are binned once. A level of the trees of all quantiles takes one job, in
-which every task counts, for its rows, how many lie above the present forecast by
-(quantile, node, column, bin): whole numbers that add up in any order. A leaf's value
+Columns are binned once, and a task keeps its rows by cell: rows whose bins are all
+equal have equal forecasts for ever, so a tree asks only how many rows of a cell lie
+above its forecast. If a table has few cells, one job a tree gathers these counts and
+all levels are grown from them. Else a level of the trees of all quantiles takes one
+job, in which every task adds up its cells by (quantile, node, column, bin). Both are
+whole numbers that add up in any order, and give the same trees. A leaf's value
 is the exact quantile of its residuals; small leaves send them, large ones are
 narrowed down by counts first, so what reaches the driver has a bound.
 
@@ -26,6 +29,8 @@ from tidewater.folders import fresh, materialize
 
 #: Residuals of a leaf that are sent as they are, and parts into which the range of more is cut at a time.
 SENT, PARTS = 1024, 256
+#: Different cells up to which their counts are gathered.
+MOST_CELLS = 20_000
 #: Rows of a block, and of a task: there are hundreds of short jobs, so small tables get few tasks.
 BLOCK_ROWS, TASK_ROWS = 50_000, 25_000
 
@@ -135,14 +140,50 @@ def edges_of(df: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
     return out
 
 
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # cells, where each begins, targets, forecasts and rows above by (quantile, cell)
+
+
+def _by_cell(codes: np.ndarray, y: np.ndarray, quantiles: int) -> Block:
+    cells, of = np.unique(codes, axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(of.ravel(), minlength=len(cells)))]
+    f = np.zeros((quantiles, len(cells)))
+    return cells, start, y[order], f, _above(y[order], start, f)
+
+
+def _above(y: np.ndarray, start: np.ndarray, f: np.ndarray) -> np.ndarray:
+    n = np.diff(start)
+    return np.stack([np.add.reduceat((y > np.repeat(own, n)).astype(np.int64), start[:-1]) for own in f]) if len(n) else np.zeros(f.shape, np.int64)
+
+
+def _gathered(state: RDD, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All different cells with their rows and rows above the forecast, if there are at most ``most``."""
+
+    def merged(parts: list[tuple]) -> tuple | None:
+        if not parts or any(p is None for p in parts):
+            return None if parts else ()
+        parts = [p for p in parts if p]
+        if not parts:
+            return ()
+        cells, of = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
+        if len(cells) > most:
+            return None
+        n, above = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], axis=1)
+        add = lambda v: np.bincount(of.ravel(), v, len(cells)).astype(np.int64)  # noqa: E731  exact below 2**53
+        return cells, add(n), np.stack([add(v) for v in above])
+
+    own = state.mapPartitions(lambda blocks: [merged([(b[0], np.diff(b[1]), b[4]) for b in blocks])])
+    return own.treeReduce(lambda a, b: merged([a, b])) or None
+
+
 def _level(trees: list[Tree], open_nodes: list[list[int]], quantiles: tuple[float, ...], bins: int):
-    """Of a block: rows, and rows above the forecast, by (quantile, open node, column, bin)."""
+    """Of cells: rows, and rows above the forecast, by (quantile, open node, column, bin)."""
 
-    def count(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+    def count(blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         most = max(map(len, open_nodes))
         out = None
-        for codes, y, f in blocks:
-            k = codes.shape[1]
+        for cells, rows, above in blocks:
+            k = cells.shape[1]
             if out is None:
                 out = np.zeros((2, len(quantiles), most, k, bins), np.int64)
             for q, (tree, nodes) in enumerate(zip(trees, open_nodes, strict=True)):
@@ -150,13 +191,12 @@ def _level(trees: list[Tree], open_nodes: list[list[int]], quantiles: tuple[floa
                     continue
                 place = np.full(len(tree.column), -1)
                 place[nodes] = np.arange(len(nodes))
-                at = place[tree.nodes(codes)]
+                at = place[tree.nodes(cells)]
                 own = at >= 0
-                above = (y > f[q])[own]
                 for c in range(k):
-                    key = at[own] * bins + codes[own, c]
-                    out[0, q, :, c] += np.bincount(key, minlength=most * bins)[: most * bins].reshape(most, bins)
-                    out[1, q, :, c] += np.bincount(key[above], minlength=most * bins)[: most * bins].reshape(most, bins)
+                    key = at[own] * bins + cells[own, c]
+                    for side, weight in ((0, rows), (1, above[q])):
+                        out[side, q, :, c] += np.bincount(key, weight[own], most * bins).astype(np.int64).reshape(most, bins)
         if out is not None:
             yield out
 
@@ -190,19 +230,27 @@ def _leaf_quantiles(blocks: RDD, trees: list[Tree], quantiles: tuple[float, ...]
     """The exact quantile of residuals of each leaf, between its two neighbours in proportion."""
     leaves = [t.leaves() for t in trees]
 
-    def extent(rows: Iterator[tuple]) -> Iterator[dict]:
+    def residuals(block: Block, q: int, tree: Tree) -> Iterator[tuple[int, np.ndarray]]:
+        """Of a block: the residuals of each leaf."""
+        cells, start, y, f, _ = block
+        n = np.diff(start)
+        at = np.repeat(tree.nodes(cells).astype(np.uint16), n)
+        order = np.argsort(at, kind="stable")
+        r = (y - np.repeat(f[q], n))[order]
+        at = at[order]
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False):
+            yield int(at[a]), r[a:b]
+
+    def extent(rows: Iterator[Block]) -> Iterator[dict]:
         out: dict = {}
-        for codes, y, f in rows:
+        for block in rows:
             for q, tree in enumerate(trees):
-                at, r = tree.nodes(codes), y - f[q]
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0]) if len(at) else []
-                for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False):
-                    own = r[order[a:b]]
-                    n, low, high, sent = out.get((q, int(at[order[a]])), (0, np.inf, -np.inf, []))
+                for leaf, own in residuals(block, q, tree):
+                    n, low, high, sent = out.get((q, leaf), (0, np.inf, -np.inf, []))
                     n += len(own)
                     sent = None if sent is None or n > most else [*sent, own]
-                    out[q, int(at[order[a]])] = (n, min(low, own.min()), max(high, own.max()), sent)
+                    out[q, leaf] = (n, min(low, own.min()), max(high, own.max()), sent)
         yield out
 
     def joined(a: dict, b: dict) -> dict:
@@ -229,16 +277,20 @@ def _leaf_quantiles(blocks: RDD, trees: list[Tree], quantiles: tuple[float, ...]
     while targets:
         now = {k: (low, high) for k, (_, low, high) in targets.items()}
 
-        def narrow(rows: Iterator[tuple], now: dict = now) -> Iterator[dict]:
+        def narrow(rows: Iterator[Block], now: dict = now) -> Iterator[dict]:
             found: dict = {}
-            for codes, y, f in rows:
-                at, r = [t.nodes(codes) for t in trees], [y - f[q] for q in range(len(trees))]
-                for (q, leaf, side), (low, high) in now.items():
-                    own = r[q][(at[q] == leaf) & (r[q] >= low) & (r[q] <= high)]
-                    hist = np.bincount(np.searchsorted(_cuts(low, high, parts), own, "right"), minlength=parts)
-                    had = found.get((q, leaf, side))
-                    sent = own if had is None else None if had[1] is None else np.concatenate([had[1], own])
-                    found[q, leaf, side] = (hist if had is None else had[0] + hist, sent if sent is not None and len(sent) <= most else None)
+            for block in rows:
+                for q, tree in enumerate(trees):
+                    for leaf, r in residuals(block, q, tree):
+                        for side in (0, 1):
+                            if (key := (q, leaf, side)) not in now:
+                                continue
+                            low, high = now[key]
+                            own = r[(r >= low) & (r <= high)]
+                            hist = np.bincount(np.searchsorted(_cuts(low, high, parts), own, "right"), minlength=parts)
+                            had = found.get(key)
+                            sent = own if had is None else None if had[1] is None else np.concatenate([had[1], own])
+                            found[key] = (hist if had is None else had[0] + hist, sent if sent is not None and len(sent) <= most else None)
             yield found
 
         def added(a: dict, b: dict) -> dict:
@@ -279,7 +331,7 @@ def _cuts(low: float, high: float, parts: int) -> np.ndarray:
     return np.maximum.accumulate(np.clip(low + (high - low) * (np.arange(1, parts) / parts), low, high))
 
 
-def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95), *, trees: int = 100, depth: int = 5, leaves: int = 31, rate: float = 0.1, bins: int = 64, least_leaf: int = 20, keep_every: int = 50, partitions: int | None = None, sent: int = SENT, parts: int = PARTS) -> Booster:
+def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95), *, trees: int = 100, depth: int = 5, leaves: int = 31, rate: float = 0.1, bins: int = 64, least_leaf: int = 20, keep_every: int = 50, partitions: int | None = None, sent: int = SENT, parts: int = PARTS, most_cells: int = MOST_CELLS) -> Booster:
     """Fit the trees of all quantiles side by side.
 
     The first forecast is the exact quantile of all targets. A leaf has ``least_leaf``
@@ -307,9 +359,9 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
     binned = materialize((rows if partitions is None else rows.repartition(partitions)).mapInArrow(blocks_of, "codes binary, y binary"), "binned")
     k = len(columns)
 
-    def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def opened(r) -> Block:
         y = np.frombuffer(r["y"], float)
-        return np.frombuffer(r["codes"], np.uint8).reshape(len(y), k), y, np.zeros((len(quantiles), len(y)))
+        return _by_cell(np.frombuffer(r["codes"], np.uint8).reshape(len(y), k), y, len(quantiles))
 
     total = (binned.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
     if not total:
@@ -320,14 +372,23 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
     begin = np.array([own[0] for own in _leaf_quantiles(state, whole, quantiles, sent, parts)])
     model = Booster(columns, edges, quantiles, begin, rate)
     state, last = _moved(state, [Tree(value=[float(v)]) for v in begin], 1.0), state
+    few = most_cells > 0
     for number in range(trees):
+        whole_counts = _gathered(state, most_cells) if few else None
+        few = whole_counts is not None
+        if few:
+            last.unpersist()  # the counts have read the forecasts that were made of it
         grown = [Tree() for _ in quantiles]
         open_nodes = [[0] for _ in quantiles]
         for _ in range(depth):
             if not any(open_nodes):
                 break
-            counts = state.mapPartitions(_level(grown, open_nodes, quantiles, width)).treeReduce(np.add)
-            last.unpersist()  # this level has read the forecasts that were made of it
+            count = _level(grown, open_nodes, quantiles, width)
+            if few:
+                counts = next(count(iter([whole_counts])))
+            else:
+                counts = state.map(lambda b: (b[0], np.diff(b[1]), b[4])).mapPartitions(count).treeReduce(np.add)
+                last.unpersist()
             for q, best in enumerate(_splits(counts, quantiles, least_leaf)):
                 after = []
                 room = leaves - len(grown[q].leaves())
@@ -357,8 +418,9 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
 def _moved(state: RDD, trees: list[Tree], rate: float) -> RDD:
     """Blocks whose forecasts have taken a step."""
 
-    def step(block: tuple) -> tuple:
-        codes, y, f = block
-        return codes, y, np.stack([f[q] + rate * np.array(t.value)[t.nodes(codes)] for q, t in enumerate(trees)])
+    def step(block: Block) -> Block:
+        cells, start, y, f, _ = block
+        f = np.stack([f[q] + rate * np.array(t.value)[t.nodes(cells)] for q, t in enumerate(trees)])
+        return cells, start, y, f, _above(y, start, f)
 
     return state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
