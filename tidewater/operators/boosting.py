@@ -151,6 +151,11 @@ def _by_cell(codes: np.ndarray, y: np.ndarray, quantiles: int) -> Block:
     return cells, start, y[order], f, _above(y[order], start, f)
 
 
+def _reduced(parts: RDD, add):
+    """The parts of all tasks as one: by the driver if there are few, else in a tree of tasks."""
+    return parts.reduce(add) if parts.getNumPartitions() <= 32 else parts.treeReduce(add)
+
+
 def _above(y: np.ndarray, start: np.ndarray, f: np.ndarray) -> np.ndarray:
     n = np.diff(start)
     return np.stack([np.add.reduceat((y > np.repeat(own, n)).astype(np.int64), start[:-1]) for own in f]) if len(n) else np.zeros(f.shape, np.int64)
@@ -173,7 +178,7 @@ def _gathered(state: RDD, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         return cells, add(n), np.stack([add(v) for v in above])
 
     own = state.mapPartitions(lambda blocks: [merged([(b[0], np.diff(b[1]), b[4]) for b in blocks])])
-    return own.treeReduce(lambda a, b: merged([a, b])) or None
+    return _reduced(own, lambda a, b: merged([a, b])) or None
 
 
 def _level(trees: list[Tree], open_nodes: list[list[int]], quantiles: tuple[float, ...], bins: int):
@@ -259,7 +264,7 @@ def _leaf_quantiles(blocks: RDD, trees: list[Tree], quantiles: tuple[float, ...]
             a[k] = (n + m, min(low, l2), max(high, h2), None if sent is None or s2 is None or n + m > most else [*s2, *sent])
         return a
 
-    found = blocks.mapPartitions(extent).treeReduce(joined)
+    found = _reduced(blocks.mapPartitions(extent), joined)
     out: list[dict[int, float]] = [dict.fromkeys(own, 0.0) for own in leaves]
     wanted: dict[tuple[int, int], list[float]] = {}
     targets: dict[tuple[int, int, int], list] = {}  # (quantile, leaf, which neighbour) -> [place inside, low, high]
@@ -303,7 +308,7 @@ def _leaf_quantiles(blocks: RDD, trees: list[Tree], quantiles: tuple[float, ...]
                     a[k] = (hist, sent)
             return a
 
-        for key, (hist, sent) in blocks.mapPartitions(narrow).treeReduce(added).items():
+        for key, (hist, sent) in _reduced(blocks.mapPartitions(narrow), added).items():
             place, low, high = targets[key]
             if sent is not None:
                 values[key] = float(np.sort(sent)[place])
@@ -356,18 +361,20 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
                 own = batch.slice(a, BLOCK_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array([coded(own, names, edges).tobytes()]), pa.array([np.array(own.column("y").to_numpy(zero_copy_only=False), float).tobytes()])], ["codes", "y"])
 
-    binned = materialize((rows if partitions is None else rows.repartition(partitions)).mapInArrow(blocks_of, "codes binary, y binary"), "binned")
+    total = rows.count()
+    if not total:
+        raise ValueError("no rows to fit")
+    tasks = partitions or min(spark.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    dealt = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows  # one small file is one task else
+    binned = materialize(dealt.mapInArrow(blocks_of, "codes binary, y binary"), "binned")
     k = len(columns)
 
     def opened(r) -> Block:
         y = np.frombuffer(r["y"], float)
         return _by_cell(np.frombuffer(r["codes"], np.uint8).reshape(len(y), k), y, len(quantiles))
 
-    total = (binned.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
-    if not total:
-        raise ValueError("no rows to fit")
     blocks = binned.rdd
-    state = blocks.coalesce(min(blocks.getNumPartitions(), -(-total // TASK_ROWS))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.coalesce(min(blocks.getNumPartitions(), max(tasks, -(-total // TASK_ROWS)))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
     whole = [Tree() for _ in quantiles]
     begin = np.array([own[0] for own in _leaf_quantiles(state, whole, quantiles, sent, parts)])
     model = Booster(columns, edges, quantiles, begin, rate)
@@ -387,7 +394,7 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
             if few:
                 counts = next(count(iter([whole_counts])))
             else:
-                counts = state.map(lambda b: (b[0], np.diff(b[1]), b[4])).mapPartitions(count).treeReduce(np.add)
+                counts = _reduced(state.map(lambda b: (b[0], np.diff(b[1]), b[4])).mapPartitions(count), np.add)
                 last.unpersist()
             for q, best in enumerate(_splits(counts, quantiles, least_leaf)):
                 after = []
