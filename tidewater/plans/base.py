@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def day(c: str | Column) -> Column:
-    """A date as text: the same in every engine."""
-    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd")
+    """A date as text: the same in every engine, so years over 9999 have no sign. By way of the date, as no timestamp reaches the last ones."""
+    return F.ltrim((F.col(c) if isinstance(c, str) else c).cast("date").cast("string"), F.lit("+"))
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
