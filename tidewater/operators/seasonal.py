@@ -164,15 +164,17 @@ def month_regressors(months: DataFrame, events: DataFrame, *, month: str = "mont
     return joined.join(steps, F.col(month) == F.col("__m"), "left").withColumn("effect", effect).drop("__a", "__b", "__m", "__i", "__n")
 
 
-def strike_impact(events: DataFrame, *, least_workers: int = 10_000, least_days: int = 7, most: float = 10.0) -> DataFrame:
-    """(month, impact): sum over months covered of workers / 10000, at most 10. Events: start_date, end_date, workers_involved, days_duration.
+def strike_impact(events: DataFrame, *, least_workers: int = 10_000, least_days: int = 7, most: float | None = 10.0) -> DataFrame:
+    """(month, impact): sum over months covered of workers / 10000, at most ``most`` (None: no cap). Events: start_date, end_date, workers_involved, days_duration.
 
     An event without an end, or with one before its start, covers the month it starts in.
+    Workers are added up before they are divided: whole numbers give exact sums.
     """
     own = events.where((F.col("workers_involved") >= least_workers) & (F.col("days_duration") >= least_days) & F.col("start_date").isNotNull())
     last = F.greatest(F.coalesce("end_date", "start_date"), F.col("start_date"))
     months = own.withColumn("month", F.explode(F.sequence(F.trunc("start_date", "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))))
-    return months.groupBy("month").agg(F.least(F.lit(most), F.sum(F.col("workers_involved") / 10_000)).alias("impact"))
+    impact = F.sum("workers_involved") / 10_000
+    return months.groupBy("month").agg((impact if most is None else F.least(F.lit(most), impact)).alias("impact"))
 
 
 #: Severity of weather by type; others have 1. Fixed values.

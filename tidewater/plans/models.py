@@ -73,7 +73,7 @@ def event_overlap(spark, sf_dir):
     start = F.col("l_shipdate").cast("date")
     end = F.when(F.col("l_tax") > 0, F.date_add(start, F.col("l_quantity").cast("int") * 2))
     events = table(spark, sf_dir, "lineitem").select(start.alias("start_date"), end.alias("end_date"), (F.col("l_partkey") * 20).alias("workers_involved"), F.col("l_suppkey").alias("days_duration"))
-    return rounded(seasonal.strike_impact(events, most=1e9), 6, "impact").withColumn("month", day("month"))
+    return rounded(seasonal.strike_impact(events, most=None), 6, "impact").withColumn("month", day("month"))
 
 
 @query("""WITH e AS (SELECT l_shipdate::DATE AS a, CASE WHEN l_tax > 0 THEN l_shipdate::DATE + l_quantity::INT * 2 END AS b, l_partkey * 20 AS w, l_suppkey AS n FROM lineitem),
