@@ -43,11 +43,15 @@ def calibration_gain(spark, sf_dir):
 def keyed_upserts(spark, sf_dir):
     """A keyed table after two rounds of upserts, read back: all orders, then changed and new ones."""
     own = table(spark, sf_dir, "orders")
-    kept = KeyedTable(spark, fresh(spark, "keyed"), ["id"], buckets=16)
-    kept.upsert(own.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), F.lit(1).alias("round")))
-    changed = own.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), (2 * F.col("o_totalprice")).alias("value"), F.lit(2).alias("round"))
-    kept.upsert(changed.union(own.where("o_orderpriority = '1-URGENT'").select(-F.col("o_orderkey"), "o_totalprice", F.lit(2))))
-    return kept.read()
+    kept = KeyedTable(spark, fresh(spark, "keyed"), ["id", "new"], buckets=16)  # the new row of order 0 has its number, but is another row
+
+    def rows(orders, number, value, new: bool, round_: int):
+        return orders.select(number.alias("id"), value.alias("value"), F.lit(round_).alias("round"), F.lit(new).alias("new"))
+
+    number, price = F.col("o_orderkey"), F.col("o_totalprice")
+    kept.upsert(rows(own, number, price, False, 1))
+    kept.upsert(rows(own.where("o_orderstatus = 'F'"), number, 2 * price, False, 2).union(rows(own.where("o_orderpriority = '1-URGENT'"), -number, price, True, 2)))
+    return kept.read().drop("new")
 
 
 _USED = """c AS (SELECT 'c' || c_custkey AS model, c_custkey AS k, n_name AS nation, r_name AS region, n_regionkey + 1 AS version, c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN '2024-02-01' ELSE '2024-01-01' END AS vintage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
