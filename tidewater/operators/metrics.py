@@ -55,6 +55,11 @@ def log_loss(y, p) -> Column:
     return -F.avg(_c(y) * F.log(q) + (1 - _c(y)) * F.log(1 - q))
 
 
+def sharpness(p) -> Column:
+    """How far probabilities spread: their deviation over all rows. Of intervals see interval_sharpness."""
+    return F.stddev_pop(_c(p))
+
+
 def interval_sharpness(df: DataFrame, low: str, high: str, by: list[str] | None = None) -> DataFrame:
     """(by, n, mean_width, median_width, std_width, min_width, max_width, cv_width) of intervals.
 

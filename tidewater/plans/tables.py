@@ -215,11 +215,11 @@ def calibration_error(spark, sf_dir):
     return rounded(metrics.calibration_error(_probable(spark, sf_dir), "y", "p"), 8, "ece", "mce")
 
 
-@query(f"""WITH {_PROBABLE} SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 8) AS log_loss FROM p""")
+@query(f"""WITH {_PROBABLE} SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 8) AS log_loss, round(stddev_pop(p), 8) AS sharpness FROM p""")
 def probability_scores(spark, sf_dir):
-    """Brier score and log loss."""
-    out = _probable(spark, sf_dir).agg(metrics.brier("y", "p").alias("brier"), metrics.log_loss("y", "p").alias("log_loss"))
-    return rounded(out, 8, "brier", "log_loss")
+    """Brier score, log loss, and sharpness of the probabilities: their deviation."""
+    out = _probable(spark, sf_dir).agg(metrics.brier("y", "p").alias("brier"), metrics.log_loss("y", "p").alias("log_loss"), metrics.sharpness("p").alias("sharpness"))
+    return rounded(out, 8, "brier", "log_loss", "sharpness")
 
 
 @query("""WITH w AS (SELECT l_returnflag, 0.2 * l_extendedprice + 100 * l_linenumber AS w FROM lineitem)
