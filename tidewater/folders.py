@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -36,3 +37,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` made once, and broadcast in joins if it has at most ``most`` rows: a join with few keys then sends no rows of the other side anywhere."""
+    own = materialize(df, "small")
+    return F.broadcast(own) if own.count() <= most else own

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.folders import small
 from tidewater.operators import isotonic as rising_fit
-from tidewater.operators import order
+from tidewater.operators import nearby, order
 
 
 def conformal_width(df: DataFrame, y: str, f: str, level: float = 0.9, by: list[str] | None = None) -> DataFrame:
@@ -23,32 +24,22 @@ def conformal_intervals(df: DataFrame, calibration: DataFrame, y: str, f: str, l
     return df.join(F.broadcast(width)).withColumn("low", F.col(f) - F.col("width")).withColumn("high", F.col(f) + F.col("width")).drop("width")  # one row
 
 
-#: Calibration rows that adaptive widths can have; each forecast is held against all of them.
-MOST_CALIBRATION = 20_000
-
-
 def adaptive_width(df: DataFrame, calibration: DataFrame, y: str, f: str, level: float = 0.9, gamma: float = 0.1, mix: float = 0.7, quantile: float = 0.9) -> DataFrame:
     """``df`` with ``width``: wider where calibration rows with forecasts near this one had large residuals.
 
     ``mix`` of the residual at ``quantile`` of the calibration rows' weights, sorted
     by residual, and the rest of the plain width. A row weighs
     exp(-|its forecast - this forecast| / (gamma * deviation of its forecasts)).
-    The calibration set is one window of one model: over MOST_CALIBRATION rows are
-    an error. A deviation of 0 weighs all rows alike.
+    The calibration set can have any size. A deviation of 0 weighs all rows alike; a
+    forecast near no row, or a missing one, takes the largest residual.
     """
-    own = calibration.select(F.abs(F.col(y) - F.col(f)).alias("r"), F.col(f).cast("double").alias("p")).where("r is not null")
-    n = own.count()
-    if n > MOST_CALIBRATION:
-        raise ValueError(f"{n} calibration rows; adaptive widths take {MOST_CALIBRATION}")
+    own = calibration.select(F.abs(F.col(y) - F.col(f)).cast("double").alias("r"), F.col(f).cast("double").alias("p")).where("r is not null")
+    asked = df.select((F.col(f).cast("double") + 0.0).alias("f")).where("f is not null and not isnan(f)").distinct()
+    near, last = nearby.quantiles(own, asked, quantile, gamma)
+    near = small(near.select(F.col("f").alias("__f"), F.col("r").alias("__r")))
     plain = conformal_width(calibration, y, f, level)
-    held = own.agg(F.sort_array(F.collect_list(F.struct("r", "p"))).alias("__c"), F.stddev_pop("p").alias("__s")).join(F.broadcast(plain))  # one row each
-    scale = gamma * F.col("__s")
-    weights = F.transform("__c", lambda c: F.when(scale == 0, 1.0).otherwise(F.exp(-F.abs(c["p"] - F.col(f)) / scale)))
-    rows = df.join(F.broadcast(held)).withColumn("__w", weights).withColumn("__t", F.aggregate("__w", F.lit(0.0), lambda a, w: a + w) + 1e-10)
-    # How many rows lie before the quantile: their running share is below it.
-    seen = F.aggregate("__w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("before")), lambda a, w: F.struct((a["sum"] + w / F.col("__t")).alias("sum"), (a["before"] + (a["sum"] + w / F.col("__t") < quantile).cast("int")).alias("before")))
-    at = F.least(seen["before"], F.size("__c") - 1)
-    return rows.withColumn("width", mix * F.get("__c", at)["r"] + (1 - mix) * F.col("width")).drop("__c", "__s", "__w", "__t")
+    rows = df.join(F.broadcast(plain)).join(near, F.col(f).cast("double") == F.col("__f"), "left")  # one row
+    return rows.withColumn("width", mix * F.coalesce("__r", F.lit(last).cast("double")) + (1 - mix) * F.col("width")).drop("__f", "__r")
 
 
 def coverage_by_stratum(df: DataFrame, y: str, f: str, low: str, high: str, strata: int = 5) -> DataFrame:
