@@ -1,4 +1,4 @@
-"""Scalers fitted in Spark: each fit is one aggregate, each transform a projection.
+"""Scalers fitted in Spark: moments and ends in one aggregate, exact quantiles by range, each transform a projection.
 
 A scaler is fitted on the rows it is given; keeping later rows out is up to the
 caller.
@@ -25,6 +25,13 @@ class Scaler:
     def measures(self, c: str) -> tuple[Column, Column]:
         raise NotImplementedError
 
+    def shares(self) -> tuple[float, ...]:
+        """The quantiles that are measured, where no plain aggregate is."""
+        return ()
+
+    def of_quantiles(self, cuts: list[float]) -> tuple[float, float]:
+        raise NotImplementedError
+
     def finish(self, a: float, b: float) -> tuple[float, float]:
         """(shift, scale); a scale of 0 counts as 1."""
         return a, b or 1.0
@@ -62,6 +69,12 @@ class RobustScaler(Scaler):
     def measures(self, c):
         return F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
 
+    def shares(self):
+        return 0.25, 0.5, 0.75
+
+    def of_quantiles(self, cuts):
+        return cuts[1], cuts[2] - cuts[0]
+
 
 @dataclass
 class Winsorizer(Scaler):
@@ -73,6 +86,12 @@ class Winsorizer(Scaler):
     def measures(self, c):
         return F.percentile(c, F.lit(self.lower)), F.percentile(c, F.lit(self.upper))
 
+    def shares(self):
+        return self.lower, self.upper
+
+    def of_quantiles(self, cuts):
+        return cuts[0], cuts[1]
+
     def finish(self, a, b):
         return a, b
 
@@ -106,12 +125,21 @@ class ScalerPipeline:
 
 
 def fit_together(scalers: list[Scaler], df: DataFrame) -> list[Scaler]:
-    """Fit scalers that don't build on each other in one pass over ``df``."""
-    row = df.agg(*[m.alias(f"{s}:{c}:{k}") for s, scaler in enumerate(scalers) for c in scaler.columns for k, m in enumerate(scaler.measures(c))]).first()
-    for s, scaler in enumerate(scalers):
-        for c in scaler.columns:
-            a, b = row[f"{s}:{c}:0"], row[f"{s}:{c}:1"]
-            scaler.learned[c] = scaler.finish(0.0 if a is None else a, 0.0 if b is None else b)
+    """Fit scalers that don't build on each other: one pass over ``df`` for all aggregates, and one a column for its quantiles, which no single task holds."""
+    found: dict[tuple[int, str], tuple[float | None, float | None]] = {}
+    plain = [(s, c) for s, scaler in enumerate(scalers) if not scaler.shares() for c in scaler.columns]
+    if plain:
+        row = df.agg(*[m.alias(f"{s}:{c}:{k}") for s, c in plain for k, m in enumerate(scalers[s].measures(c))]).first()
+        found |= {(s, c): (row[f"{s}:{c}:0"], row[f"{s}:{c}:1"]) for s, c in plain}
+    wanted = [(s, c) for s, scaler in enumerate(scalers) if scaler.shares() for c in scaler.columns]
+    for column in dict.fromkeys(c for _, c in wanted):
+        own = [s for s, c in wanted if c == column]
+        cuts = order.quantiles(df.select(F.col(column).alias("__v")), "__v", [q for s in own for q in scalers[s].shares()]).first()["quantile"]
+        for s in own:
+            mine, cuts = cuts[: len(scalers[s].shares())], cuts[len(scalers[s].shares()) :]
+            found[s, column] = (None, None) if None in mine else scalers[s].of_quantiles(mine)
+    for (s, c), (a, b) in found.items():
+        scalers[s].learned[c] = scalers[s].finish(0.0 if a is None else a, 0.0 if b is None else b)
     return scalers
 
 
