@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.folders import materialize
+from tidewater.folders import materialize, small
 
 
 def placed(df: DataFrame, order: list[str], n: str = "n") -> DataFrame:
@@ -50,7 +50,7 @@ def at_places(df: DataFrame, value: str, by: list[str], places: Column, within:
     keys = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
     ends = rows.groupBy(*by).agg(F.sum("__n").alias(within), F.min("before").alias("__first"))
     ends = ends.select(*[F.col(c).alias(f"__{c}") for c in by], within, "__first", places.alias("__places"))
-    joined = rows.join(ends, keys) if by else rows.join(F.broadcast(ends))  # one row
+    joined = rows.join(small(ends), keys) if by else rows.join(F.broadcast(ends))  # one row
     own = F.col("before") - F.col("__first")
     found = F.filter(F.transform("__places", lambda p: p.cast("long")), lambda p: (p >= own) & (p < own + F.col("__n")))
     return joined.select(*by, value, within, "__places", F.explode(found).alias("place"))

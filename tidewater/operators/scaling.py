@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.folders import small
 from tidewater.operators import order
 
 
@@ -146,7 +147,7 @@ def fit_together(scalers: list[Scaler], df: DataFrame) -> list[Scaler]:
 def by_series(df: DataFrame, key: str, value: str, measure: Callable[[str], tuple[Column, Column]], into: str) -> DataFrame:
     """(value - shift) / scale with both measured in each series: one aggregate and a join on the series."""
     a, b = measure(value)
-    learned = df.groupBy(key).agg(a.alias("__a"), b.alias("__b"))
+    learned = small(df.groupBy(key).agg(a.alias("__a"), b.alias("__b")))
     scale = F.when(F.coalesce(F.col("__b"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("__b"))
     return df.join(learned, key).withColumn(into, (F.col(value) - F.col("__a")) / scale).drop("__a", "__b")
 
@@ -155,11 +156,12 @@ def scores_by_series(df: DataFrame, key: str, value: str) -> DataFrame:
     """``df`` with ``z``, the distance from the series' mean in deviations (n - 1), and ``robust``, that from its median in quartile distances.
 
     Both come from one table of the series and one join; the quartiles are found by
-    range, so no task holds a series. A spread of 0, or of one row, counts as 1.
+    range, and few series are broadcast, so no task holds a series. A spread of 0, or of
+    one row, counts as 1.
     """
     sums = df.groupBy(F.col(key).alias("__key")).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__spread"))
     cuts = order.quantiles(df.select(key, value), value, [0.25, 0.5, 0.75], [key], "__q").select(F.col(key).alias("__own"), "__q")
-    learned = sums.join(cuts, F.col("__key").eqNullSafe(F.col("__own")), "left").drop("__own")
+    learned = small(sums.join(cuts, F.col("__key").eqNullSafe(F.col("__own")), "left").drop("__own"))
     one = lambda c: F.when(F.coalesce(c, F.lit(0.0)) == 0, 1.0).otherwise(c)
     out = df.join(learned, F.col(key).eqNullSafe(F.col("__key")))
     scores = {"z": (F.col(value) - F.col("__mean")) / one(F.col("__spread")), "robust": (F.col(value) - F.col("__q")[1]) / one(F.col("__q")[2] - F.col("__q")[0])}
