@@ -36,8 +36,16 @@ def day(c: str | Column) -> Column:
     return F.ltrim((F.col(c) if isinstance(c, str) else c).cast("date").cast("string"), F.lit("+"))
 
 
+def nearest(value: Column, digits: int) -> Column:
+    """A double rounded as the SQL does it: the whole number nearest to the product, divided again. F.round goes by the decimals the value is printed with, and differs at halves."""
+    scale = 10.0**digits
+    out = F.round(value * scale) / scale
+    return F.when(F.abs(out) < float("inf"), out).otherwise(value)
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    doubles = {c for c, kind in df.dtypes if kind == "double"}
+    return df.withColumns({c: nearest(F.col(c), digits) if c in doubles else F.round(F.col(c), digits) for c in columns})
 
 
 def orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
