@@ -153,11 +153,12 @@ _STORMS = f"""w AS (SELECT ([{", ".join(f"'{t}'" for t in _TYPES)}])[1 + p_size
 
 def _storms(spark, sf_dir):
     size = F.col("p_size")
+    kind = size % len(_TYPES) + 1  # 0 has none, below it they count from the end
     return table(spark, sf_dir, "part").select(
-        F.element_at(F.array(*map(F.lit, _TYPES)), size % len(_TYPES) + 1).alias("event_type"),
+        F.when(kind != 0, F.element_at(F.array(*map(F.lit, _TYPES)), kind)).alias("event_type"),
         F.col("p_brand").alias("state"),
         F.date_add(F.lit("1970-01-01").cast("date"), (F.col("p_partkey") * 17).cast("int")).alias("date"),
-        F.when(size <= 40, F.floor(size / 10).cast("int")).alias("deaths"),
+        F.when(size <= 40, F.expr("p_size div 10").cast("int")).alias("deaths"),  # towards 0, below it too
         F.when(size >= 5, size).alias("injuries"),
         F.col("p_retailprice").alias("damage_millions"),
     )
@@ -170,7 +171,7 @@ _WEATHER = f"""{_STORMS}, m AS (SELECT date_trunc('month', d)::DATE AS month, st
 @query(f"""WITH {_WEATHER} SELECT strftime(month, '%Y-%m-%d') AS year_month, event_type, state, coalesce(deaths, 0)::BIGINT AS deaths, coalesce(injuries, 0)::BIGINT AS injuries, round(damage_millions, 2) AS damage_millions, round(score, 4) AS employment_impact_score, strftime(date, '%Y-%m-%d') AS date, num_major_events, score > q AS is_high_impact_month FROM m, q""")
 def weather_months(spark, sf_dir):
     """Events by month with their score; missing casualties count 0."""
-    out = transforms.weather_monthly(_storms(spark, sf_dir)).na.fill(0, ["deaths", "injuries"])
+    out = transforms.weather_monthly(_storms(spark, sf_dir)).na.fill(0, ["deaths", "injuries"]).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("event_type", "state")})
     return rounded(rounded(out, 2, "damage_millions"), 4, "employment_impact_score").withColumns({"year_month": day("year_month"), "date": day("date")})
 
 
