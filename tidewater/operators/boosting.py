@@ -2,17 +2,21 @@
 
 Columns are binned once, and a task keeps its rows by cell: rows whose bins are all
 equal have equal forecasts for ever, so a tree asks only how many rows of a cell lie
-above its forecast. If a table has few cells, one job a tree gathers these counts and
-all levels are grown from them. Else a level of the trees of all quantiles takes one
-job, in which every task adds up its cells by (quantile, node, column, bin). Both are
-whole numbers that add up in any order, and give the same trees. A leaf's value
-is the exact quantile of its residuals; small leaves send them, large ones are
-narrowed down by counts first. The parts of all tasks are added up and judged in
-tasks too: splits, values and ranges reach the driver, however many rows there are.
+above its forecast. If a table has few cells, the targets of each are sorted once
+(``_Sorted``): a job a tree finds these counts by bisection, all levels are grown from
+them, and another takes from the cells of each leaf the few rows around its quantile,
+so a tree's work hardly grows with the table. Else a level of the trees of all
+quantiles takes one job, in which every task adds up its cells by (quantile, node,
+column, bin). Both are whole numbers that add up in any order, and give the same trees.
+A leaf's value is the exact quantile of its residuals; small leaves send them, large
+ones are narrowed down by counts first. The parts of all tasks are added up and judged
+in tasks too: splits, values, ranges and counts of few cells reach the driver, however
+many rows there are.
 
 Rows are kept as blocks of numbers in a persisted RDD, the one place here where
 rounds of imperative work on the same partitions ask for it; what is lost is read
-again from the binned table, and every ``keep_every`` trees the forecasts are written.
+again from the binned table. Where cells are many, forecasts lie with the rows, and
+are written every ``keep_every`` trees.
 """
 
 from __future__ import annotations
@@ -23,15 +27,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.folders import fresh, materialize
 
 #: Residuals of a leaf that are sent as they are, and parts into which the range of more is cut at a time.
 SENT, PARTS = 1024, 256
-#: Different cells up to which their counts are gathered.
+#: Different cells up to which they are kept sorted and their counts gathered.
 MOST_CELLS = 20_000
+#: Of sorted cells: rows of a block, rows from which there are more tasks, and rows that one task holds at most; cuts of a cell, and of all cells.
+SORTED_ROWS, SORTED_TASK, SORTED_MOST, CUTS, ALL_CUTS = 2_000_000, 500_000, 8_000_000, 1024, 200_000
+#: Residuals of a leaf of sorted cells that are sent as they are, in units of SENT: they come from the few around its quantile alone.
+NEAR = 64
 #: Rows of a block, and of a task: there are hundreds of short jobs, so small tables get few tasks.
 BLOCK_ROWS, TASK_ROWS = 50_000, 25_000
 
@@ -100,9 +108,17 @@ class Booster:
         shared, kinds = df.sparkSession.sparkContext.broadcast(self), dict(df.dtypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[bytes, np.ndarray] = {}  # forecasts of cells: rows of a cell have the same
             for batch in batches:
                 own = shared.value
-                f = own.forecasts(coded(batch, inputs, own.edges))
+                cells, of = _distinct(coded(batch, inputs, own.edges))
+                keys = [c.tobytes() for c in cells]
+                if len(known) > MOST_CELLS:
+                    known.clear()
+                new = [i for i, key in enumerate(keys) if key not in known]
+                if new:
+                    known.update(zip((keys[i] for i in new), own.forecasts(cells[new]).T, strict=True))
+                f = np.stack([known[key] for key in keys], 1)[:, of] if keys else np.zeros((len(names), 0))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, f)], [*kept, *names])
 
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in names)])
@@ -133,21 +149,34 @@ def edges_of(df: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
     """Upper ends of bins, the last one open: all values of a column that has at most ``bins``, else its quantiles."""
     out = []
     numbers = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    ends = numbers.agg(*[F.percentile_approx(c, [k / bins for k in range(1, bins)], 10_000).alias(c) for c in numbers.columns]).first()
+    few = {c: [r[0] for r in numbers.where(F.col(c).isNotNull() & ~F.isnan(c)).select(c).distinct().limit(bins + 1).collect()] for c in numbers.columns}
+    many = [c for c in numbers.columns if len(few[c]) > bins]
+    ends = numbers.agg(*[F.percentile_approx(c, [k / bins for k in range(1, bins)], 10_000).alias(c) for c in many]).first() if many else {}
     for c in numbers.columns:
-        few = [r[0] for r in numbers.where(F.col(c).isNotNull() & ~F.isnan(c)).select(c).distinct().limit(bins + 1).collect()]
-        values = few if len(few) <= bins else [v for v in ends[c] or [] if v == v]
-        out.append(np.array(sorted(set(values))[: None if len(few) > bins else -1]))
+        values = [v for v in ends[c] or [] if v == v] if c in many else few[c]
+        out.append(np.array(sorted(set(values))[: None if c in many else -1]))
     return out
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of bins in rising order, and which of them each row is."""
+    if codes.shape[1] > 8:
+        cells, of = np.unique(codes, axis=0, return_inverse=True)
+        return cells, of.ravel()
+    key = np.zeros(len(codes), np.uint64)
+    for c in range(codes.shape[1]):
+        key = key << np.uint64(8) | codes[:, c]
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    return codes[first], of.ravel()
+
+
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # cells, where each begins, targets, forecasts and rows above by (quantile, cell)
 
 
 def _by_cell(codes: np.ndarray, y: np.ndarray, quantiles: int) -> Block:
-    cells, of = np.unique(codes, axis=0, return_inverse=True)
-    order = np.argsort(of.ravel(), kind="stable")
-    start = np.r_[0, np.cumsum(np.bincount(of.ravel(), minlength=len(cells)))]
+    cells, of = _distinct(codes)
+    order = np.argsort(of, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(cells)))]
     f = np.zeros((quantiles, len(cells)))
     return cells, start, y[order], f, _above(y[order], start, f)
 
@@ -168,24 +197,27 @@ def _above(y: np.ndarray, start: np.ndarray, f: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat((y > np.repeat(own, n)).astype(np.int64), start[:-1]) for own in f]) if len(n) else np.zeros(f.shape, np.int64)
 
 
-def _gathered(state: RDD, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """All different cells with their rows and rows above the forecast, if there are at most ``most``."""
+def _cells_of(codes: RDD, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All different cells and their rows, if there are at most ``most``."""
 
-    def merged(parts: list[tuple]) -> tuple | None:
-        if not parts or any(p is None for p in parts):
-            return None if parts else ()
-        parts = [p for p in parts if p]
-        if not parts:
-            return ()
-        cells, of = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
+    def merged(parts: list[tuple | None]) -> tuple | None:
+        if any(p is None for p in parts):
+            return None
+        cells, of = _distinct(np.concatenate([p[0] for p in parts]))
         if len(cells) > most:
             return None
-        n, above = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], axis=1)
-        add = lambda v: np.bincount(of.ravel(), v, len(cells)).astype(np.int64)  # noqa: E731  exact below 2**53
-        return cells, add(n), np.stack([add(v) for v in above])
+        return cells, np.bincount(of, np.concatenate([p[1] for p in parts]), len(cells)).astype(np.int64)  # exact below 2**53
+
+    def own(blocks: Iterator[np.ndarray]) -> Iterator[list]:
+        found: list = []
+        for b in blocks:
+            if found != [None]:
+                cells, of = _distinct(b)
+                found = [merged([*found, (cells, np.bincount(of))])]
+        yield found
 
-    own = state.mapPartitions(lambda blocks: [merged([(b[0], np.diff(b[1]), b[4]) for b in blocks])])
-    return _reduced(own, lambda a, b: merged([a, b])) or None
+    whole = _reduced(codes.mapPartitions(own), lambda a, b: [merged([*a, *b])] if a and b else a or b)
+    return whole[0] if whole else None
 
 
 def _level(trees: list[Tree], open_nodes: list[list[int]], quantiles: tuple[float, ...], bins: int):
@@ -358,6 +390,224 @@ def _cuts(low: float, high: float, parts: int) -> np.ndarray:
     return np.maximum.accumulate(np.clip(low + (high - low) * (np.arange(1, parts) / parts), low, high))
 
 
+def _edge(y: np.ndarray, first: np.ndarray, end: np.ndarray, f: np.ndarray, t: np.ndarray, after: bool) -> np.ndarray:
+    """Of stretches of rising targets: the first place whose residual lies at ``t`` or above, or above it alone (``after``)."""
+    a, b = first.copy(), end.copy()
+    while len(live := np.flatnonzero(a < b)):
+        middle = (a[live] + b[live]) >> 1
+        r = y[middle] - f[live]
+        goes = r <= t[live] if after else r < t[live]
+        a[live[goes]] = middle[goes] + 1
+        b[live[~goes]] = middle[~goes]
+    return a
+
+
+@dataclass
+class _Ask:
+    """A leaf's residuals from ``low`` to ``high``, among which those at ``places`` (in the order of all of the leaf) lie."""
+
+    quantile: int
+    leaf: int
+    places: tuple[int, ...]
+    low: float
+    high: float
+
+
+class _Sorted:
+    """Rows of few cells, kept by cell and in rising order of targets: what lies on one side of a number is found by bisection.
+
+    A residual rises with its target, so a leaf's rows around a quantile are a stretch
+    of each of its cells. Counts at some targets of each cell (``cuts``, ends included)
+    tell the driver where that stretch lies; the rows of it decide.
+    """
+
+    def __init__(self, binned: RDD, cells: np.ndarray, rows: np.ndarray, quantiles: tuple[float, ...], sent: int, parts: int):
+        self.cells, self.rows, self.quantiles, self.most, self.parts = cells, rows, quantiles, sent, parts
+        self.f = np.zeros((len(quantiles), len(cells)))
+        places, k = {c.tobytes(): i for i, c in enumerate(cells)}, cells.shape[1]
+
+        def block(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            y = np.concatenate([np.frombuffer(r["y"], float) for r in parts])
+            own, of = _distinct(np.concatenate([np.frombuffer(r["codes"], np.uint8) for r in parts]).reshape(len(y), k))
+            return np.array([places[c.tobytes()] for c in own]), np.r_[0, np.cumsum(np.bincount(of))], y[np.lexsort((y, of))]
+
+        def opened(found: Iterator) -> Iterator[tuple]:
+            parts, n = [], 0
+            for r in found:
+                parts.append(r)
+                n += len(r["y"]) // 8
+                if n >= SORTED_ROWS:
+                    yield block(parts)
+                    parts, n = [], 0
+            if n:
+                yield block(parts)
+
+        self.state = binned.mapPartitions(opened).persist(StorageLevel.MEMORY_AND_DISK)
+        self.cuts = self._drawn(max(8, min(CUTS, ALL_CUTS // len(cells))))
+        self.below, self.upto = self._counted()
+
+    def _drawn(self, n: int) -> np.ndarray:
+        """Of each cell: ``n`` of its targets in rising order, the least and the greatest among them."""
+
+        def thinned(y: np.ndarray) -> np.ndarray:
+            return y if len(y) <= n else y[np.linspace(0, len(y) - 1, n).astype(np.int64)]
+
+        def added(a: dict, b: dict) -> dict:
+            for i, y in b.items():
+                a[i] = thinned(np.sort(np.concatenate([a[i], y]))) if i in a else y
+            return a
+
+        def own(blocks: Iterator[tuple]) -> Iterator[dict]:
+            found: dict = {}
+            for ids, start, y in blocks:
+                found = added(found, {int(i): thinned(y[a:b]) for i, a, b in zip(ids, start, start[1:], strict=False)})
+            yield found
+
+        found = _reduced(self.state.mapPartitions(own), added)
+        return np.stack([found[i][np.linspace(0, len(found[i]) - 1, n).astype(np.int64)] for i in range(len(self.cells))])
+
+    def _counted(self) -> np.ndarray:
+        """Of each cell and cut: rows below it, and rows up to it."""
+        cuts = self.state.context.broadcast(self.cuts)
+
+        def own(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+            out = np.zeros((2, *cuts.value.shape), np.int64)
+            for ids, start, y in blocks:
+                for i, a, b in zip(ids, start, start[1:], strict=False):
+                    for side, of in enumerate(("left", "right")):
+                        out[side, i] += np.searchsorted(y[a:b], cuts.value[i], of)
+            yield out
+
+        return _reduced(self.state.mapPartitions(own), np.add)
+
+    def above(self) -> np.ndarray:
+        """Rows above the forecast, by (quantile, cell)."""
+        f = self.f
+
+        def own(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+            out = np.zeros(f.shape, np.int64)
+            for ids, start, y in blocks:
+                first, end = (np.tile(x, len(f)) for x in (start[:-1], start[1:]))
+                out[:, ids] += (end - _edge(y, first, end, np.zeros(len(end)), f[:, ids].ravel(), True)).reshape(len(f), -1)
+            yield out
+
+        return _reduced(self.state.mapPartitions(own), np.add)
+
+    def counts(self):
+        """``finish`` of what a level counts in the cells of all rows."""
+        whole = self.cells, self.rows, self.above()
+        return lambda count, finish: finish(next(count(iter([whole]))))
+
+    def _asked(self, q: int, leaf: int, cells: np.ndarray, places: tuple[int, ...]) -> _Ask:
+        """Rows below a cut have residuals up to its own, and rows from it on none below: so counts at cuts bound the places of residuals."""
+        r, n = (self.cuts[cells] - self.f[q, cells, None]).ravel(), self.rows[cells, None]
+        order = np.argsort(r, kind="stable")
+        before = np.r_[0, np.cumsum(np.diff(np.c_[self.below[cells], n], axis=1).ravel()[order])[:-1]]  # at most so many residuals lie below
+        upto = np.cumsum(np.diff(np.c_[0 * n, self.upto[cells]], axis=1).ravel()[order])  # at least so many do not lie above
+        low, high = (int(np.searchsorted(before, places[0], "right")) - 1, int(np.searchsorted(upto, places[-1] + 1, "left")))
+        return _Ask(q, leaf, places, float(r[order[low]]), float(r[order[high]]))
+
+    def leaf_values(self, trees: list[Tree]) -> list[dict[int, float]]:
+        """The exact quantile of residuals of each leaf, between its two neighbours in proportion."""
+        nodes = np.stack([t.nodes(self.cells) for t in trees])
+        out: list[dict[int, float]] = [dict.fromkeys(t.leaves(), 0.0) for t in trees]
+        shares: dict[tuple[int, int], tuple[int, int, float]] = {}
+        asks: list[_Ask] = []
+        for q, tree in enumerate(trees):
+            for leaf in tree.leaves():
+                cells = np.flatnonzero(nodes[q] == leaf)
+                if n := int(self.rows[cells].sum()):
+                    place = (n - 1) * self.quantiles[q]
+                    a, b = int(place), min(int(place) + 1, n - 1)
+                    shares[q, leaf] = a, b, place - a
+                    asks.append(self._asked(q, leaf, cells, (a, b)))
+        values: dict[tuple[int, int, int], float] = {}
+        while asks:
+            for ask in asks:
+                if ask.low >= ask.high:
+                    values.update({(ask.quantile, ask.leaf, p): ask.low for p in ask.places})
+            if asks := [a for a in asks if a.low < a.high]:
+                found, asks = self._answers(asks, nodes)
+                values.update(found)
+        for (q, leaf), (a, b, share) in shares.items():
+            low, high = values[q, leaf, a], values[q, leaf, b]
+            out[q][leaf] = low + (high - low) * share
+        return out
+
+    def _answers(self, asks: list[_Ask], nodes: np.ndarray) -> tuple[dict[tuple[int, int, int], float], list[_Ask]]:
+        """Values by (quantile, leaf, place), and narrower ranges of those that have more residuals than are sent."""
+        f, most, parts = self.f, self.most, self.parts
+        quantile, leaf, low, high = (np.array([getattr(a, c) for a in asks]) for c in ("quantile", "leaf", "low", "high"))
+        of = [np.flatnonzero(quantile == q) for q in range(len(f))]
+
+        def hist(r: np.ndarray, j: int) -> np.ndarray:
+            """Of residuals in rising order: rows by part of the range; a part holds its lower end."""
+            return np.diff(np.r_[0, np.searchsorted(r, _cuts(low[j], high[j], parts), "left"), len(r)])
+
+        def counts(own: tuple, j: int) -> np.ndarray:
+            return own[1] if own[2] is None else hist(np.sort(own[2]), j)
+
+        def joined(a: dict, b: dict) -> dict:
+            """(rows below the range, rows by part, residuals): either of the last two is None."""
+            for j, own in b.items():
+                if j not in a:
+                    a[j] = own
+                elif a[j][2] is None or own[2] is None or len(a[j][2]) + len(own[2]) > most:
+                    a[j] = (a[j][0] + own[0], counts(a[j], j) + counts(own, j), None)
+                else:
+                    a[j] = (a[j][0] + own[0], None, np.concatenate([a[j][2], own[2]]))
+            return a
+
+        def own(blocks: Iterator[tuple]) -> Iterator[dict]:
+            found: dict = {}
+            for ids, start, y in blocks:
+                here: dict = {}
+                for q, js in enumerate(of):
+                    j, i = np.nonzero(nodes[q, ids] == leaf[js, None])
+                    j, g = js[j], f[q, ids[i]]
+                    first = _edge(y, start[i], start[i + 1], g, low[j], False)
+                    end = _edge(y, first, start[i + 1], g, high[j], True)
+                    for x in np.split(np.arange(len(j)), np.flatnonzero(np.diff(j)) + 1):
+                        if not len(x):
+                            continue
+                        ask, before = int(j[x[0]]), int((first[x] - start[i[x]]).sum())
+                        stretches = [y[first[at] : end[at]] - g[at] for at in x]
+                        if sum(map(len, stretches)) > most:
+                            here[ask] = (before, sum(hist(r, ask) for r in stretches), None)
+                        else:
+                            here[ask] = (before, None, np.concatenate(stretches))
+                found = joined(found, here)
+            yield found
+
+        def judged(found: dict) -> tuple[dict, list[_Ask]]:
+            values, left = {}, []
+            for j, (before, hist, sent) in found.items():
+                ask = asks[j]
+                if sent is not None:
+                    sent = np.sort(sent)
+                    values.update({(ask.quantile, ask.leaf, p): float(sent[p - before]) for p in ask.places})
+                    continue
+                upto = before + np.cumsum(hist)
+                ends = np.concatenate([[ask.low], _cuts(ask.low, ask.high, parts), [ask.high]])
+                by_part: dict[int, list[int]] = {}
+                for p in ask.places:
+                    by_part.setdefault(int(np.searchsorted(upto, p, "right")), []).append(p)
+                for part, places in by_part.items():
+                    # A part holds its lower end; the upper one belongs to the next.
+                    up = float(ends[part + 1]) if part == parts - 1 else float(np.nextafter(ends[part + 1], -np.inf))
+                    left.append(_Ask(ask.quantile, ask.leaf, tuple(places), float(ends[part]), up))
+            return values, left
+
+        return _reduced(self.state.mapPartitions(own), joined, judged)
+
+    def move(self, trees: list[Tree], rate: float) -> None:
+        """Forecasts take a step."""
+        self.f = np.stack([self.f[q] + rate * np.array(t.value)[t.nodes(self.cells)] for q, t in enumerate(trees)])
+
+    def close(self) -> None:
+        self.state.unpersist()
+
+
 def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95), *, trees: int = 100, depth: int = 5, leaves: int = 31, rate: float = 0.1, bins: int = 64, least_leaf: int = 20, keep_every: int = 50, partitions: int | None = None, sent: int = SENT, parts: int = PARTS, most_cells: int = MOST_CELLS) -> Booster:
     """Fit the trees of all quantiles side by side.
 
@@ -396,28 +646,24 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
         return _by_cell(np.frombuffer(r["codes"], np.uint8).reshape(len(y), k), y, len(quantiles))
 
     blocks = binned.rdd
-    state = blocks.coalesce(min(blocks.getNumPartitions(), max(tasks, -(-total // TASK_ROWS)))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = [Tree() for _ in quantiles]
-    begin = np.array([own[0] for own in _leaf_quantiles(state, whole, quantiles, sent, parts)])
-    model = Booster(columns, edges, quantiles, begin, rate)
-    state, last = _moved(state, [Tree(value=[float(v)]) for v in begin], 1.0), state
-    few = most_cells > 0
+    codes = binned.select("codes", F.octet_length("y").alias("size")).rdd.map(lambda r: np.frombuffer(r["codes"], np.uint8).reshape(r["size"] // 8, k))
+    if (found := _cells_of(codes, most_cells) if most_cells > 0 else None) is not None:
+        few = partitions or max(min(spark.sparkContext.defaultParallelism, -(-total // SORTED_TASK)), -(-total // SORTED_MOST))
+        own = _Sorted(blocks.coalesce(min(blocks.getNumPartitions(), few)), *found, quantiles, sent * NEAR, parts)
+    else:
+        state = blocks.coalesce(min(blocks.getNumPartitions(), max(tasks, -(-total // TASK_ROWS)))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+        own = _Spread(spark, state, quantiles, sent, parts, keep_every)
+    begin = [values[0] for values in own.leaf_values([Tree() for _ in quantiles])]
+    model = Booster(columns, edges, quantiles, np.array(begin), rate)
+    own.move([Tree(value=[float(v)]) for v in begin], 1.0)
     for number in range(trees):
-        whole_counts = _gathered(state, most_cells) if few else None
-        few = whole_counts is not None
-        if few:
-            last.unpersist()  # the counts have read the forecasts that were made of it
+        count = own.counts()
         grown = [Tree() for _ in quantiles]
         open_nodes = [[0] for _ in quantiles]
         for _ in range(depth):
             if not any(open_nodes):
                 break
-            count = _level(grown, open_nodes, quantiles, width)
-            if few:
-                splits = _splits(next(count(iter([whole_counts]))), quantiles, least_leaf)
-            else:
-                splits = _reduced(state.map(lambda b: (b[0], np.diff(b[1]), b[4])).mapPartitions(count), np.add, lambda counts: _splits(counts, quantiles, least_leaf))
-                last.unpersist()
+            splits = count(_level(grown, open_nodes, quantiles, width), lambda counts: _splits(counts, quantiles, least_leaf))
             for q, best in enumerate(splits):
                 after = []
                 room = leaves - len(grown[q].leaves())
@@ -427,23 +673,55 @@ def fit(df: DataFrame, columns: list[str], y: str, quantiles: tuple[float, ...]
                         after += [grown[q].left[node], grown[q].right[node]]
                         room -= 1
                 open_nodes[q] = sorted(after)
-        for tree, own in zip(grown, _leaf_quantiles(state, grown, quantiles, sent, parts), strict=True):
-            for leaf, value in own.items():
+        for tree, values in zip(grown, own.leaf_values(grown), strict=True):
+            for leaf, value in values.items():
                 tree.value[leaf] = value
         model.trees.append(grown)
         if number + 1 < trees:
-            moved = _moved(state, grown, rate)
-            if (number + 1) % keep_every == 0:
-                path = fresh(spark, "forecasts")
-                moved.saveAsPickleFile(path)
-                moved.unpersist()
-                moved = spark.sparkContext.pickleFile(path).persist(StorageLevel.MEMORY_AND_DISK)
-            state, last = moved, state
-    last.unpersist()
-    state.unpersist()
+            own.move(grown, rate)
+    own.close()
     return model
 
 
+class _Spread:
+    """Rows of many cells: forecasts and counts lie with the rows, and every step reads them all."""
+
+    def __init__(self, spark: SparkSession, state: RDD, quantiles: tuple[float, ...], sent: int, parts: int, keep_every: int):
+        self.spark, self.state, self.last, self.steps = spark, state, None, 0
+        self.quantiles, self.most, self.parts, self.keep_every = quantiles, sent, parts, keep_every
+
+    def counts(self):
+        def judged(count, finish):
+            out = _reduced(self.state.map(lambda b: (b[0], np.diff(b[1]), b[4])).mapPartitions(count), np.add, finish)
+            self._drop()
+            return out
+
+        return judged
+
+    def leaf_values(self, trees: list[Tree]) -> list[dict[int, float]]:
+        return _leaf_quantiles(self.state, trees, self.quantiles, self.most, self.parts)
+
+    def move(self, trees: list[Tree], rate: float) -> None:
+        self._drop()
+        moved = _moved(self.state, trees, rate)
+        if self.steps and self.steps % self.keep_every == 0:
+            path = fresh(self.spark, "forecasts")
+            moved.saveAsPickleFile(path)
+            moved.unpersist()
+            moved = self.spark.sparkContext.pickleFile(path).persist(StorageLevel.MEMORY_AND_DISK)
+        self.state, self.last, self.steps = moved, self.state, self.steps + 1
+
+    def _drop(self) -> None:
+        """The forecasts before the last step go once counts have read those that were made of them."""
+        if self.last is not None:
+            self.last.unpersist()
+            self.last = None
+
+    def close(self) -> None:
+        self._drop()
+        self.state.unpersist()
+
+
 def _moved(state: RDD, trees: list[Tree], rate: float) -> RDD:
     """Blocks whose forecasts have taken a step."""
 

@@ -92,7 +92,7 @@ def pinball_stumps(spark, sf_dir):
 def quantile_forecast(spark, sf_dir):
     """Seven quantiles of order values by 100 boosted trees of depth 5 each, kept in order: mean by series."""
     own = _priced(spark, sf_dir)
-    out = boosting.fit(own, ["m", "c"], "y").predict(own)
+    out = boosting.fit(own, ["m", "c"], "y").predict(own.select("series", "m", "c"))
     return out.groupBy("series").agg(*[F.avg(c).alias(c) for c in ("q_5", "q_10", "q_25", "q_50", "q_75", "q_90", "q_95")])
 
 
