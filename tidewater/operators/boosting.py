@@ -443,7 +443,7 @@ class _Sorted:
                 yield block(parts)
 
         self.state = binned.mapPartitions(opened).persist(StorageLevel.MEMORY_AND_DISK)
-        self.cuts = self._drawn(max(8, min(CUTS, ALL_CUTS // len(cells))))
+        self.cuts = self._drawn(max(8, min(CUTS, ALL_CUTS // len(cells), int(rows.max()))))
         self.below, self.upto = self._counted()
 
     def _drawn(self, n: int) -> np.ndarray:
